@@ -26,7 +26,7 @@ def _package_signals(findings: DataFrame) -> DataFrame:
         blocks=F.bool_or(block & category.isin(V.CAPABILITY_CATEGORIES)),
         typo_warns=F.count_if(warn & (F.col("detector") == TYPO)),
         dangerous_warns=F.count_if(warn & F.coalesce(dangerous, F.lit(False))),
-        warn_detectors=F.array_sort(F.collect_set(F.when(warn, F.col("detector")))),
+        warn_ids=F.collect_set(F.when(warn, F.struct("category", "detector"))),  # at most one per detector id
     )
     return findings.groupBy(*SCOPE).agg(*[expr.alias(name) for name, expr in counts.items()])
 
@@ -75,8 +75,13 @@ def decide(findings: DataFrame, network_pairs: DataFrame) -> DataFrame:
         | ((F.col("n_warn") >= 3) & only("OBF"))
         | ((F.col("dangerous_warns") >= 3) & only("CODE"))
     )
+    still_warning = F.filter(
+        "warn_ids",
+        lambda w: ~(F.col("lift_obf") & (w["category"] == "OBF")) & ~(F.col("lift_typo") & (w["detector"] == TYPO)),
+    )
     return signals.withColumn("lift_all", compound).select(
-        *SCOPE, "lift_obf", "lift_typo", "lift_all", "n_warn", "n_kind", "warn_detectors"
+        *SCOPE, "lift_obf", "lift_typo", "lift_all", "n_warn", "n_kind",
+        F.array_sort(F.transform(still_warning, lambda w: w["detector"])).alias("warn_detectors"),
     )
 
 
