@@ -482,18 +482,18 @@ g AS (SELECT run_id, change_id, package, NULL::VARCHAR AS from_ver, '1.0.0' AS t
   WHERE direction = 'added' GROUP BY ALL HAVING count(*) FILTER (WHERE detector IN ('net.new-endpoint','net.new-module')) > 0 AND env >= 3)
 """ + _flat_select("'deps.first-version-cluster'", "'BLOCK'", "'high'", "'package.json'", "1",
                    "'first-version-with-cluster: NET + ' || env || ' sensitive env reads'", "g")
-_RANGES = {  # (package, ghsa): predicate over the version tuple v
-    "GHSA-fh58-9fw3-vf2v": ("ua-parser-js", "{v} IN ((0,7,29),(0,8,0),(1,0,0))"),
-    "GHSA-mh6f-8j2x-4483": ("coa", "({v} >= (2,0,3) AND {v} <= (2,1,3))"),
-    "GHSA-g2q5-5433-rhrf": ("rc", "{v} IN ((1,2,9),(1,3,9),(2,3,9))"),
-    "GHSA-mh63-6h87-95cp": ("event-stream", "{v} = (3,3,6)"),
-    "GHSA-jf85-cpcp-j695": ("colors", "({v} = (1,4,1) OR {v} >= (1,4,44))"),
-    "GHSA-8v38-pw62-9cw2": ("node-ipc", "(({v} >= (9,2,2) AND {v} < (10,0,0)) OR ({v} >= (10,1,1) AND {v} <= (10,1,2)) OR {v} = (11,0,0))"),
-    "GHSA-5qgm-9j92-h5g5": ("eslint-scope", "{v} IN ((3,7,2),(4,0,1))"),
-    "GHSA-jj35-jhw9-vp4q": ("@solana/web3.js", "({v} >= (1,95,5) AND {v} <= (1,95,7))"),
-    "GHSA-cwfw-4gq5-mrqx": ("@lottiefiles/lottie-player", "({v} >= (2,0,5) AND {v} <= (2,0,7))"),
-    "GHSA-3xgq-45jj-v275": ("tough-cookie", "{v} < (4,1,3)"),
-    "GHSA-x2pg-mjhr-2m5x": ("axios", "({v} < (0,28,0) OR ({v} >= (1,0,0) AND {v} < (1,6,0)))"),
+_RANGES = {  # (package, ghsa): predicate over v = major * 1000000 + minor * 1000 + patch
+    "GHSA-fh58-9fw3-vf2v": ("ua-parser-js", "{v} IN (7029,8000,1000000)"),
+    "GHSA-mh6f-8j2x-4483": ("coa", "({v} >= 2000003 AND {v} <= 2001003)"),
+    "GHSA-g2q5-5433-rhrf": ("rc", "{v} IN (1002009,1003009,2003009)"),
+    "GHSA-mh63-6h87-95cp": ("event-stream", "{v} = 3003006"),
+    "GHSA-jf85-cpcp-j695": ("colors", "({v} = 1004001 OR {v} >= 1004044)"),
+    "GHSA-8v38-pw62-9cw2": ("node-ipc", "(({v} >= 9002002 AND {v} < 10000000) OR ({v} >= 10001001 AND {v} <= 10001002) OR {v} = 11000000)"),
+    "GHSA-5qgm-9j92-h5g5": ("eslint-scope", "{v} IN (3007002,4000001)"),
+    "GHSA-jj35-jhw9-vp4q": ("@solana/web3.js", "({v} >= 1095005 AND {v} <= 1095007)"),
+    "GHSA-cwfw-4gq5-mrqx": ("@lottiefiles/lottie-player", "({v} >= 2000005 AND {v} <= 2000007)"),
+    "GHSA-3xgq-45jj-v275": ("tough-cookie", "{v} < 4001003"),
+    "GHSA-x2pg-mjhr-2m5x": ("axios", "({v} < 28000 OR ({v} >= 1000000 AND {v} < 1006000))"),
 }
 _NEAR = [(0, d, None) for d in (-3, -2, -1, 1, 2, 3)] + [(d, 0, 0) for d in (-1, 1)]
 
@@ -501,10 +501,10 @@ _NEAR = [(0, d, None) for d in (-3, -2, -1, 1, 2, 3)] + [(d, 0, 0) for d in (-1,
 def _advisory(relation: str) -> str:
     parts = []
     for ghsa, (package, test) in _RANGES.items():
-        exact = test.format(v="(a, b, c)")
+        exact = test.format(v="(a * 1000000 + b * 1000 + c)")
         near = " OR ".join(
             f"(b + {db} >= 0 AND {'c + ' + str(dc) if fixed is None else '0'} >= 0 AND "
-            + test.format(v=f"(a, b + {db}, {'c + ' + str(dc) if fixed is None else '0'})") + ")"
+            + test.format(v=f"(a * 1000000 + (b + {db}) * 1000 + {'c + ' + str(dc) if fixed is None else '0'})") + ")"
             for db, dc, fixed in _NEAR
         )
         where = exact if relation == "affected" else f"NOT ({exact}) AND ({near})"
