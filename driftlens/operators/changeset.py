@@ -157,27 +157,35 @@ def change_order() -> list[Column]:
     ]
 
 
-def attach_pairs(changes: DataFrame, snapshots: DataFrame, columns: list[str]) -> DataFrame:
-    """Per-version rows (facts, files, scripts, ...) as the two sides of each content change.
+def content_pairs(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """The (package, from_ver, to_ver) comparison behind each added or upgraded package.
 
-    ``snapshots`` is keyed by (name, version). Same-version tampering is reported by itself and gets
-    no content comparison. An old version without a snapshot counts as absent.
+    ``known`` lists the analysed (name, version). Same-version tampering is reported by itself and gets
+    no content comparison; an old version that could not be analysed counts as absent.
     """
     content = changes.filter(F.col("kind").isin("added", "upgraded"))
-    known = snapshots.select("name", "version").distinct().withColumnRenamed("version", "version_old")
-    content = content.join(known.withColumn("known", F.lit(True)), ["name", "version_old"], "left")
-    content = content.select(
+    analysed = known.select("name", F.col("version").alias("version_old")).distinct().withColumn("known", F.lit(True))
+    return content.join(analysed, ["name", "version_old"], "left").select(
         "run_id", "change_id", F.col("name").alias("package"),
-        F.when(F.col("known"), F.col("version_old")).alias("from_ver"),
-        F.col("version_new").alias("to_ver"),
+        F.when(F.col("known"), F.col("version_old")).alias("from_ver"), F.col("version_new").alias("to_ver"),
     )
-    keyed = snapshots.withColumnRenamed("name", "package")
-    sides = []
-    for side, version in (("new", "to_ver"), ("old", "from_ver")):
-        side_rows = keyed.withColumnRenamed("version", version)
-        sides.append(
-            content.join(side_rows, ["package", version]).select(
-                "run_id", "change_id", "package", "from_ver", "to_ver", F.lit(side).alias("side"), *columns
-            )
+
+
+def distinct_pairs(content: DataFrame) -> DataFrame:
+    """Each comparison once, however many runs contain it."""
+    pair = F.concat_ws("@", "package", F.concat_ws("..", F.coalesce("from_ver", F.lit("")), "to_ver"))
+    return content.select("package", "from_ver", "to_ver").distinct().select(
+        F.lit("*").alias("run_id"), pair.alias("change_id"), "package", "from_ver", "to_ver"
+    )
+
+
+def attach(pairs: DataFrame, snapshot_rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the old and the new snapshot of each pair, marked by side. ``snapshot_rows``: name, version, ..."""
+    keyed = snapshot_rows.withColumnRenamed("name", "package")
+    sides = [
+        pairs.join(keyed.withColumnRenamed("version", version), ["package", version]).select(
+            "run_id", "change_id", "package", "from_ver", "to_ver", F.lit(side).alias("side"), *columns
         )
+        for side, version in (("new", "to_ver"), ("old", "from_ver"))
+    ]
     return sides[0].unionByName(sides[1])
