@@ -171,11 +171,15 @@ def content_pairs(changes: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def pair_id() -> Column:
+    """Name of a comparison, the same in every run."""
+    return F.concat_ws("@", "package", F.concat_ws("..", F.coalesce("from_ver", F.lit("")), "to_ver"))
+
+
 def distinct_pairs(content: DataFrame) -> DataFrame:
     """Each comparison once, however many runs contain it."""
-    pair = F.concat_ws("@", "package", F.concat_ws("..", F.coalesce("from_ver", F.lit("")), "to_ver"))
     return content.select("package", "from_ver", "to_ver").distinct().select(
-        F.lit("*").alias("run_id"), pair.alias("change_id"), "package", "from_ver", "to_ver"
+        F.lit("*").alias("run_id"), pair_id().alias("change_id"), "package", "from_ver", "to_ver"
     )
 
 

@@ -174,12 +174,9 @@ def run_diff(locks: dict[str, DataFrame], snapshots: Snapshots, lists: Lists, co
     """Every run of the lock tables at once."""
     changes = cut_lineage(C.changeset(locks["nodes"]))
     content = C.content_pairs(changes, snapshots.known)
-    per_pair = detect(C.distinct_pairs(content), snapshots, lists).drop("run_id", "change_id")
-    marked = content.withColumnRenamed("from_ver", "from_key")
-    detected = (
-        marked.join(per_pair, (marked.package == per_pair.package) & (marked.to_ver == per_pair.to_ver) & marked.from_key.eqNullSafe(per_pair.from_ver))
-        .select(marked.run_id, marked.change_id, *[per_pair[c] for c in per_pair.columns])
-    )
+    per_pair = detect(C.distinct_pairs(content), snapshots, lists).drop("run_id").withColumnRenamed("change_id", "pair_id")
+    # A comparison made once serves every run that contains it.
+    detected = content.select("run_id", "change_id", C.pair_id().alias("pair_id")).join(per_pair, "pair_id").drop("pair_id")
     new_nodes = locks["nodes"].filter("side = 'new'").drop("side")
     new_edges = locks["edges"].filter("side = 'new'").drop("side")
     detected = _with_provenance(detected, changes, new_nodes, new_edges)
@@ -243,16 +240,14 @@ def compare_install(old: Snapshots, new: Snapshots, pairs: DataFrame, lists: Lis
     ``old`` and ``new`` may be the same tables. A pair without findings is admitted.
     """
     merged = Snapshots(**{f: getattr(old, f).unionByName(getattr(new, f)) if old is not new else getattr(new, f) for f in Snapshots.__dataclass_fields__})
-    found = detect(C.distinct_pairs(pairs), merged, lists)
+    asked = pairs.select("package", "from_ver", "to_ver", C.pair_id().alias("pair_id")).distinct()
+    found = detect(C.distinct_pairs(pairs), merged, lists).select(F.col("change_id").alias("pair_id"), "detector", "severity")
     failed = merged.failures.select(F.col("name").alias("package"), F.col("version").alias("to_ver"))
-    keys = ["package", "from_ver", "to_ver"]
-    refused = pairs.join(failed, ["package", "to_ver"]).select(*keys, F.lit("analysis.failed").alias("detector"), F.lit("BLOCK").alias("severity"))
-    decided = P.admission(found.select(*keys, "detector", "severity").unionByName(refused), policy, keys)
-    left = pairs.select(*keys).distinct().withColumnRenamed("from_ver", "old_ver")
-    return left.join(
-        decided, (left.package == decided.package) & (left.to_ver == decided.to_ver) & left.old_ver.eqNullSafe(decided.from_ver), "left"
-    ).select(
-        left.package, left.old_ver.alias("from_ver"), left.to_ver, F.coalesce(decided.decision, F.lit("allow")).alias("decision"),
-        F.coalesce(decided.reason, F.lit("no finding matches the policy")).alias("reason"),
+    refused = asked.join(failed, ["package", "to_ver"]).select(
+        "pair_id", F.lit("analysis.failed").alias("detector"), F.lit("BLOCK").alias("severity")
+    )
+    decided = P.admission(found.unionByName(refused), policy, ["pair_id"])
+    return asked.join(decided, "pair_id", "left").select(
+        "package", "from_ver", "to_ver", F.coalesce("decision", F.lit("allow")).alias("decision"),
+        F.coalesce("reason", F.lit("no finding matches the policy")).alias("reason"),
     )
-
