@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,20 +86,42 @@ def deletions_up_to_two(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, twice))
 
 
-def _osa(a: str, b: str) -> int:
-    """Edit distance where swapping two neighbours costs one."""
-    before, row = None, list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        nxt = [i]
-        for j, cb in enumerate(b, 1):
-            cost = min(row[j] + 1, nxt[j - 1] + 1, row[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                cost = min(cost, before[j - 2] + 1)
-            nxt.append(cost)
-        before, row = row, nxt
-    return row[-1]
+CELLS = 20_000_000  # table cells per block of pairs, which bounds memory for long names
+
+
+def _codes(words: list[str], filler: int) -> np.ndarray:
+    width = max(map(len, words))
+    table = np.full((width, len(words)), filler, dtype=np.int32)
+    for column, word in enumerate(words):
+        table[: len(word), column] = [ord(c) for c in word]
+    return table
+
+
+def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Edit distance where swapping two neighbours costs one, for many pairs at once.
+
+    The recurrence runs over positions; each step handles every pair of the block as one array.
+    """
+    a, b = _codes(left, -1), _codes(right, -2)
+    steps = np.zeros((len(a) + 1, len(b) + 1, len(left)), dtype=np.int16)
+    steps[:, 0, :] = np.arange(len(a) + 1)[:, None]
+    steps[0, :, :] = np.arange(len(b) + 1)[:, None]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            edits = np.minimum(np.minimum(steps[i - 1, j], steps[i, j - 1]) + 1, steps[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1:
+                swapped = (a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1])
+                edits = np.where(swapped, np.minimum(edits, steps[i - 2, j - 2] + 1), edits)
+            steps[i, j] = edits
+    ends = [len(w) for w in left], [len(w) for w in right]
+    return steps[ends[0], ends[1], np.arange(len(left))].astype(np.int32)
 
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_osa(a, b) for a, b in zip(left, right)], dtype="int32")
+    if left.empty:
+        return pd.Series([], dtype="int32")
+    longest = max(left.str.len().max(), right.str.len().max()) + 1
+    block = max(1, CELLS // int(longest * longest))
+    parts = [edit_distances(list(left[i : i + block]), list(right[i : i + block])) for i in range(0, len(left), block)]
+    return pd.Series(np.concatenate(parts))

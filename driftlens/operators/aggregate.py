@@ -46,7 +46,7 @@ def severity_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 def finding_order() -> list[Column]:
     """Total order inside a run: severity, package, detector (dictionary order), first evidence."""
-    first = F.element_at("evidence", 1)
+    first = F.get("evidence", F.lit(0))
     return [
         severity_rank(F.col("severity")), F.collate("package", "UNICODE"), F.collate("detector", "UNICODE"),
         F.collate(first["file"], "UNICODE"), first["line"],

@@ -36,40 +36,42 @@ def package_versions(nodes: DataFrame) -> DataFrame:
 
 
 def _name_flags(versions: DataFrame) -> DataFrame:
-    old, new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    """Per package name: which sides have it, and whether its arrivals compare by number or as text."""
+    old, arriving = F.col("old").isNotNull(), F.col("new").isNotNull() & F.col("old").isNull()
+    number = coerced(F.col("version")).isNotNull()
     return versions.groupBy(*NAME).agg(
         F.bool_or(old).alias("has_old"),
-        F.bool_or(new).alias("has_new"),
-        F.bool_or(new & ~old).alias("has_arrival"),
-        F.bool_or(old & coerced(F.col("version")).isNotNull()).alias("numbered"),
+        F.bool_or(F.col("new").isNotNull()).alias("has_new"),
+        F.bool_or(arriving).alias("has_arrival"),
+        F.bool_or(arriving & ~number).alias("has_unnumbered_arrival"),
+        F.bool_or(old & number).alias("numbered"),
     )
 
 
 def nearest_prior(points: DataFrame) -> DataFrame:
     """As-of lookup: for each wanted position the closest old entry at or below, else the closest above.
 
-    ``points`` has (run_id, name, block, position, entry, rank, wanted); ``entry`` is NULL on wanted
-    rows. Blocks keep position order, so the search runs inside a block first and then over block
-    summaries. The work of one very long version history spreads over its blocks instead of being
-    sorted as one group.
+    ``points`` has (run_id, name, mode, block, position, entry, rank); ``entry`` is NULL on wanted rows.
+    Blocks keep position order, so the search runs inside a block first and then over block summaries.
+    One very long version history spreads over its blocks instead of being sorted as one group.
     """
-    block = [*NAME, "block"]
-    cells = points.groupBy(*block, "position").agg(
+    group = [*NAME, "mode"]
+    cells = points.groupBy(*group, "block", "position").agg(
         F.max_by("entry", "rank").alias("last"),
         F.min_by("entry", "rank").alias("first"),
-        F.bool_or("wanted").alias("wanted"),
+        F.bool_or(F.col("entry").isNull()).alias("wanted"),
     )
     has_entry = F.when(F.col("last").isNotNull(), F.col("position"))
-    summary = cells.groupBy(*block).agg(
+    summary = cells.groupBy(*group, "block").agg(
         F.max_by("last", has_entry).alias("last"), F.min_by("first", has_entry).alias("first")
     )
-    across = Window.partitionBy(*NAME).orderBy("block")
+    across = Window.partitionBy(*group).orderBy("block")
     carry = summary.select(
-        *block,
+        *group, "block",
         F.last("last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.first("first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    inside = Window.partitionBy(*block).orderBy("position")
+    inside = Window.partitionBy(*group, "block").orderBy("position")
     local = cells.withColumns(
         {
             "at_or_below": F.last("last", ignorenulls=True).over(
@@ -80,63 +82,57 @@ def nearest_prior(points: DataFrame) -> DataFrame:
             ),
         }
     ).filter("wanted")
-    return local.join(carry, block).select(
-        *NAME, "position", F.coalesce("at_or_below", "before", "above", "after").alias("prior")
+    return local.join(carry, [*group, "block"]).select(
+        *group, "position", F.coalesce("at_or_below", "before", "above", "after").alias("prior")
     )
 
 
-def closest_versions(versions: DataFrame, flags: DataFrame) -> DataFrame:
-    """(run, name, version) of each arriving version with the old entry it most likely replaces."""
-    relevant = versions.join(flags.filter("has_old and has_arrival").select(*NAME, "numbered"), NAME)
-    number = coerced(F.col("version"))
-    numeric_block = F.struct(
-        number["major"].alias("major"), number["minor"].alias("minor"), F.expr("0L").alias("page")
-    ).withField("page", F.floor(number["patch"] / 1024))
-    arriving = F.col("new").isNotNull() & F.col("old").isNull()
-    by_number = F.col("numbered") & number.isNotNull()
-
-    def points(frame, block, position):
-        return frame.select(
-            *NAME,
-            block.alias("block"),
-            position.alias("position"),
-            F.col("old").alias("entry"),
-            F.when(F.col("old").isNotNull(), F.col("old_first")).alias("rank"),
-            arriving.alias("wanted"),
-        )
+def _padded(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 16, "0")
+
 
-    numeric = nearest_prior(points(relevant.filter(by_number), numeric_block, number))
-    # Versions without a number, or facing only such versions, compare as text.
-    lexical_names = relevant.filter(arriving & ~by_number).select(*NAME).distinct()
-    lexical_rows = relevant.join(lexical_names, NAME, "left_semi").filter(F.col("old").isNotNull() | ~by_number)
-    lexical = nearest_prior(
-        points(lexical_rows, F.substring(F.col("version"), 1, 4), F.col("version"))
-    ).withColumnRenamed("position", "version")
-    wanted = relevant.filter(arriving & by_number).select(*NAME, "version", number.alias("position"))
-    return wanted.join(numeric, [*NAME, "position"]).select(*NAME, "version", "prior").unionByName(lexical)
+def _places() -> Column:
+    """Where a version stands in the two orders: by number (text padded to sort like it) and as text."""
+    version, number = F.col("version"), coerced(F.col("version"))
+    digits = F.concat(_padded(number["major"]), _padded(number["minor"]))
+    by_number = F.struct(
+        F.lit("number").alias("mode"), F.concat(digits, _padded(F.floor(number["patch"] / 1024))).alias("block"),
+        F.concat(digits, _padded(number["patch"])).alias("position"),
+    )
+    as_text = F.struct(F.lit("text").alias("mode"), F.substring(version, 1, 4).alias("block"), version.alias("position"))
+    arriving = F.col("old").isNull()
+    numbered = F.col("numbered") & number.isNotNull()
+    # Arrivals take one order; old entries take every order some arrival of their name asks for.
+    needs_text = F.col("has_unnumbered_arrival") | ~F.col("numbered")
+    return F.array_compact(
+        F.array(F.when(numbered, by_number), F.when(F.when(arriving, ~numbered).otherwise(needs_text), as_text))
+    )
 
 
 def changeset(nodes: DataFrame) -> DataFrame:
     versions = package_versions(nodes)
-    flags = _name_flags(versions)
+    labelled = versions.join(_name_flags(versions), NAME)
     old, new = F.col("old"), F.col("new")
+    both = old.isNotNull() & new.isNotNull()
     kind = (
         F.when(new.isNotNull() & ~F.col("has_old"), "added")
         .when(old.isNotNull() & ~F.col("has_new"), "removed")
         .when(new.isNotNull() & old.isNull(), "upgraded")
-        .when(
-            old.isNotNull()
-            & new.isNotNull()
-            & (old["integrity"] != new["integrity"]),
-            "integrity-changed",
-        )
+        .when(both & (old["integrity"] != new["integrity"]), "integrity-changed")
+    )
+    placed = labelled.filter(F.col("has_old") & F.col("has_arrival") & (old.isNotNull() | new.isNotNull()))
+    points = placed.select(*NAME, F.explode(_places()).alias("p"), old.alias("entry"), F.col("old_first").alias("rank")).select(
+        *NAME, "p.mode", "p.block", "p.position", "entry", "rank"
+    )
+    rows = labelled.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    upgraded = rows.filter("kind = 'upgraded'").withColumn("p", F.get(_places(), F.lit(0))).select(
+        *rows.columns, "p.mode", "p.position"
     )
-    rows = versions.join(flags, NAME).withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    priors = closest_versions(versions, flags)
-    rows = rows.join(priors, [*NAME, "version"], "left").withColumn("old", F.coalesce("old", "prior"))
+    upgraded = upgraded.join(nearest_prior(points), [*NAME, "mode", "position"]).withColumn("old", F.col("prior"))
+    rows = rows.filter("kind != 'upgraded'").unionByName(upgraded.select(*rows.columns))
     return rows.select(
         "run_id",
-        F.concat_ws(":", "kind", "name", "version").alias("change_id"),
+        F.concat_ws(":", "kind", "name", F.coalesce("new.version", "old.version")).alias("change_id"),
         "kind",
         "name",
         F.col("old.key").alias("key_old"),

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import names as N
 from driftlens.schema import evidence_of, to_findings
+from driftlens.session import broadcast_if_small, spread
+
+# A name of 30 letters has about 470 deletion forms, so this many names stay below some 100 MB.
+BROADCAST_FORMS = 1_000_000
 
 
 def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -17,10 +21,10 @@ def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2)
     for the candidates only. Smaller distance wins, then list order.
     """
     listed = popular.groupBy("name").agg(F.min("ord").alias("ord"))
-    fresh = names.select("name").distinct().join(listed.select("name"), "name", "left_anti")
+    fresh = spread(names.select("name").distinct().join(listed.select("name"), "name", "left_anti"), "name")
     scope, base = N.scope_of(F.col("name")), N.base_of(F.col("name"))
     # A scope that itself looks like a domain or hyphenated brand also compares by base name to unscoped targets.
-    spread = F.array_compact(
+    spaces = F.array_compact(
         F.array(
             F.struct(F.coalesce(scope, F.lit("")).alias("space"), F.when(scope.isNull(), F.col("name")).otherwise(base).alias("word")),
             F.when(
@@ -29,7 +33,7 @@ def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2)
             ),
         )
     )
-    left = fresh.select("name", F.explode(spread).alias("s")).select(
+    left = fresh.select("name", F.explode(spaces).alias("s")).select(
         "name", "s.space", "s.word", F.explode(N.deletions_up_to_two(F.col("s.word"))).alias("form")
     )
     right = listed.select(
@@ -37,17 +41,18 @@ def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2)
         F.coalesce(scope, F.lit("")).alias("space"),
         F.when(scope.isNull(), F.col("name")).otherwise(base).alias("target_word"),
     ).withColumn("form", F.explode(N.deletions_up_to_two(F.col("target_word"))))
+    # The popular list is short: its forms are broadcast once counted, and candidates never shuffle.
     candidates = (
-        left.join(right, ["space", "form"])
+        left.join(broadcast_if_small(right, BROADCAST_FORMS), ["space", "form"])
         .filter(F.abs(F.length("word") - F.length("target_word")) <= max_distance)
         .select("name", "target", "ord", "word", "target_word")
         .distinct()
     )
     return (
         candidates.withColumn("distance", N.edit_distance("word", "target_word"))
-        .filter(F.col("distance") <= max_distance)
         .groupBy("name")
         .agg(F.min(F.struct("distance", "ord", "target")).alias("best"))
+        .filter(F.col("best.distance") <= max_distance)
         .select("name", "best.target", "best.distance")
     )
 

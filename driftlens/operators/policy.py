@@ -102,8 +102,8 @@ def apply_config(findings: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
         .join(_grouped(tables["trust"], "anchor", "anchors"), "package", "left")
         .join(tables["override"].withColumnRenamed("severity", "forced"), "detector", "left")
     )
-    first_file = F.element_at("evidence", 1)["file"]
-    first_snippet = F.element_at("evidence", 1)["snippet"]
+    first_file = F.get("evidence", F.lit(0))["file"]
+    first_snippet = F.get("evidence", F.lit(0))["snippet"]
     usable = lambda values: F.filter(values, lambda v: F.length(F.trim(v)) >= 3)
     under = F.exists(usable(F.col("prefixes")), lambda p: first_file.startswith(p))
     df = df.filter(exempt | (F.col("ignored").isNull() & ~F.coalesce(under, F.lit(False))))

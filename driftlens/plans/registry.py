@@ -36,7 +36,7 @@ def query(function: Query) -> Query:
 
 
 def flat(findings: DataFrame) -> DataFrame:
-    first = F.element_at("evidence", 1)
+    first = F.get("evidence", F.lit(0))
     return findings.select(
         "run_id", "change_id", "detector", "package", "from_ver", "to_ver", "direction", "severity", "confidence",
         first["file"].alias("file"), first["line"].alias("line"), first["snippet"].alias("snippet"),
@@ -423,7 +423,7 @@ def exit_codes(spark, folder):
 def finding_order_topk(spark, folder):
     """The first hundred findings of the report order."""
     ordered = _keyed(spark, folder).orderBy(
-        A.severity_rank(F.col("severity")), "package", "detector", F.element_at("evidence", 1)["file"], "event_id"
+        A.severity_rank(F.col("severity")), "package", "detector", F.get("evidence", F.lit(0))["file"], "event_id"
     )
     return ordered.limit(100).select("event_id", "severity", "package", "detector")
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings a job needs for the documented semantics; cluster sizing stays with the submitter.
 SQL_CONF = {
@@ -42,4 +42,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPILLABLE = StorageLevel.MEMORY_AND_DISK
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitions for work that is heavy per row.
+
+    A fixed partition count keeps adaptive coalescing, which looks at bytes only, from putting a small
+    but expensive input into one task.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast hint when a bounded count proves the side small; otherwise the join shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

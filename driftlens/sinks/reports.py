@@ -73,7 +73,7 @@ def _array_lines(items: DataFrame, section: int, keys: list[Column], text: Colum
 
 
 def _finding_keys() -> list[Column]:
-    first = F.element_at("evidence", 1)
+    first = F.get("evidence", F.lit(0))
     return [
         F.concat(severity_rank(F.col("severity")).cast("string"), F.lit(" "), F.col("package")),
         F.col("detector"),
@@ -117,7 +117,7 @@ def json_lines(runs: DataFrame, findings: DataFrame, changes: DataFrame, errors:
 
 def sarif_rules(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One rule per detector; the first finding in report order describes it."""
-    order = F.struct(severity_rank(F.col("severity")), "package", F.element_at("evidence", 1)["file"])
+    order = F.struct(severity_rank(F.col("severity")), "package", F.get("evidence", F.lit(0))["file"])
     return findings.groupBy(*keys, F.col("detector").alias("rule_id")).agg(
         F.min_by("category", order).alias("category"), F.min_by("mitre", order).alias("mitre")
     )
@@ -194,7 +194,7 @@ def incidents(findings: DataFrame) -> DataFrame:
     evasion = F.when(
         F.col("detector").startswith("net.encoded") | (F.col("detector") == "obf.entropy-jump"), "obfuscation"
     ).when(F.col("detector").isin("code.dynamic-eval", "code.reflect-get"), "dynamic-dispatch")
-    order = F.struct(severity_rank(F.col("severity")), "detector", F.element_at("evidence", 1)["file"])
+    order = F.struct(severity_rank(F.col("severity")), "detector", F.get("evidence", F.lit(0))["file"])
     return (
         _incident_findings(findings)
         .groupBy(*INCIDENT)
@@ -274,7 +274,7 @@ def markdown_lines(findings: DataFrame, changes: DataFrame | None = None, runs:
         F.coalesce("to_ver", "from_ver", F.lit(""))
     )
     packages = findings.groupBy("run_id", "severity", "package").agg(
-        F.min_by(F.struct(label.alias("label"), F.get("provenance", F.lit(0)).alias("via")), F.struct("detector", F.element_at("evidence", 1)["file"])).alias("p")
+        F.min_by(F.struct(label.alias("label"), F.get("provenance", F.lit(0)).alias("via")), F.struct("detector", F.get("evidence", F.lit(0))["file"])).alias("p")
     )
     via = F.when(F.col("p.via").isNotNull(), F.concat(F.lit("\n  - via: `"), F.array_join("p.via", " → "), F.lit("`"))).otherwise(F.lit(""))
     proof = F.array_join(
@@ -285,7 +285,7 @@ def markdown_lines(findings: DataFrame, changes: DataFrame | None = None, runs:
         "",
     )
     detail = F.concat(F.lit("  - **`"), F.col("detector"), F.lit("`** — "), F.col("message"), proof)
-    first = F.element_at("evidence", 1)
+    first = F.get("evidence", F.lit(0))
     return _stack(
         _lines(totals, 0, F.concat(F.lit("### behavioural diff\n\n"), head, F.lit("\n"))),
         _lines(totals.filter(n == 0), 1, "_No behavioural changes detected in this update._"),
@@ -298,7 +298,7 @@ def markdown_lines(findings: DataFrame, changes: DataFrame | None = None, runs:
 def console_lines(findings: DataFrame, rollup: DataFrame, errors: DataFrame, runs: DataFrame) -> DataFrame:
     """The Markdown content plus up to three paths per package, impact by direct dependency and failures."""
     rank = severity_rank(F.col("severity"))
-    first = F.element_at("evidence", 1)
+    first = F.get("evidence", F.lit(0))
     paths = findings.groupBy("run_id", "severity", "package").agg(F.min_by("provenance", F.struct("detector", first["file"])).alias("paths"))
     listed = F.array_join(F.transform(F.slice("paths", 1, 3), lambda p: F.concat(F.lit("    via: "), F.array_join(p, " → "))), "\n")
     impact = rollup.filter(F.col("max_severity") != "CLEAN")
