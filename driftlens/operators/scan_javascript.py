@@ -60,6 +60,7 @@ def _token_code(token: Column) -> Column:
         F.when(comment, _newlines(token))
         .when(token.startswith("`"), F.concat(template, _newlines(inner)))
         .when(token.rlike("^[\"']"), _literal(inner))
+        .when(token.startswith("/") & (F.length(token) > 1), F.lit("/./"))  # a pattern literal holds no code
         .otherwise(token)
     )
 
