@@ -670,3 +670,50 @@ SELECT scan_id, status, CASE WHEN status = 'error' THEN 'BLOCK' END AS verdict,
   CASE status WHEN 'gone' THEN 404 WHEN 'pending' THEN 202 WHEN 'expired' THEN 410 ELSE 200 END::INTEGER AS http_status FROM s"""
 ORACLE["progress_counts"] = f"""SELECT strftime(ts, '%Y-%m-%d') AS day, {_pick(['analyze', 'cache-hit', 'error', 'done'], 'event_id % 4')} AS kind, count(*) AS n
   FROM events GROUP BY 1, 2"""
+
+# --- sources -----------------------------------------------------------------------------------------------------
+_KINDS = ["npm", "pnpm", "yarn-classic", "yarn-berry", "pypi-requirements", "pypi-poetry", "pypi-uv"]
+LOCKS = f"""lf AS (SELECT 'f' || c_custkey AS run_id, c_custkey AS a, c_custkey % 9 AS b, {_pick(_KINDS, 'c_custkey % 7')} AS written,
+  CASE WHEN c_custkey % 7 = 6 AND c_custkey % 10 = 3 THEN 'pypi-uv' ELSE {_pick(_KINDS, 'c_custkey % 7')} END AS kind FROM customer),
+ln AS (SELECT run_id, kind, CASE WHEN kind LIKE 'pypi%' THEN 'pypi/' ELSE 'node_modules/' END AS lead,
+    CASE WHEN kind IN ('npm','yarn-classic','yarn-berry') THEN 'A-' || a ELSE 'a-' || a END AS first_raw,
+    CASE WHEN kind IN ('yarn-classic','yarn-berry') THEN 'A-' || a ELSE 'a-' || a END AS first_name, 'b-' || a AS second_name, a, b,
+    CASE WHEN kind LIKE 'pypi%' THEN 'sha256-ab' || b WHEN kind LIKE 'yarn%' THEN 'sha512-xxxx' || b ELSE 'sha512-x' || b END AS integrity FROM lf)"""
+ORACLE["lockfile_kinds"] = f"WITH {LOCKS} SELECT run_id, kind FROM lf"
+ORACLE["lockfile_nodes"] = f"""WITH {LOCKS} SELECT run_id, lead || first_raw AS key, first_name AS name, '1.' || b || '.0' AS version, integrity FROM ln
+UNION ALL SELECT run_id, lead || second_name, second_name, '2.0.' || b, '' FROM ln"""
+ORACLE["lockfile_edges"] = f"""WITH {LOCKS} SELECT run_id, lead || first_raw AS parent_key, lead || second_name AS child_key FROM ln WHERE kind <> 'pypi-requirements'
+UNION ALL SELECT run_id, '', lead || first_raw FROM ln WHERE kind IN ('npm','pnpm','pypi-requirements')
+UNION ALL SELECT run_id, '', lead || second_name FROM ln WHERE kind = 'pypi-requirements'"""
+ORACLE["lockfile_links"] = f"WITH {LOCKS} SELECT run_id, 'node_modules/w-' || a AS key, 'w-' || a AS name FROM lf WHERE kind = 'npm'"
+_PACKAGE = "'p' || c_custkey AS name, '1.' || (c_custkey % 9) || '.0' AS version"
+ORACLE["manifest_scripts"] = f"SELECT {_PACKAGE}, 'postinstall' AS hook, 'node ' || (c_custkey % 9) || '.js' AS body FROM customer"
+ORACLE["manifest_dependencies"] = f"""SELECT {_PACKAGE}, 'dependencies' AS bucket, 'd' || (c_custkey % 9) AS dep, '^1.' || (c_custkey % 9) AS spec FROM customer
+UNION ALL SELECT {_PACKAGE}, 'peerDependencies', 'q', 'http://h' || (c_custkey % 9) || '.example/q.tgz' FROM customer"""
+ORACLE["manifest_emails"] = f"""SELECT {_PACKAGE}, 'maintainer' AS source, 'm' || (c_custkey % 9) || '@x.example' AS email FROM customer
+UNION ALL SELECT {_PACKAGE}, 'author', 'a' || (c_custkey % 9) || '@y.example' FROM customer"""
+ORACLE["manifest_entries"] = f"""SELECT {_PACKAGE}, unnest(['lib/' || c_custkey || '.js', 'esm/' || (c_custkey % 9) || '.mjs', 'bin/' || (c_custkey % 9) || '.js']) AS path FROM customer"""
+ORACLE["preferred_artifacts"] = f"""WITH f AS (SELECT p_name AS name, '1.' || p_size AS version, p_partkey % 4 AS rank,
+  'f' || p_partkey || {_pick(['-py3-none-any.whl', '-cp39.whl', '.tar.gz', '.zip'], 'p_partkey % 4')} AS filename FROM part)
+SELECT name, version, arg_min(filename, (rank, filename)) AS filename FROM f WHERE rank < 3 GROUP BY name, version"""
+_JS = f"""s AS (SELECT o_orderkey AS k, 'src/f' || o_orderkey || '.js' AS path, {_pick(T.JS_MODULES, 'o_orderkey % 5')} AS mod, {_pick(T.ENV_NAMES, 'o_custkey % 3')} AS env FROM orders)"""
+ORACLE["scan_javascript"] = f"""WITH {_JS}
+SELECT path, CASE o WHEN 0 THEN 'net_module' WHEN 1 THEN 'exec_module' WHEN 3 THEN 'net_module' ELSE 'fs_module' END AS cap, mod AS key, 1::INTEGER AS line, NULL::VARCHAR AS context
+  FROM (SELECT *, k % 5 AS o FROM s) WHERE o <> 2
+UNION ALL SELECT path, 'url', 'https://note' || k || '.example/q', 1, 'comment' FROM s
+UNION ALL SELECT path, 'url', 'https://h' || k || '.example/p', 1, 'network-arg' FROM s
+UNION ALL SELECT path, 'url', 'https://joined' || k || '.example/z', 1, NULL FROM s
+UNION ALL SELECT path, 'env', env, 4, NULL FROM s
+UNION ALL SELECT path, 'fs_write', '/etc/f' || k, 1, NULL FROM s
+UNION ALL SELECT path, 'fs_write', '/etc/f' || k, 1, NULL FROM s
+UNION ALL SELECT path, 'dynamic_code', path || ':8:eval', 8, NULL FROM s"""
+_PY = _JS.replace(".js'", ".py'").replace(_pick(T.JS_MODULES, "o_orderkey % 5"), _pick(T.PY_MODULES, "o_orderkey % 5"))
+ORACLE["scan_python"] = f"""WITH {_PY}
+SELECT path, CASE k % 5 WHEN 1 THEN 'exec_module' WHEN 4 THEN 'fs_module' ELSE 'net_module' END AS cap, mod AS key, 1::INTEGER AS line FROM s WHERE k % 5 <> 2
+UNION ALL SELECT path, 'fs_module', 'os', 1 FROM s
+UNION ALL SELECT path, 'env', env, 4 FROM s
+UNION ALL SELECT path, 'fs_write', '/etc/f' || k, 1 FROM s
+UNION ALL SELECT path, 'url', 'https://h' || k || '.example/p', 1 FROM s
+UNION ALL SELECT path, 'url', 'https://note' || k || '.example/q', 1 FROM s
+UNION ALL SELECT path, 'dynamic_code', path || ':7:eval', 7 FROM s
+UNION ALL SELECT path, 'exec_module', 'subprocess', 1 FROM s"""

@@ -21,8 +21,13 @@ from driftlens.operators import lookalike as L
 from driftlens.operators import manifest as M
 from driftlens.operators import obfuscation as O
 from driftlens.operators import policy as P
+from driftlens.operators.scan_javascript import javascript_facts
+from driftlens.operators.scan_python import python_facts
 from driftlens.plans import tables as T
 from driftlens.sinks import reports as R
+from driftlens.sources import archives as Z
+from driftlens.sources import lockfiles as K
+from driftlens.sources import manifests as S
 from driftlens.streaming import jobs as J
 from driftlens.streaming import limiter as W
 
@@ -99,6 +104,72 @@ def aliased_names(spark, folder):
     return flat(I.aliased_names(aliases))
 
 
+# --- sources ------------------------------------------------------------------------------------
+
+@query
+def lockfile_kinds(spark, folder):
+    files = T.lock_files(spark, folder)
+    return files.select("run_id", K.lockfile_kind(F.col("filename"), F.col("text")).alias("kind"))
+
+
+@query
+def lockfile_nodes(spark, folder):
+    nodes = K.lock_tables(T.lock_files(spark, folder))["nodes"]
+    return nodes.filter("key != ''").select("run_id", "key", "name", "version", "integrity")
+
+
+@query
+def lockfile_edges(spark, folder):
+    return K.lock_tables(T.lock_files(spark, folder))["edges"].select("run_id", "parent_key", "child_key")
+
+
+@query
+def lockfile_links(spark, folder):
+    return K.lock_tables(T.lock_files(spark, folder))["links"].select("run_id", "key", "name")
+
+
+@query
+def manifest_scripts(spark, folder):
+    return S.scripts(S.package_manifests(T.package_manifests(spark, folder)))
+
+
+@query
+def manifest_dependencies(spark, folder):
+    return S.dependencies(S.package_manifests(T.package_manifests(spark, folder))).drop("ord")
+
+
+@query
+def manifest_emails(spark, folder):
+    return S.emails(S.package_manifests(T.package_manifests(spark, folder)))
+
+
+@query
+def manifest_entries(spark, folder):
+    return S.entry_files(S.package_manifests(T.package_manifests(spark, folder)))
+
+
+@query
+def preferred_artifacts(spark, folder):
+    k = F.col("p_partkey")
+    listed = T.load(spark, folder, "part").select(
+        F.col("p_name").alias("name"), F.concat(F.lit("1."), T.text("p_size")).alias("version"),
+        F.concat(F.lit("f"), T.text(k), T.pick(["-py3-none-any.whl", "-cp39.whl", ".tar.gz", ".zip"], k % 4)).alias("filename"),
+    )
+    return Z.preferred_artifacts(listed)
+
+
+@query
+def scan_javascript(spark, folder):
+    found = javascript_facts(T.source_files(spark, folder, T.JS_TEMPLATE, T.JS_MODULES, ".js"))
+    return found.select("path", "cap", "key", "line", "context")
+
+
+@query
+def scan_python(spark, folder):
+    found = python_facts(T.source_files(spark, folder, T.PY_TEMPLATE, T.PY_MODULES, ".py"))
+    return found.select("path", "cap", "key", "line")
+
+
 # --- delta detectors ----------------------------------------------------------------------------
 
 @query

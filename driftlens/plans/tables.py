@@ -6,6 +6,8 @@ run they belong to, and what they say is a fixed function of their keys. Nothing
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -428,3 +430,86 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     keys = edges.select("run_id", F.col("child_key").alias("key")).distinct().withColumn("name", F.col("key"))
     root = region.select(F.lit("g").alias("run_id"), F.lit("").alias("key"), F.lit("").alias("name")).distinct()
     return keys.unionByName(root), edges
+
+
+def _template(pattern: str, **values: Column) -> Column:
+    """Text with ``{name}`` holes filled from columns."""
+    parts = []
+    for index, piece in enumerate(re.split(r"\{(\w+)\}", pattern)):
+        if index % 2:
+            parts.append(values[piece])
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
+LOCK_FILE_NAMES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "yarn.lock", "requirements.txt", "poetry.lock", "uv.lock"]
+LOCK_TEMPLATES = [
+    '{"name":"app","lockfileVersion":3,"packages":{"":{"name":"app","version":"1.0.0","dependencies":{"A-{a}":"1"}},'
+    '"node_modules/A-{a}":{"version":"1.{b}.0","integrity":"sha512-x{b}","dependencies":{"b-{a}":"1"}},'
+    '"node_modules/b-{a}":{"version":"2.0.{b}"},"node_modules/w-{a}":{"link":true}}}',
+    "lockfileVersion: '9.0'\nimporters:\n  .:\n    dependencies:\n      a-{a}: 1.{b}.0\npackages:\n  A-{a}@1.{b}.0:\n"
+    "    resolution: {integrity: sha512-x{b}}\n    dependencies:\n      b-{a}: 2.0.{b}\n  b-{a}@2.0.{b}:\n    resolution: {integrity: ''}\n",
+    '# yarn lockfile v1\n\n\nA-{a}@^1.0.0:\n  version "1.{b}.0"\n  integrity sha512-xxxx{b}\n  dependencies:\n    b-{a} "^2.0.0"\n\n'
+    'b-{a}@^2.0.0:\n  version "2.0.{b}"\n',
+    '__metadata:\n  version: 6\n\n"A-{a}@npm:^1.0.0":\n  version: 1.{b}.0\n  checksum: sha512-xxxx{b}\n  dependencies:\n    b-{a}: ^2.0.0\n\n'
+    '"b-{a}@npm:^2.0.0":\n  version: 2.0.{b}\n',
+    "# pins\nA-{a}==1.{b}.0 --hash=sha256:ab{b}\nb_{a}==2.0.{b} ; python_version > '3'\n-r more.txt\n",
+    '[[package]]\nname = "A-{a}"\nversion = "1.{b}.0"\nfiles = [{file = "x.whl", hash = "sha256:ab{b}"}]\n\n[package.dependencies]\nb_{a} = ">=2"\n\n'
+    '[[package]]\nname = "b_{a}"\nversion = "2.0.{b}"\n\n[metadata]\nlock-version = "2.0"\n',
+    'version = 1\n\n[[package]]\nname = "A-{a}"\nversion = "1.{b}.0"\ndependencies = [{ name = "b-{a}" }]\nwheels = [{ hash = "sha256:ab{b}" }]\n\n'
+    '[[package]]\nname = "b-{a}"\nversion = "2.0.{b}"\n',
+]
+
+
+def lock_files(spark: SparkSession, folder: str) -> DataFrame:
+    """customer as one small lockfile per row, cycling through the seven layouts."""
+    c = F.col("c_custkey")
+    holes = {"a": text(c), "b": text(c % 9)}
+    body = F.when(F.lit(False), "")
+    for index, template in enumerate(LOCK_TEMPLATES):
+        body = body.when(c % 7 == index, _template(template, **holes))
+    # every tenth file has no name and is recognised by its content, but for requirements of one kind
+    return load(spark, folder, "customer").select(
+        F.concat(F.lit("f"), text(c)).alias("run_id"), F.lit("new").alias("side"),
+        F.when(c % 10 != 3, pick(LOCK_FILE_NAMES, c % 7)).alias("filename"), body.alias("text"),
+    )
+
+
+JS_TEMPLATE = (
+    'const m = require("{mod}");\n// see https://note{k}.example/q\nfetch("https://h{k}.example/p");\nconst t = process.env.{env};\n'
+    'fs.writeFileSync("/etc/f{k}", t);\nconst s = "require(\'vm\') eval(1)";\nlet u = "https://j" + "oined{k}.example/z";\neval(m);\n'
+)
+PY_TEMPLATE = (
+    'import {mod}\nimport os\n"""import socket"""\na = os.environ["{env}"]\nopen("/etc/f{k}", "w")\nb = "https://h{k}.example/p"  # https://note{k}.example/q\n'
+    "exec(a)\nsubprocess.run([b])\n"
+)
+JS_MODULES = ["https", "child_process", "left-pad", "node:dns", "fs"]
+PY_MODULES = ["socket", "subprocess", "json", "urllib.request", "shutil"]
+ENV_NAMES = ["NPM_TOKEN", "HOME", "GH_TOKEN"]
+
+
+def source_files(spark: SparkSession, folder: str, template: str, modules: list[str], suffix: str) -> DataFrame:
+    """orders as one small source file per row."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    body = _template(template, mod=pick(modules, o % 5), env=pick(ENV_NAMES, c % 3), k=text(o))
+    return load(spark, folder, "orders").select(
+        F.concat(F.lit("p"), text(c)).alias("name"), F.lit("1.0.0").alias("version"),
+        F.concat(F.lit("src/f"), text(o), F.lit(suffix)).alias("path"), body.alias("text"), o.alias("ord"),
+    )
+
+
+MANIFEST_TEMPLATE = (
+    '{"name":"p{a}","version":"1.{b}.0","main":"./lib/{a}.js","exports":{".":{"import":"./esm/{b}.mjs"}},"bin":{"x":"bin/{b}.js"},'
+    '"scripts":{"postinstall":"node {b}.js"},"dependencies":{"d{b}":"^1.{b}"},"peerDependencies":{"q":"http://h{b}.example/q.tgz"},'
+    '"maintainers":[{"name":"n","email":"m{b}@x.example"}],"author":"A <a{b}@y.example>","bundledDependencies":["in{b}"]}'
+)
+
+
+def package_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """customer as one package.json per row."""
+    c = F.col("c_custkey")
+    return load(spark, folder, "customer").select(
+        F.concat(F.lit("p"), text(c)).alias("name"), F.concat(F.lit("1."), text(c % 9), F.lit(".0")).alias("version"),
+        _template(MANIFEST_TEMPLATE, a=text(c), b=text(c % 9)).alias("text"),
+    )
