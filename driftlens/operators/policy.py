@@ -157,6 +157,25 @@ def config_trust(configs: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def config_findings(configs: DataFrame, strict: bool = True, file: str = ".driftlens.json") -> DataFrame:
+    """One finding per run whose configuration is part of the change."""
+    judged = config_trust(configs, strict).filter("in_diff")
+    added = F.col("direction") == "added"
+    return judged.select(
+        "run_id", F.lit("config").alias("change_id"), F.lit("config.in-diff-untrusted").alias("detector"), F.lit("META").alias("category"),
+        F.lit("<config>").alias("package"), F.when(~added, "baseline").alias("from_ver"), F.lit("changed").alias("to_ver"), "direction", "severity",
+        F.lit("high").alias("confidence"),
+        F.lit("the configuration is part of this change" + (" and is not applied" if strict else " and is applied on request")).alias("message"),
+        F.array(
+            F.struct(
+                F.lit(file).alias("file"), F.lit(1).alias("line"),
+                F.when(added, "(not present before)").otherwise("(differs from the baseline)").alias("snippet"),
+            )
+        ).alias("evidence"),
+        F.lit(None).cast("string").alias("code_kind"),
+    )
+
+
 @dataclass(frozen=True)
 class Policy:
     review: tuple[str, ...] = ("INFO", "WARN")

@@ -119,23 +119,30 @@ def path_argument(argument: Column) -> Column:
     return F.when(joined != "", F.array_join(parts, "/")).when(only_text & (pieces != ""), pieces)
 
 
+FS_ARGUMENT = (
+    r"(?:path\s*\.\s*(?:join|resolve)\s*\((?:[^()]|\([^()]{0,80}\)){0,400}\)"
+    r"|(?:[«‹][0-9A-F]*[»›]|\([^()]{0,200}\)|os\s*\.\s*homedir\s*\(\s*\)|[\s+]){1,60})"
+)
+
+
 def file_targets(code: Column) -> Column:
     """Facts for literal targets of file calls; write names win over read names."""
-    argument = r"((?:path\s*\.\s*(?:join|resolve)\s*\((?:[^()]|\([^()]{0,80}\)){0,400}\))|(?:(?:[«‹][0-9A-F]*[»›]|\([^()]{0,200}\)|os\s*\.\s*homedir\s*\(\s*\)|[\s+]){1,60}))"
-    calls = F.arrays_zip(_all(code, FS_CALL + argument, 1).alias("op"), _all(code, FS_CALL + argument, 2).alias("arg"))
-    cap = lambda op: F.when(op.rlike(WRITE_NAME), "fs_write").when(op.rlike("(?i)read"), "fs_read")
-    found = F.transform(calls, lambda c: F.struct(cap(c["op"]).alias("cap"), path_argument(F.trim(c["arg"])).alias("key")))
+
+    def target(call):
+        op = F.regexp_extract(call, FS_CALL, 1)
+        cap = F.when(op.rlike(WRITE_NAME), "fs_write").when(op.rlike("(?i)read"), "fs_read")
+        return F.struct(cap.alias("cap"), path_argument(F.trim(F.regexp_replace(call, FS_CALL, ""))).alias("key"))
+
+    found = F.transform(_all(code, FS_CALL + FS_ARGUMENT, 0), target)
     kept = F.filter(found, lambda f: f["cap"].isNotNull() & f["key"].isNotNull() & (F.length(f["key"]) < 512) & (f["key"] != ""))
     return _each(kept, lambda f: _fact(f["cap"], f["key"], F.lit(1), F.concat(f["cap"], F.lit(" "), f["key"])))
 
 
-def hinted_targets(code: Column) -> Column:
+def hinted_targets(literals: Column, operations: Column) -> Column:
     """Sensitive-looking path literals anywhere in a file that touches files at all."""
     looks = r"^([~./]|[A-Z]:\\|/[a-zA-Z._-]|[a-zA-Z_-]+[/\\])"
     hints = "(?i)" + "|".join(V.SENSITIVE_PATH_HINTS)
-    literals = F.array_distinct(F.transform(_all(code, LIT), _plain))
     paths = F.filter(literals, lambda p: F.length(p).between(3, 199) & p.rlike(looks) & p.rlike(hints))
-    operations = _all(code, FS_CALL, 1)
 
     def part(cap, name):
         touches = F.exists(operations, lambda op: op.rlike(name))
@@ -153,15 +160,14 @@ def module_facts(modules: Column) -> Column:
     return F.concat(*[part(cap, members) for cap, members in JS_CLASSES.items()])
 
 
-def whole_file_facts(code: Column, written: Column) -> Column:
+def whole_file_facts(code: Column, written: Column, modules: Column, literals: Column, operations: Column) -> Column:
     decoder = written.rlike(r"\bString\s*\.\s*fromCharCode\s*\(") & written.rlike(r"\.\s*charCodeAt\b")
     kind = "char-arithmetic-decoder"
     short = F.filter(
-        F.array_distinct(F.transform(_all(code, LIT), _plain)),
-        lambda v: F.length(v).between(8, 199) & v.rlike("[a-zA-Z]") & v.contains("."),
+        literals, lambda v: F.length(v).between(8, 199) & v.rlike("[a-zA-Z]") & v.contains("."),
     )
     return F.concat(
-        module_facts(modules_of(code)), file_targets(code), hinted_targets(code),
+        module_facts(modules), file_targets(code), hinted_targets(literals, operations),
         _some(decoder, _fact("dynamic_code", F.concat_ws(":", "path", F.lit(1), F.lit(kind)), F.lit(1), F.lit("character codes read and written"), F.lit(kind))),
         F.when(decoder, _each(short, lambda v: _fact("suspicious_literal", F.lit(""), F.lit(1), F.substring(v, 1, 40)))).otherwise(_no_facts()),
     )
@@ -191,9 +197,7 @@ def line_facts(code: Column, raw: Column, line: Column) -> Column:
     ]))
 
     def sites(pattern, kind):
-        found = F.regexp_count(code, F.lit(pattern))
-        copies = F.when(found > 0, F.sequence(F.lit(1), found)).otherwise(F.array().cast("array<int>"))
-        return _each(copies, lambda _: _fact("dynamic_code", F.concat_ws(":", "path", line, F.lit(kind)), line, snippet, F.lit(kind)))
+        return _each(_all(code, pattern, 0), lambda _: _fact("dynamic_code", F.concat_ws(":", "path", line, F.lit(kind)), line, snippet, F.lit(kind)))
 
     return F.concat(
         _each(F.concat(keys, whole), lambda k: _fact("env", k, line, snippet)),
@@ -203,25 +207,31 @@ def line_facts(code: Column, raw: Column, line: Column) -> Column:
     )
 
 
-def url_facts(code: Column, comments: Column) -> Column:
-    """URLs with the strongest context they appear in; values that exist only after folding have none."""
-    network = _all(code, rf"(?<![\w$])(?:{CALLS})\s*\(\s*(?:[^(){{}}«»‹›+]*,\s*)?«([0-9A-F]*)»\s*[,)]")
-    config = _all(code, rf"(?:(?<![\w$])(?:{CONFIG})|«(?:{CONFIG_HEX})»)\s*:\s*«([0-9A-F]*)»\s*[,}}\n;]")
-    literal, folded = _all(code, "«([0-9A-F]*)»"), _all(code, "‹([0-9A-F]*)›")
+def url_lists(code: Column, comments: Column) -> dict[str, Column]:
+    """URLs by where they appear: call argument, configuration value, any literal, comment, folded value."""
 
-    def urls_in(codes):
-        texts = F.filter(F.transform(F.array_distinct(codes), _plain), lambda v: F.length(v).between(1, 4096))
+    def urls_in(pattern):
+        texts = F.filter(F.transform(F.array_distinct(_all(code, pattern)), _plain), lambda v: F.length(v).between(1, 4096))
         return F.array_distinct(F.flatten(F.transform(texts, lambda v: X.urls(v))))
 
+    return {
+        "network-arg": urls_in(rf"(?<![\w$])(?:{CALLS})\s*\(\s*(?:[^(){{}}«»‹›+]*,\s*)?«([0-9A-F]*)»\s*[,)]"),
+        "config-value": urls_in(rf"(?:(?<![\w$])(?:{CONFIG})|«(?:{CONFIG_HEX})»)\s*:\s*«([0-9A-F]*)»\s*[,}}\n;]"),
+        "literal": urls_in("«([0-9A-F]*)»"),
+        "comment": F.array_distinct(X.urls(comments)),
+        "folded": urls_in("‹([0-9A-F]*)›"),
+    }
+
+
+def url_facts(lists: dict[str, Column]) -> Column:
+    """Each URL once with its strongest context; values that exist only after folding have none."""
+
     def tagged(values, context):
         return _each(values, lambda u: _fact("url", u, F.lit(1), F.substring(u, 1, 240), context=F.lit(context)))
 
     stages, seen = [], F.array().cast("array<string>")
-    for values, context in (
-        (urls_in(network), "network-arg"), (urls_in(config), "config-value"), (urls_in(literal), "literal"),
-        (F.array_distinct(X.urls(comments)), "comment"), (urls_in(folded), None),
-    ):
-        stages.append(tagged(F.array_except(values, seen), context))
+    for name, values in lists.items():
+        stages.append(tagged(F.array_except(values, seen), None if name == "folded" else name))
         seen = F.array_union(seen, values)
     return F.concat(*stages)
 
@@ -252,8 +262,19 @@ def javascript_facts(files: DataFrame) -> DataFrame:
     per_line = F.transform(
         F.filter(numbered, lambda z: z["code"].rlike(triggers)), lambda z: line_facts(z["code"], z["raw"], z["line"])
     )
-    facts = F.concat(whole_file_facts(code, F.col("written")), F.flatten(per_line), url_facts(code, F.col("comments")), literal_candidates(code))
-    rows = exploded(tokenised(files.filter(~is_json)), facts)
+    # Values several facts need become columns first, so that each is computed once per file.
+    urls = url_lists(code, F.col("comments"))
+    prepared = tokenised(files.filter(~is_json)).withColumns(
+        {
+            "modules": modules_of(code), "literals": F.array_distinct(F.transform(_all(code, LIT), _plain)),
+            "operations": _all(code, FS_CALL, 1), **urls,
+        }
+    )
+    facts = F.concat(
+        whole_file_facts(code, F.col("written"), F.col("modules"), F.col("literals"), F.col("operations")), F.flatten(per_line),
+        url_facts({name: F.col(f"`{name}`") for name in urls}), literal_candidates(code),
+    )
+    rows = exploded(prepared, facts)
     hit = F.col("hit")
     hidden = _fact(
         "encoded_url", hit["url"], F.col("line"),
