@@ -75,8 +75,9 @@ def limit_batch(requests: DataFrame, window_ms: int = 60_000, most: int = 5) ->
     )
 
 
-def limit_stream(requests: DataFrame, window_ms: int = 60_000, most: int = 5) -> DataFrame:
-    """The same decisions on a stream; state expires one window after a client's last request."""
+def limit_stream(requests: DataFrame, window_ms: int = 60_000, most: int = 5, lateness: str = "10 minutes") -> DataFrame:
+    """The same decisions on a stream. State holds N timestamps per client and expires in event time, one
+    window after the client's last request; ``lateness`` is the watermark delay."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,14 +90,15 @@ def limit_stream(requests: DataFrame, window_ms: int = 60_000, most: int = 5) ->
             ok, wait, recent = decide(recent, ms, window_ms, most)
             rows.append((key[0], request_id, ok, wait))
         state.update((recent,))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(int(arrived["ms"].max()) + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["client", "request_id", "accepted", "retry_after_s"])
 
-    stamped = requests.select("client", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    timed = requests.select("client", "request_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    stamped = timed.withColumn("ms", F.unix_millis("ts"))
     return stamped.groupBy("client").applyInPandasWithState(
         step,
         outputStructType="client string, request_id long, accepted boolean, retry_after_s int",
         stateStructType="recent array<long>",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )

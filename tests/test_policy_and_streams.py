@@ -181,9 +181,10 @@ def test_limiter_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     as_frame(spark, requests).coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("client string, ts timestamp, request_id long").parquet(source)
-    query = limiter.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.processAllAvailable()
+    query = limiter.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    finished = query.awaitTermination(60)
     query.stop()
+    assert finished
     found = {(r.client, r.request_id): r.accepted for r in spark.table("limited").collect()}
     assert found == {k: v[0] for k, v in replay(requests, 60_000, 5).items()}
 
