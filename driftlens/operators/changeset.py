@@ -179,13 +179,20 @@ def distinct_pairs(content: DataFrame) -> DataFrame:
     )
 
 
-def attach(pairs: DataFrame, snapshot_rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of the old and the new snapshot of each pair, marked by side. ``snapshot_rows``: name, version, ..."""
-    keyed = snapshot_rows.withColumnRenamed("name", "package")
-    sides = [
-        pairs.join(keyed.withColumnRenamed("version", version), ["package", version]).select(
-            "run_id", "change_id", "package", "from_ver", "to_ver", F.lit(side).alias("side"), *columns
+def attach(pairs: DataFrame, snapshot_rows: DataFrame, columns: list) -> DataFrame:
+    """Rows of the old and the new snapshot of each pair, marked by side. ``snapshot_rows``: name, version, ...
+
+    Pairs are turned into (package, version, side) first, so the large snapshot table takes part in one join.
+    """
+    side = F.array_compact(
+        F.array(
+            F.struct(F.lit("new").alias("side"), F.col("to_ver").alias("version")),
+            F.when(F.col("from_ver").isNotNull(), F.struct(F.lit("old").alias("side"), F.col("from_ver").alias("version"))),
         )
-        for side, version in (("new", "to_ver"), ("old", "from_ver"))
-    ]
-    return sides[0].unionByName(sides[1])
+    )
+    wanted = pairs.select("run_id", "change_id", "package", "from_ver", "to_ver", F.explode(side).alias("s")).select(
+        "run_id", "change_id", "package", "from_ver", "to_ver", "s.side", "s.version"
+    )
+    return wanted.join(snapshot_rows.withColumnRenamed("name", "package"), ["package", "version"]).select(
+        "run_id", "change_id", "package", "from_ver", "to_ver", "side", *columns
+    )
