@@ -62,40 +62,33 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3, max
     return result
 
 
-def direct_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    named = nodes.select("run_id", F.col("key").alias("child_key"), "name")
-    return (
-        edges.filter(F.col("parent_key") == "")
-        .join(named, ["run_id", "child_key"])
-        .select("run_id", F.col("name").alias("direct"))
-        .distinct()
-    )
-
-
 def subtree_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """(run, direct dependency, package name) for every package below a direct dependency.
 
     Reachability over distinct name edges: the loop carries only new (direct, name) pairs and stops
     when a round adds none. Each round is written to checkpoint storage.
     """
-    keyed = nodes.filter(F.col("key") != "").select("run_id", "key", "name")
+    keyed = nodes.select("run_id", "key", "name")
+    # One pass over the edges serves both the direct dependencies and every later round.
     name_edges = cut_lineage(
         edges.join(keyed.selectExpr("run_id", "key as parent_key", "name as parent"), ["run_id", "parent_key"])
         .join(keyed.selectExpr("run_id", "key as child_key", "name as child"), ["run_id", "child_key"])
-        .select("run_id", "parent", "child")
+        .select("run_id", (F.col("parent_key") == "").alias("top"), "parent", "child")
         .distinct()
     )
-    reached = cut_lineage(direct_dependencies(nodes, edges).withColumn("name", F.col("direct")))
+    reached = cut_lineage(
+        name_edges.filter("top").select("run_id", F.col("child").alias("direct"), F.col("child").alias("name")).distinct()
+    )
+    name_edges = name_edges.filter("not top")
     parts, frontier = [reached], reached
     for _ in range(max_depth):
         known = parts[0]
         for part in parts[1:]:
             known = known.unionByName(part)
         step = (
-            frontier.join(
-                name_edges, (frontier.run_id == name_edges.run_id) & (frontier.name == name_edges.parent)
-            )
-            .select(frontier.run_id, "direct", F.col("child").alias("name"))
+            frontier.withColumnRenamed("name", "parent")
+            .join(name_edges, ["run_id", "parent"])
+            .select("run_id", "direct", F.col("child").alias("name"))
             .distinct()
             .join(known, ["run_id", "direct", "name"], "left_anti")
         )

@@ -427,9 +427,15 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         .unionByName(link(contains, key("o", "l_orderkey"), key("p", "l_partkey"), "l_partkey"))
         .withColumn("run_id", F.lit("g"))
     )
-    keys = edges.select("run_id", F.col("child_key").alias("key")).distinct().withColumn("name", F.col("key"))
-    root = region.select(F.lit("g").alias("run_id"), F.lit("").alias("key"), F.lit("").alias("name")).distinct()
-    return keys.unionByName(root), edges
+    part = load(spark, folder, "part")
+    sources = [
+        (region, "r", "r_regionkey"), (nation, "n", "n_nationkey"), (customer, "c", "c_custkey"), (supplier, "s", "s_suppkey"),
+        (orders, "o", "o_orderkey"), (part, "p", "p_partkey"),
+    ]
+    keys = region.select(F.lit("").alias("key")).distinct()  # the root
+    for table, prefix, column in sources:
+        keys = keys.unionByName(table.select(key(prefix, column).alias("key")))
+    return keys.select(F.lit("g").alias("run_id"), "key", F.col("key").alias("name")), edges
 
 
 def _template(pattern: str, **values: Column) -> Column:

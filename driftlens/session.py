@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +28,29 @@ def build_session(app: str = "driftlens", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder only when unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="driftlens-ckpt-"))
+def checkpoint_root(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only when it is unset, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    global _scratch
+    _scratch = _scratch or tempfile.mkdtemp(prefix="driftlens-ckpt-")
+    return _scratch
+
+
+_scratch: str | None = None
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration result on reliable storage, so a lost executor never replays the loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes an intermediate result to the shared checkpoint folder and reads it back.
+
+    A lost executor never replays the work before it. Unlike an RDD checkpoint the table is columnar, so
+    later steps read only the columns they use, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/driftlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
