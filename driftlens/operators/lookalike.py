@@ -9,8 +9,8 @@ from driftlens.functions import names as N
 from driftlens.schema import evidence_of, to_findings
 from driftlens.session import broadcast_if_small, spread
 
-# A name of 30 letters has about 470 deletion forms, so this many names stay below some 100 MB.
-BROADCAST_FORMS = 1_000_000
+# A name of 20 letters has about 210 deletion forms: room for some two thousand popular names, below 100 MB as a hash table.
+BROADCAST_FORMS = 400_000
 
 
 def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
