@@ -44,4 +44,20 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST((floor(n * e + u) - floor((n - 1) * e + u)) * size AS BIGINT) AS taken FROM k
 """
 
-ORACLE_SQL = {"op5_archives": ARCHIVES, "op8_mixing": MIXING}
+NEARDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS doc_id, coalesce((SELECT n FROM n WHERE n.doc_id = r.a), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM r GROUP BY a
+"""
+
+ORACLE_SQL = {"op1_neardup": NEARDUP, "op5_archives": ARCHIVES, "op8_mixing": MIXING}

@@ -30,9 +30,14 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+WHITE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: For comparisons that ignore punctuation: every ASCII character but letters and digits separates words.
+NOT_ALPHANUMERIC = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Flags of bytes in words, and of first bytes of words."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
@@ -51,7 +56,8 @@ class WordHasher:
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, lower: bool = True):
+    def __init__(self, lower: bool = True, separators: np.ndarray = WHITE):
+        self.separators = separators
         self.bytes = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
         if lower:
             self.bytes[65:91] = self.bytes[97:123]
@@ -69,7 +75,7 @@ class WordHasher:
         """The hashes of all words in order, and the index of each text's first word, one more for the end."""
         data, offsets = bytes_of(texts)
         self._grow(len(data))
-        inside, first = _starts(data, offsets)
+        inside, first = _starts(data, offsets, self.separators)
         last = inside.copy()
         last[:-1] &= ~inside[1:] | first[1:]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
