@@ -11,6 +11,7 @@ from driftlens.llm.decontaminate import find_leaks
 from driftlens.llm.mixing import mix_documents
 from driftlens.llm.neardup import find_near_duplicates
 from driftlens.llm.packing import pack_documents
+from driftlens.llm.pii import label_documents
 from driftlens.llm.quality import score_documents
 from driftlens.llm.secret_scan import scan_documents
 from driftlens.llm.sql import ORACLE_SQL
@@ -18,6 +19,7 @@ from driftlens.llm.sql import ORACLE_SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": find_near_duplicates,
     "op2_packing": pack_documents,
+    "op3_pii": label_documents,
     "op4_secrets": scan_documents,
     "op5_archives": archive_pages,
     "op6_decontaminate": find_leaks,
