@@ -15,6 +15,7 @@ from driftlens.llm.pii import label_documents
 from driftlens.llm.quality import score_documents
 from driftlens.llm.secret_scan import scan_documents
 from driftlens.llm.sql import ORACLE_SQL
+from driftlens.llm.vectors import find_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": find_near_duplicates,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": scan_documents,
     "op5_archives": archive_pages,
     "op6_decontaminate": find_leaks,
+    "op7_vectors": find_near_vectors,
     "op8_mixing": mix_documents,
     "op10_quality": score_documents,
 }

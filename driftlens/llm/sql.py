@@ -60,4 +60,18 @@ SELECT a AS doc_id, coalesce((SELECT n FROM n WHERE n.doc_id = r.a), 0) AS n_shi
 FROM r GROUP BY a
 """
 
-ORACLE_SQL = {"op1_neardup": NEARDUP, "op5_archives": ARCHIVES, "op8_mixing": MIXING}
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS z FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) / (x.z * y.z) >= 0.95
+),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
+"""
+
+ORACLE_SQL = {"op7_vectors": VECTORS, "op1_neardup": NEARDUP, "op5_archives": ARCHIVES, "op8_mixing": MIXING}
