@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.archives import archive_pages
 from driftlens.llm.decontaminate import find_leaks
+from driftlens.llm.extraction import extract_pages
 from driftlens.llm.mixing import mix_documents
 from driftlens.llm.neardup import find_near_duplicates
 from driftlens.llm.packing import pack_documents
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": find_leaks,
     "op7_vectors": find_near_vectors,
     "op8_mixing": mix_documents,
+    "op9_extraction": extract_pages,
     "op10_quality": score_documents,
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
