@@ -9,17 +9,21 @@ from driftlens.schema import rank_label, severity_rank
 from driftlens.session import cut_lineage
 
 
-def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3, max_depth: int = 100) -> DataFrame:
+def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) -> DataFrame:
     """Up to ``max_paths`` shortest name paths from the root to every node of each run.
 
-    Level-synchronous search. Each level keeps the first ``max_paths`` paths per node in queue order
-    with a top-k window, which Spark trims per partition before the shuffle, so a node that a third of
-    all packages depend on never gathers its parents in one task. Visited nodes leave by anti-join.
+    Level-synchronous search until no node is left; a graph may have any depth. A path never holds a name twice. Only
+    names of two or more keys can be met again (a key is visited on one level only), so a path carries the set of those it
+    holds, and paths are cut to the first ``max_paths`` in queue order among paths to the same key with the same set: what
+    follows may block one set and not another. The answer is cut once more, per key. Both cuts are top-k windows, which
+    Spark trims per partition before the shuffle, so a node that a third of all packages depend on never gathers its
+    parents in one task.
     """
-    named = nodes.filter(F.col("key") != "").select("run_id", F.col("key").alias("child_key"), "name")
+    keyed = nodes.filter(F.col("key") != "").select("run_id", F.col("key").alias("child_key"), "name")
+    repeated = keyed.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").select("run_id", "name", F.lit(True).alias("repeats"))
     links = cut_lineage(
-        edges.join(named, ["run_id", "child_key"]).select(
-            "run_id", "parent_key", F.col("child_key").alias("key"), "name", "ord"
+        edges.join(keyed.join(repeated, ["run_id", "name"], "left"), ["run_id", "child_key"]).select(
+            "run_id", "parent_key", F.col("child_key").alias("key"), "name", "ord", F.coalesce("repeats", F.lit(False)).alias("repeats")
         )
     )
     roots = nodes.filter(F.col("key") == "").select("run_id", F.col("name").alias("root_name")).distinct()
@@ -30,83 +34,95 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3, max
         F.lit("").alias("key"),
         F.array(F.coalesce(F.when(F.col("root_name") != "", F.col("root_name")), F.lit("(root)"))).alias("path"),
         F.array().cast("array<bigint>").alias("trail"),
+        F.array().cast("array<string>").alias("held"),
     )
-    levels = []
+    levels, depth = [], 0
     visited = frontier.select("run_id", "key")
+    alike = Window.partitionBy("run_id", "key", "held").orderBy("trail")
     first = Window.partitionBy("run_id", "key").orderBy("trail")
-    for depth in range(1, max_depth + 1):
+    while True:
+        depth += 1
         step = (
             frontier.withColumnRenamed("key", "parent_key")
             .join(links, ["run_id", "parent_key"])
-            .filter(~F.array_contains(F.slice("path", 2, max_depth + 1), F.col("name")))
+            .filter(~(F.col("repeats") & F.array_contains("held", F.col("name"))))
             .select(
                 "run_id", "key",
                 F.concat("path", F.array("name")).alias("path"),
                 F.concat("trail", F.array("ord")).alias("trail"),
+                F.when(F.col("repeats"), F.array_sort(F.concat("held", F.array("name")))).otherwise(F.col("held")).alias("held"),
             )
             .join(visited, ["run_id", "key"], "left_anti")
-            .withColumn("place", F.row_number().over(first))
-            .filter(F.col("place") <= max_paths)
+            .withColumn("rank", F.row_number().over(alike))
+            .filter(F.col("rank") <= max_paths)
+            .drop("rank")
         )
-        step = cut_lineage(step)
-        if step.isEmpty():
+        frontier = cut_lineage(step)
+        if frontier.isEmpty():
             break
-        levels.append(step.withColumn("depth", F.lit(depth)))
-        frontier = step.drop("place")
-        visited = visited.unionByName(step.select("run_id", "key").distinct())
+        levels.append(frontier.select("run_id", "key", "path", "trail", F.lit(depth).alias("depth")))
+        visited = visited.unionByName(frontier.select("run_id", "key").distinct())
     if not levels:
-        return frontier.filter("false").withColumns({"place": F.lit(0), "depth": F.lit(0)})
+        return frontier.select("run_id", "key", "path", "trail", F.lit(0).alias("place"), F.lit(0).alias("depth"))
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)
-    return result
+    return result.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_paths)
 
 
-def subtree_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(run, direct dependency, package name) for every package below a direct dependency.
+def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """(run, tag, key) for every key that the seeds (run, tag, key) reach over the steps (run, key, next), themselves included.
 
-    Reachability over distinct name edges: the loop carries only new (direct, name) pairs and stops
-    when a round adds none. Each round is written to checkpoint storage.
+    The loop carries only new pairs and ends when a round adds none, which happens on any graph, cycles included.
     """
-    keyed = nodes.select("run_id", "key", "name")
-    # One pass over the edges serves both the direct dependencies and every later round.
-    name_edges = cut_lineage(
-        edges.join(keyed.selectExpr("run_id", "key as parent_key", "name as parent"), ["run_id", "parent_key"])
-        .join(keyed.selectExpr("run_id", "key as child_key", "name as child"), ["run_id", "child_key"])
-        .select("run_id", (F.col("parent_key") == "").alias("top"), "parent", "child")
-        .distinct()
-    )
-    reached = cut_lineage(
-        name_edges.filter("top").select("run_id", F.col("child").alias("direct"), F.col("child").alias("name")).distinct()
-    )
-    name_edges = name_edges.filter("not top")
-    parts, frontier = [reached], reached
-    for _ in range(max_depth):
-        known = parts[0]
-        for part in parts[1:]:
-            known = known.unionByName(part)
-        step = (
-            frontier.withColumnRenamed("name", "parent")
-            .join(name_edges, ["run_id", "parent"])
-            .select("run_id", "direct", F.col("child").alias("name"))
+    frontier = cut_lineage(seeds.distinct())
+    known = frontier
+    while not frontier.isEmpty():
+        frontier = cut_lineage(
+            frontier.join(steps, ["run_id", "key"])
+            .select("run_id", "tag", F.col("next").alias("key"))
             .distinct()
-            .join(known, ["run_id", "direct", "name"], "left_anti")
+            .join(known, ["run_id", "tag", "key"], "left_anti")
+        )
+        known = known.unionByName(frontier)
+    return known
+
+
+def direct_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run, direct) names of the root's children."""
+    children = edges.filter(F.col("parent_key") == "").select("run_id", F.col("child_key").alias("key"))
+    return children.join(nodes.select("run_id", "key", "name"), ["run_id", "key"]).select("run_id", F.col("name").alias("direct")).distinct()
+
+
+def subtree_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run, direct dependency, package name) for every package below any instance of a direct dependency's name.
+
+    Reachability goes from key to key, so a path that enters a package by one instance does not leave it by another.
+    """
+    keyed = nodes.select("run_id", "key", "name")
+    direct = direct_names(nodes, edges).withColumnRenamed("direct", "name")
+    seeds = direct.join(keyed, ["run_id", "name"]).select("run_id", F.col("name").alias("tag"), "key")
+    steps = cut_lineage(edges.select("run_id", F.col("parent_key").alias("key"), F.col("child_key").alias("next")).distinct())
+    return _reach(seeds, steps).join(keyed, ["run_id", "key"]).select("run_id", F.col("tag").alias("direct"), "name").distinct()
+
+
+def rollup_by_direct(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> DataFrame:
+    """Worst severity and number of findings in the subtree of each direct dependency.
+
+    Walks upwards from the packages that have findings, usually few, instead of down from every direct dependency.
+    """
+    keyed = nodes.select("run_id", "key", "name")
+    per_package = cut_lineage(
+        findings.groupBy("run_id", F.col("package").alias("name")).agg(
+            F.min(severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("n")
         )
-        step = cut_lineage(step)
-        if step.isEmpty():
-            return known
-        parts.append(step)
-        frontier = step
-    raise ValueError(f"dependency graph deeper than {max_depth}")
-
-
-def rollup_by_direct(closure: DataFrame, findings: DataFrame) -> DataFrame:
-    """Worst severity and number of findings in the subtree of each direct dependency."""
-    per_package = findings.groupBy("run_id", F.col("package").alias("name")).agg(
-        F.min(severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("n")
     )
+    seeds = keyed.join(per_package, ["run_id", "name"]).select("run_id", F.col("name").alias("tag"), "key")
+    steps = cut_lineage(edges.select("run_id", F.col("child_key").alias("key"), F.col("parent_key").alias("next")).distinct())
+    direct = direct_names(nodes, edges)
+    above = _reach(seeds, steps).join(keyed, ["run_id", "key"]).select("run_id", F.col("name").alias("direct"), F.col("tag").alias("name")).distinct()
     return (
-        closure.join(per_package, ["run_id", "name"], "left")
+        direct.join(above.join(per_package, ["run_id", "name"]), ["run_id", "direct"], "left")
         .groupBy("run_id", "direct")
         .agg(F.min("rank").alias("rank"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
         .select("run_id", "direct", rank_label(F.col("rank")).alias("max_severity"), "count")

@@ -203,7 +203,7 @@ def run_diff(locks: dict[str, DataFrame], snapshots: Snapshots, lists: Lists, co
 def summarise(locks: dict[str, DataFrame], changes: DataFrame, findings: DataFrame, errors: DataFrame) -> Result:
     new_nodes = locks["nodes"].filter("side = 'new'").drop("side")
     new_edges = locks["edges"].filter("side = 'new'").drop("side")
-    rollup = G.rollup_by_direct(G.subtree_closure(new_nodes, new_edges), findings)
+    rollup = G.rollup_by_direct(new_nodes, new_edges, findings)
     all_runs = locks["nodes"].select("run_id").distinct()
     graded = A.verdicts(findings, ["run_id"]).join(A.risk_scores(findings, ["run_id"]), "run_id")
     runs = all_runs.join(graded, "run_id", "left").select(

@@ -47,16 +47,15 @@ def shortest(names, children, target, most=3):
 
 
 def reachable(names, children, direct):
-    by_name = {}
-    for key, targets in children.items():
-        by_name.setdefault(names[key], set()).update(names[t] for t in targets)
-    seen, stack = set(), [direct]
+    """Names below any instance of the direct name, from key to key."""
+    stack = [k for k in names if names[k] == direct]
+    seen = set()
     while stack:
-        name = stack.pop()
-        if name not in seen:
-            seen.add(name)
-            stack.extend(by_name.get(name, ()))
-    return seen
+        key = stack.pop()
+        if key not in seen:
+            seen.add(key)
+            stack.extend(children[key])
+    return {names[k] for k in seen}
 
 
 def test_paths_match_a_queue_search(spark):
@@ -84,7 +83,7 @@ def test_closure_and_rollup(spark):
     assert found == expected
     findings = spark.createDataFrame([(run, f"n{i}", s) for run in graphs for i, s in ((1, "WARN"), (2, "INFO"), (3, "BLOCK"), (3, "INFO"))], "run_id string, package string, severity string")
     rank = {"n1": ["WARN"], "n2": ["INFO"], "n3": ["BLOCK", "INFO"]}
-    for r in G.rollup_by_direct(closure, findings).collect():
+    for r in G.rollup_by_direct(nodes, edges, findings).collect():
         hits = [s for n in expected[(r.run_id, r.direct)] for s in rank.get(n, [])]
         worst = next((s for s in ("BLOCK", "WARN", "INFO") if s in hits), "CLEAN")
         assert (r.max_severity, r["count"]) == (worst, len(hits))
@@ -101,3 +100,43 @@ def test_no_edges(spark):
     nodes = spark.createDataFrame([("g", "", "app")], NODES)
     edges = spark.createDataFrame([], EDGES)
     assert G.provenance_paths(nodes, edges).count() == 0
+
+
+def test_a_path_beyond_three_blocked_ones_is_found(spark):
+    """Four equally short ways to x; the first three hold the name c, and x depends on another instance of c."""
+    names = {"": "app", "a": "a", "c1": "c", "b1": "b1", "b2": "b2", "b3": "b3", "d": "d", "e": "e", "x": "x", "c2": "c"}
+    children = {k: [] for k in names}
+    children |= {"": ["c1", "a"], "c1": ["b1", "b2", "b3"], "a": ["d"], "b1": ["x"], "b2": ["x"], "b3": ["x"], "d": ["x"], "x": ["c2"]}
+    nodes, edges = frames(spark, {"g": (names, children)})
+    found = {(r.key, r.place): list(r.path) for r in G.provenance_paths(nodes, edges).collect()}
+    assert found["c2", 1] == ["app", "a", "d", "x", "c"] == shortest_valid(names, children, "c2")
+    assert [found["x", p] for p in (1, 2, 3)] == [["app", "c", b, "x"] for b in ("b1", "b2", "b3")] and ("x", 4) not in found
+
+
+def shortest_valid(names, children, target):
+    """The first of the shortest paths without a repeated name, by trying all."""
+    queue = deque([("", ["app"])])
+    while queue:
+        key, path = queue.popleft()
+        if key == target:
+            return path
+        queue.extend((c, [*path, names[c]]) for c in children[key] if names[c] not in path[1:])
+
+
+def test_instances_of_a_name_are_kept_apart(spark):
+    names = {"": "app", "a": "a", "b": "b", "c1": "c", "c2": "c", "x": "x"}
+    children = {"": ["a", "b"], "a": ["c1"], "b": ["c2"], "c1": [], "c2": ["x"], "x": []}
+    nodes, edges = frames(spark, {"g": (names, children)})
+    found = {(r.direct, r.name) for r in G.subtree_closure(nodes, edges).collect()}
+    assert found == {("a", "a"), ("a", "c"), ("b", "b"), ("b", "c"), ("b", "x")}
+    findings = spark.createDataFrame([("g", "x", "BLOCK"), ("g", "c", "WARN"), ("g", "elsewhere", "INFO")], "run_id string, package string, severity string")
+    graded = {r.direct: (r.max_severity, r["count"]) for r in G.rollup_by_direct(nodes, edges, findings).collect()}
+    assert graded == {"a": ("WARN", 1), "b": ("BLOCK", 2)}
+
+
+def test_depth_has_no_bound(spark):
+    size = 105
+    names = {"": "app"} | {f"k{i}": f"n{i}" for i in range(size)}
+    children = {"": ["k0"]} | {f"k{i}": [f"k{i + 1}"] if i + 1 < size else [] for i in range(size)}
+    nodes, edges = frames(spark, {"g": (names, children)})
+    assert G.provenance_paths(nodes.coalesce(1), edges.coalesce(1)).count() == size
