@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import names as N
 from driftlens.schema import evidence_of, to_findings
-from driftlens.session import broadcast_if_small, spread
-
-# A name of 20 letters has about 210 deletion forms: room for some two thousand popular names, below 100 MB as a hash table.
-BROADCAST_FORMS = 400_000
+from driftlens.session import spread
 
 
 def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -41,9 +38,9 @@ def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2)
         F.coalesce(scope, F.lit("")).alias("space"),
         F.when(scope.isNull(), F.col("name")).otherwise(base).alias("target_word"),
     ).withColumn("form", F.explode(N.deletions_up_to_two(F.col("target_word"))))
-    # The popular list is short: its forms are broadcast once counted, and candidates never shuffle.
+    # Adaptive execution broadcasts the forms of a short list by their real size; a long list shuffles.
     candidates = (
-        left.join(broadcast_if_small(right, BROADCAST_FORMS), ["space", "form"])
+        left.join(right, ["space", "form"])
         .filter(F.abs(F.length("word") - F.length("target_word")) <= max_distance)
         .select("name", "target", "ord", "word", "target_word")
         .distinct()

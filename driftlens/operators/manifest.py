@@ -193,15 +193,8 @@ def disposable_author_domains(emails: DataFrame, domains: DataFrame) -> DataFram
         .withColumn("domain", N.mail_domain(F.col("email")))
         .join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi")
     )
-    place = F.row_number().over(Window.partitionBy("run_id", "change_id").orderBy("email"))
-    counted = fresh.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("hits"))
-    shown = (
-        fresh.withColumn("place", place)
-        .filter("place <= 80")
-        .groupBy("run_id", "change_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("email")), ", ").alias("listed"))
-    )
-    rows = counted.join(shown, ["run_id", "change_id"])
+    # every address of a package is listed, as its manifest holds them in one document
+    rows = fresh.groupBy(*PAIR).agg(F.array_join(F.sort_array(F.collect_list("email")), ", ").alias("listed"))
     added = F.col("from_ver").isNull()
     return to_findings(
         rows, "meta.disposable-author-domain", "META",
@@ -220,14 +213,8 @@ def bundled_dependencies(bundled: DataFrame) -> DataFrame:
         .agg(F.bool_or(is_old()).alias("known"))
         .filter(~F.col("known"))
     )
-    place = F.row_number().over(Window.partitionBy("run_id", "change_id").orderBy("name"))
-    shown = (
-        fresh.withColumn("place", place)
-        .filter("place <= 80")
-        .groupBy("run_id", "change_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("listed"))
-    )
-    rows = fresh.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("hits")).join(shown, ["run_id", "change_id"])
+    # every name is listed, as the manifest of the package holds them in one document
+    rows = fresh.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("hits"), F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("listed"))
     return to_findings(
         rows, "deps.bundled-dependency-added", "DEPS", "WARN", "high",
         F.concat(F.col("hits").cast("string"), F.lit(" package(s) newly shipped inside the archive: "), F.col("listed")),

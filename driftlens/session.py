@@ -29,10 +29,12 @@ def build_session(app: str = "driftlens", master: str | None = None, **extra: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only when it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local master may go without; it gets a scratch folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     global _scratch
     _scratch = _scratch or tempfile.mkdtemp(prefix="driftlens-ckpt-")
     return _scratch
@@ -62,8 +64,3 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *columns)
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Broadcast hint when a bounded count proves the side small; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
