@@ -19,7 +19,7 @@ from driftlens.operators.scan_python import FACT, FILE, _all, _each, _fact, _som
 
 TOKENS = (
     r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\n]*\"?|'[^'\n]*'?|`[^`]*`?"
-    r"|(?<=[=(,:\[!&|?{};\n]\s{0,4})/(?![*/])(?:[^/\\\n\[]|\\.|\[[^\]\n]{0,200}\]){1,400}/[a-z]*"
+    r"|(?<=[=(,:\[!&|?{};\n]\s{0,64})/(?![*/])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*"
     r"|[^/\"'`]+|/)"
 )
 LIT = r"[«‹]([0-9A-F]*)[»›]"
@@ -120,8 +120,8 @@ def path_argument(argument: Column) -> Column:
 
 
 FS_ARGUMENT = (
-    r"(?:path\s*\.\s*(?:join|resolve)\s*\((?:[^()]|\([^()]{0,80}\)){0,400}\)"
-    r"|(?:[«‹][0-9A-F]*[»›]|\([^()]{0,200}\)|os\s*\.\s*homedir\s*\(\s*\)|[\s+]){1,60})"
+    r"(?:path\s*\.\s*(?:join|resolve)\s*\((?:[^()]++|\([^()]*+\))*+\)"
+    r"|(?:[«‹][0-9A-F]*[»›]|\([^()]*+\)|os\s*\.\s*homedir\s*\(\s*\)|[\s+])++)"
 )
 
 
@@ -167,7 +167,7 @@ def whole_file_facts(code: Column, written: Column, modules: Column, literals: C
         literals, lambda v: F.length(v).between(8, 199) & v.rlike("[a-zA-Z]") & v.contains("."),
     )
     return F.concat(
-        module_facts(modules), file_targets(code), hinted_targets(literals, operations),
+        module_facts(modules), F.array_distinct(F.concat(file_targets(code), hinted_targets(literals, operations))),
         _some(decoder, _fact("dynamic_code", F.concat_ws(":", "path", F.lit(1), F.lit(kind)), F.lit(1), F.lit("character codes read and written"), F.lit(kind))),
         F.when(decoder, _each(short, lambda v: _fact("suspicious_literal", F.lit(""), F.lit(1), F.substring(v, 1, 40)))).otherwise(_no_facts()),
     )

@@ -43,9 +43,9 @@ lock_base AS (
          ELSE (p_partkey % 50)::VARCHAR END AS moved
   FROM part),
 lock_nodes AS (
-  SELECT run_id, 'old' AS side, key, name, version, kept AS integrity, resolved, ord FROM lock_base WHERE ord % 5 <> 0
+  SELECT run_id, 'old' AS side, key, name, version, kept AS integrity, resolved, ord FROM lock_base WHERE ord % 5 <> 0 OR ord % 35 = 0
   UNION ALL
-  SELECT run_id, 'new', key, name, version, moved, resolved, ord FROM lock_base WHERE ord % 7 <> 0),
+  SELECT run_id, 'new', key, name, version, moved, resolved, ord FROM lock_base WHERE ord % 7 <> 0 OR ord % 35 = 0),
 last_entry AS (
   SELECT run_id, side, name, version, arg_max(key, ord) AS key, arg_max(integrity, ord) AS integrity,
     arg_max(COALESCE(resolved, ''), ord) AS resolved, min(ord) AS first_ord,
@@ -234,7 +234,7 @@ scripts AS (
     CASE WHEN o_custkey % 60 % 4 <> 0 THEN '1.0.0' END AS from_ver, '2.0.0' AS to_ver,
     CASE WHEN o_custkey % 60 % 4 <> 0 AND month(o_orderdate) % 2 = 0 THEN 'old' ELSE 'new' END AS side,
     {_pick(T.HOOKS, '(o_orderkey + o_custkey) % 8')} AS hook, 'node ' || lower(o_orderstatus) || year(o_orderdate) || '.js' AS body
-  FROM orders WHERE o_orderkey % 4 <> 3)
+  FROM orders)
 """
 HOOK_SEVERITY = f"""CASE WHEN hook IN {_in(V.INSTALL_HOOKS)} THEN 'BLOCK' WHEN hook IN {_in(V.PREPARE_HOOKS)} THEN 'INFO'
   WHEN hook IN {_in(V.PUBLISH_HOOKS)} THEN 'WARN' WHEN hook IN {_in(V.CI_HOOKS)} THEN 'INFO' END"""
@@ -325,11 +325,13 @@ h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text,
 SELECT doc_id, lower(host) AS host FROM h WHERE CASE WHEN regexp_matches(host, '^[\d.]+$') THEN NOT regexp_matches(host, '^(127|0)\.')
   ELSE lower(host) NOT IN {_in(V.RESERVED_DOMAINS)} AND regexp_extract(lower(host), '[^.]*$') NOT IN {_in(V.RESERVED_TLDS)} END"""
 FILES = f"""{ENTROPY_ROWS},
-file_rows AS (SELECT doc_id, source, doc_id // 40 AS unit, (doc_id // 20) % 2 = 0 AS is_old, source IN ('src0','src5','src10','src15') AS is_added,
-    {MINIFIED} AS minified, len(regexp_extract_all(text, '[0-9a-f]{{40}}')) AS suspicious FROM documents),
+file_base AS (SELECT *, doc_id // 40 AS unit, (doc_id // 20) % 2 = 0 AS half, source IN ('src0','src5','src10','src15') AS is_added FROM documents),
+file_rows AS (SELECT doc_id, source, unit, half AND unit % 5 <> 1 AND NOT is_added AS is_old, is_added,
+    CASE WHEN half THEN unit % 5 <> 1 AND NOT is_added ELSE unit % 3 <> 2 END AS placed,
+    {MINIFIED} AS minified, len(regexp_extract_all(text, '[0-9a-f]{{40}}')) AS suspicious FROM file_base),
 files AS (SELECT 'docs' AS run_id, source AS change_id, source AS package, CASE WHEN NOT is_added THEN '1' END AS from_ver, '2' AS to_ver, is_old,
-    CASE WHEN unit % 4 = 0 THEN 'dist/f' ELSE 'src/f' END || unit || '.js' AS path, minified, suspicious, COALESCE(entropy, 0) AS entropy, unit
-  FROM file_rows LEFT JOIN entropies USING (doc_id) WHERE CASE WHEN is_old THEN unit % 5 <> 1 AND NOT is_added ELSE unit % 3 <> 2 END),
+    CASE WHEN NOT placed THEN 'extra/f' || doc_id || '.js' ELSE CASE WHEN unit % 4 = 0 THEN 'dist/f' ELSE 'src/f' END || unit || '.js' END AS path, minified, suspicious, COALESCE(entropy, 0) AS entropy, unit
+  FROM file_rows LEFT JOIN entropies USING (doc_id)),
 n AS (SELECT f.*, p.path IS NOT NULL AS paired, p.entropy AS e0, p.minified AS m0, p.suspicious AS s0,
     regexp_matches(f.path, {_regex(V.BUILD_DIR)}) AS build, (f.unit % 8 = 0 AND f.path LIKE 'dist/%') AS expected
   FROM files f LEFT JOIN files p ON p.is_old AND p.change_id = f.change_id AND p.path = f.path WHERE NOT f.is_old)"""
@@ -705,7 +707,6 @@ UNION ALL SELECT path, 'url', 'https://h' || k || '.example/p', 1, 'network-arg'
 UNION ALL SELECT path, 'url', 'https://joined' || k || '.example/z', 1, NULL FROM s
 UNION ALL SELECT path, 'env', env, 4, NULL FROM s
 UNION ALL SELECT path, 'fs_write', '/etc/f' || k, 1, NULL FROM s
-UNION ALL SELECT path, 'fs_write', '/etc/f' || k, 1, NULL FROM s
 UNION ALL SELECT path, 'dynamic_code', path || ':8:eval', 8, NULL FROM s"""
 _PY = _JS.replace(".js'", ".py'").replace(_pick(T.JS_MODULES, "o_orderkey % 5"), _pick(T.PY_MODULES, "o_orderkey % 5"))
 ORACLE["scan_python"] = f"""WITH {_PY}

@@ -611,7 +611,7 @@ def rollup_by_direct(spark, folder):
         F.concat(F.lit("c"), F.split("package", "[u-]")[1]).alias("package"),
         "severity",
     )
-    return G.rollup_by_direct(G.subtree_closure(nodes, edges), found).select("direct", "max_severity", "count")
+    return G.rollup_by_direct(nodes, edges, found).select("direct", "max_severity", "count")
 
 
 # --- studies, coverage, assurance -----------------------------------------------------------------------

@@ -62,8 +62,8 @@ def lock_nodes(spark: SparkSession, folder: str) -> DataFrame:
     shifted = F.when((k % 13 == 0) & (k % 17 != 0), text(k % 50 + 1)).otherwise(integrity)
     sides = F.array_compact(
         F.array(
-            F.when(k % 5 != 0, F.struct(F.lit("old").alias("side"), integrity.alias("integrity"))),
-            F.when(k % 7 != 0, F.struct(F.lit("new").alias("side"), shifted.alias("integrity"))),
+            F.when((k % 5 != 0) | (k % 35 == 0), F.struct(F.lit("old").alias("side"), integrity.alias("integrity"))),
+            F.when((k % 7 != 0) | (k % 35 == 0), F.struct(F.lit("new").alias("side"), shifted.alias("integrity"))),
         )
     )
     name = F.concat_ws("-", "p_name", "p_brand")
@@ -142,17 +142,19 @@ def _files_base(spark: SparkSession, folder: str) -> DataFrame:
     unit = F.floor(d / 40)
     old = F.floor(d / 20) % 2 == 0
     added = F.col("source").isin("src0", "src5", "src10", "src15")
+    # files that have no place in the two layouts stand beside them as new ones
+    placed = F.when(old, (unit % 5 != 1) & ~added).otherwise(unit % 3 != 2)
     return (
         load(spark, folder, "documents")
-        .filter(F.when(old, (unit % 5 != 1) & ~added).otherwise(unit % 3 != 2))
         .select(
             F.lit("docs").alias("run_id"),
             F.col("source").alias("change_id"),
             F.col("source").alias("package"),
             F.when(~added, "1").alias("from_ver"),
             F.lit("2").alias("to_ver"),
-            F.when(old, "old").otherwise("new").alias("side"),
-            F.concat(F.when(unit % 4 == 0, "dist/f").otherwise("src/f"), text(unit), F.lit(".js")).alias("path"),
+            F.when(old & placed, "old").otherwise("new").alias("side"),
+            F.when(placed, F.concat(F.when(unit % 4 == 0, "dist/f").otherwise("src/f"), text(unit), F.lit(".js")))
+            .otherwise(F.concat(F.lit("extra/f"), text(d), F.lit(".js"))).alias("path"),
             "text",
             d.alias("ord"),
         )
@@ -324,7 +326,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     supplier = c % 60
     added = supplier % 4 == 0
-    return load(spark, folder, "orders").filter(o % 4 != 3).select(
+    return load(spark, folder, "orders").select(
         F.concat(F.lit("r"), text(supplier % 7)).alias("run_id"),
         F.concat(F.lit("s"), text(supplier)).alias("change_id"),
         F.concat(F.lit("pkg-"), text(supplier)).alias("package"),
