@@ -266,3 +266,75 @@ CLASS_ALIASES = {
 }
 RESERVED_TLDS = ["invalid", "test", "example", "localhost"]
 RESERVED_DOMAINS = ["example.com", "example.org", "example.net"]
+
+# Python line rules, fixed values: (fact, patterns that the masked line must match (all), pattern of the raw line whose
+# first group is the key, or None, key or site kind of rules without such a pattern). A second group of a pattern is the
+# mode of an opened file. "exec" of compile is looked for in the raw line, where strings are kept.
+PYTHON_LINE_RULES = [
+    ("site", [r"\b__import__\s*\("], None, "dynamic-require"),
+    ("site", [r"\bimportlib(?:\.util)?\.import_module\s*\("], None, "dynamic-require"),
+    ("module", [r"\b__import__\s*\("], None, "importlib"),
+    ("module", [r"\bimportlib(?:\.util)?\.import_module\s*\("], None, "importlib"),
+    ("site", [r"\bexec\s*\("], None, "eval"),
+    ("site", [r"\beval\s*\("], None, "eval"),
+    ("site", [r"\bcompile\s*\("], r"\b(compile)\s*\([\s\S]*?['\"]exec['\"]", "new-function"),
+    ("site", [r"\bmarshal\.loads?\s*\("], None, "new-function"),
+    ("module", [r"\bmarshal\.loads?\s*\("], None, "marshal"),
+    ("module", [r"\bsubprocess\.(?:run|call|Popen|check_output|check_call)\b"], None, "subprocess"),
+    ("module", [r"\bos\.(?:system|popen|exec[lv][ep]?|spawn[lv][ep]?)\b"], None, "os.system"),
+    ("env", [r"\bos\.environ\b"], r"\bos\.environ\.get\s*\(\s*['\"]([A-Z_][A-Z0-9_]*)['\"]", None),
+    ("env", [r"\bos\.environ\b"], r"\bos\.environ\s*\[\s*['\"]([A-Z_][A-Z0-9_]*)['\"]", None),
+    ("env", [r"\bfor\s+\w+(?:\s*,\s*\w+)?\s+in\s+os\.environ\b"], None, "*"),
+    ("env", [r"\bdict\s*\(\s*os\.environ\b"], None, "*"),
+    ("env", [r"\blist\s*\(\s*os\.environ\b"], None, "*"),
+    ("env", [r"\{\s*\*\*\s*os\.environ\b"], None, "*"),
+    ("env", [r"\bos\.environ\.(?:items|keys|values)\s*\("], None, "*"),
+    ("env", [r"\bos\.getenv\b"], r"\bos\.getenv\s*\(\s*['\"]([A-Z_][A-Z0-9_]*)['\"]", None),
+    ("open", [r"\bopen\s*\("], r"\bopen\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*['\"]([warxb+]{1,3})['\"]", None),
+    ("fs_read", [r"\bopen\s*\("], r"\bopen\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", None),
+    ("fs_write", [r"\bPath\s*\("], r"\bPath\s*\(\s*['\"]([^'\"]+)['\"]\s*\)\s*\.\s*write_(?:text|bytes)", None),
+    ("fs_read", [r"\bPath\s*\("], r"\bPath\s*\(\s*['\"]([^'\"]+)['\"]\s*\)\s*\.\s*read_(?:text|bytes)", None),
+    ("fs_write", [r"\bshutil\."], r"\bshutil\.(?:copy|copyfile|move)\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]", None),
+    ("fs_write", [r"\bos\.(?:remove|unlink|rmdir)\b"], r"\bos\.(?:remove|unlink|rmdir)\s*\(\s*['\"]([^'\"]+)['\"]", None),
+]
+WRITE_MODE = r"[wax+]"
+
+# Whole-file shapes of Python, fixed values: patterns that must all occur, and words for the evidence.
+PYTHON_FILE_SHAPES = [
+    ([r"\bbase64\.b64decode\s*\(", r"\bexec\s*\("], "base64 decoding together with exec"),
+    (["(?:''\\.join|\"\"\\.join)\\s*\\(\\s*\\[?\\s*chr\\s*\\("], "text joined from character codes"),
+]
+
+# Calls at the top level of setup.py, fixed values: label and pattern.
+SETUP_CALLS = [
+    ("os.system", r"\bos\.system\s*\("),
+    ("subprocess.exec", r"\bsubprocess\.(?:run|call|Popen|check_output|check_call)\s*\("),
+    ("os.popen", r"\bos\.popen\s*\("),
+    ("urllib.urlopen", r"\burllib\.request\.urlopen\s*\("),
+    ("requests.http", r"\brequests\.(?:get|post|put)\s*\("),
+    ("httpx.http", r"\bhttpx\.(?:get|post|put)\s*\("),
+    ("socket.socket", r"\bsocket\.socket\s*\("),
+    ("exec", r"\bexec\s*\("),
+    ("eval", r"\beval\s*\("),
+]
+SETUP_OVERRIDE = r"\bcmdclass\s*="
+SETUP_OVERRIDE_HOOK = "[setup.py] custom cmdclass= override (install lifecycle hijack)"
+
+# Hosts and commands that stored text must not hold in a form that works, fixed values as documented.
+URL_HOST = r"(?i)(?:https?|ftp|ftps|ws|wss|file|smtp|smtps|imap|imaps|pop3|pop3s|ldap|ldaps|ssh|git)://((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})\b"
+IPV4 = r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
+COMMANDS = [
+    ("curl", r"(?i)\bcurl\s+[^\r\n;|&]{3,}"),
+    ("wget", r"(?i)\bwget\s+[^\r\n;|&]{3,}"),
+    ("nc", r"(?i)\bnc\s+[\w.:]+\s+\d+"),
+    ("netcat", r"(?i)\bnetcat\s+[\w.:]+\s+\d+"),
+    ("powershell", r"(?i)\bpowershell(?:\.exe)?\s+[^\r\n;|&]{2,}"),
+    ("bash -c", r"(?i)\bbash\s+-c\s+(?:\"[^\"]*\"|'[^']*'|[^\r\n;|&]+)"),
+    ("sh -c", r"(?i)\bsh\s+-c\s+(?:\"[^\"]*\"|'[^']*'|[^\r\n;|&]+)"),
+    ("python -c", r"(?i)\bpython[23]?\s+-c\s+(?:\"[^\"]*\"|'[^']*'|[^\r\n;|&]+)"),
+    ("node -e", r"(?i)\bnode\s+-e\s+(?:\"[^\"]*\"|'[^']*'|[^\r\n;|&]+)"),
+]
+FETCHING = ["nc", "netcat", "curl", "wget"]
+HARMLESS_COMMANDS = ["echo", "printf", "true", "false", ":", "noop"]
+ENCODED_RUNS = [r"[A-Za-z0-9+/]{80,}={0,2}", r"\b[0-9a-fA-F]{80,}\b"]
+DECODE_CALLS = r"\b(atob|Buffer\.from|base64_decode|hex2bin|new\s+Function|eval)\s*\("
