@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from driftlens.llm.common import Scratch, read, runs, small_enough
 from driftlens.llm.components import connected_components
@@ -47,37 +46,43 @@ class Forest:
         return self.reach * math.sqrt(max(0.0, 2 - 2 * self.cosine)) / math.sqrt(size)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of bytes of doubles as unit vectors. All rows have one length."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _unit(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of bytes of floats or doubles, all of one length, as unit vectors in double precision."""
+    data = b"".join(column.to_pylist())
+    kind = np.float32 if len(data) == 4 * size * len(column) else np.float64
+    x = np.frombuffer(data, kind).astype(np.float64).reshape(len(column), size)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]):
-    """Usable vectors as bytes of doubles."""
-    for batch in batches:
-        keep, packed = [], []
-        for i, cell in enumerate(batch["embedding"].to_pylist()):
-            if cell and None not in cell:
-                x = np.array(cell, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    keep.append(i)
-                    packed.append(x.tobytes())
-        out = batch.select(["key", "rep", "w"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array([len(p) // 8 for p in packed], pa.int32()), pa.array(packed, pa.binary())], names=["key", "rep", "w", "size", "vec"])
+def _pack(kind: type):
+    """Usable vectors as bytes of their own type."""
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keep, packed = [], []
+            for i, cell in enumerate(batch["embedding"].to_pylist()):
+                if cell and None not in cell:
+                    x = np.array(cell, kind)
+                    if np.isfinite(x).all() and x.any():
+                        keep.append((i, len(x)))
+                        packed.append(x.tobytes())
+            out = batch.select(["key", "rep", "w"]).take(pa.array([i for i, _ in keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([n for _, n in keep], pa.int32()), pa.array(packed, pa.binary())], names=["key", "rep", "w", "size", "vec"])
+
+    return pack
 
 
 def _projected(batches: Iterator[pa.RecordBatch]):
-    """Adds each vector's projection on its node's direction, a function of the node's number."""
+    """Each vector's projection on its node's direction, which is a function of the node's number."""
     for batch in batches:
         node, out = batch["node"].to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
-        size = batch["size"].to_numpy(zero_copy_only=False)
-        for number, length in {(int(a), int(b)) for a, b in zip(node, size)}:
-            at = np.flatnonzero((node == number) & (size == length))
-            direction = np.random.default_rng(number & (2**63 - 1)).standard_normal(length)
-            out[at] = _unit(batch["vec"].take(pa.array(at))) @ (direction / np.linalg.norm(direction))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "p"])
+        order = np.argsort(node, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(order) else ():
+            size = batch["size"][int(at[0])].as_py()
+            direction = np.random.default_rng(int(node[at[0]]) & (2**63 - 1)).standard_normal(size)
+            out[at] = _unit(batch["vec"].take(pa.array(at)), size) @ (direction / np.linalg.norm(direction))
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("node", "key", "n", "size")), pa.array(out)], names=["node", "key", "n", "size", "p"])
 
 
 def _splits(forest: Forest):
@@ -99,29 +104,32 @@ def _splits(forest: Forest):
 
 
 def grow(vectors: DataFrame, scratch: Scratch, forest: Forest) -> DataFrame:
-    """(node, n, key, w, size, vec) of all leaves of all trees, from key, w, size, vec."""
+    """(node, key, n) of all leaves of all trees. Only node and key go from level to level; vectors are joined to be projected."""
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(forest.trees)), lambda t: F.xxhash64(t, "size")))
-    rows, leaves = vectors.select(roots.alias("node"), "key", "w", "size", "vec"), None
+    rows, leaves = vectors.select(roots.alias("node"), "key"), None
     for level in range(forest.levels + 1):
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
-        rows = scratch.cut(rows.join(counts, "node"), f"level-{level}")
-        done = rows.where(F.col("n") <= forest.leaf)
-        large = rows.where(F.col("n") > forest.leaf)
-        if level == forest.levels or not large.limit(1).count():
-            done = rows
-            return done if leaves is None else leaves.unionByName(done)
-        projected = scratch.cut(large.mapInArrow(_projected, StructType([*large.schema.fields, StructField("p", DoubleType())])), f"projected-{level}")
+        rows = scratch.cut(rows, f"rows-{level}")
+        counts = scratch.cut(rows.groupBy("node").agg(F.count("*").alias("n")), f"counts-{level}")
+        counted = rows.join(small_enough(counts, 24), "node").select("node", "key", "n")
+        last = level == forest.levels or not counts.where(F.col("n") > forest.leaf).limit(1).count()
+        done = scratch.cut(counted if last else counted.where(F.col("n") <= forest.leaf), f"leaves-{level}")
+        leaves = done if leaves is None else leaves.union(done)
+        if level:
+            scratch.drop(f"projected-{level - 1}")
+        if last:
+            return leaves
+        projected = counted.where(F.col("n") > forest.leaf).join(vectors.select("key", "size", "vec"), "key")
+        projected = scratch.cut(projected.mapInArrow(_projected, "node long, key long, n long, size int, p double"), f"projected-{level}")
+        scratch.drop(f"rows-{level}")
         quantiles = F.percentile_approx("p", [i / 40 for i in range(1, 40)], 2000)
         splits = projected.groupBy("node").agg(F.first("size").alias("size"), quantiles.alias("q"))
         splits = scratch.cut(splits.mapInArrow(_splits(forest), "node long, t double, m double"), f"splits-{level}")
         met = projected.join(small_enough(splits, 32), "node")
-        done = done.unionByName(met.where("t IS NULL").select(*done.columns))
-        leaves = done if leaves is None else leaves.unionByName(done)
+        leaves = leaves.union(scratch.cut(met.where("t IS NULL").select("node", "key", "n"), f"cones-{level}"))
         sides = F.array(
             F.when(F.col("p") <= F.col("t") + F.col("m"), F.xxhash64("node", F.lit(0))), F.when(F.col("p") >= F.col("t") - F.col("m"), F.xxhash64("node", F.lit(1)))
         )
-        moved = met.where("t IS NOT NULL").select(F.explode(F.array_compact(sides)).alias("child"), "key", "w", "size", "vec")
-        rows = moved.withColumnRenamed("child", "node")
+        rows = met.where("t IS NOT NULL").select(F.explode(F.array_compact(sides)).alias("node"), "key")
     raise AssertionError("unreachable")
 
 
@@ -133,7 +141,7 @@ def _linked(forest: Forest):
             table = table.combine_chunks()
             key, weight = table["key"].to_numpy(), table["w"].to_numpy().astype(np.float64)
             block, node = table["block"].to_numpy(), table["node"][0].as_py()
-            x = _unit(table["vec"].combine_chunks())
+            x = _unit(table["vec"].combine_chunks(), table["size"][0].as_py())
             across = table["across"][0].as_py()
             earlier = [[v for v in leaves if v < node] for leaves in table["leaves"].to_pylist()]
             column = {v: i for i, v in enumerate(sorted({v for own in earlier for v in own}))}
@@ -171,15 +179,16 @@ def near_vectors(embeddings: DataFrame, forest: Forest = Forest(), scratch: Scra
     scratch = scratch or Scratch(embeddings.sparkSession, "vectors")
     rows = embeddings.select("vec_id", "embedding", F.xxhash64("embedding").alias("key"))
     distinct = rows.where("embedding IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("embedding").alias("embedding"))
-    vectors = scratch.cut(distinct.mapInArrow(_pack, "key long, rep long, w long, size int, vec binary"), "distinct")
-    leaves = grow(vectors.select("key", "w", "size", "vec"), scratch, forest)
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    vectors = scratch.cut(distinct.mapInArrow(_pack(kind), "key long, rep long, w long, size int, vec binary"), "distinct")
+    leaves = grow(vectors, scratch, forest)
     of = leaves.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("leaves"))
     blocks = F.ceil(F.col("n") / forest.leaf).cast("int")
-    placed = leaves.join(of, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+    placed = leaves.join(of.join(vectors.select("key", "w", "size", "vec"), "key"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.select("node", "key", "w", "vec", "leaves", "block", partner.alias("other"))
+    paired = placed.select("node", "key", "w", "size", "vec", "leaves", "block", partner.alias("other"))
     group = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    paired = paired.select(group.alias("g"), "node", "key", "w", "vec", "leaves", "block", (F.col("block") != F.col("other")).alias("across"))
+    paired = paired.select(group.alias("g"), "node", "key", "w", "size", "vec", "leaves", "block", (F.col("block") != F.col("other")).alias("across"))
     # a block meets itself once, alone; in a group of two blocks only pairs across them are compared
     found = paired.repartition("g").sortWithinPartitions("g").mapInArrow(_linked(forest), "key long, links long, root long")
     found = scratch.cut(found, "found")
