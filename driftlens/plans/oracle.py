@@ -718,3 +718,20 @@ UNION ALL SELECT path, 'url', 'https://h' || k || '.example/p', 1 FROM s
 UNION ALL SELECT path, 'url', 'https://note' || k || '.example/q', 1 FROM s
 UNION ALL SELECT path, 'dynamic_code', path || ':7:eval', 7 FROM s
 UNION ALL SELECT path, 'exec_module', 'subprocess', 1 FROM s"""
+
+# --- operators without a query of their own above ----------------------------------------------------------
+ORACLE["encoded_urls"] = f"""WITH p AS (SELECT page_id, url, base64(encode(url)) AS b, hex(encode(url)) AS h, regexp_extract(url, {JS_URL_SQL}, 0) AS found FROM pages)
+SELECT page_id, found, 'base64' AS encoding FROM p WHERE found <> '' AND length(b) BETWEEN 24 AND 4096
+UNION ALL SELECT page_id, found, 'hex' FROM p WHERE found <> '' AND length(h) BETWEEN 24 AND 4096"""
+ORACLE["first_per_key"] = """SELECT user_id, event_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1"""
+ORACLE["batch_slice"] = f"WITH {FINDINGS} SELECT event_id, package, severity FROM findings ORDER BY event_id LIMIT 200 OFFSET 200"
+ORACLE["checked_findings"] = f"WITH {FINDINGS} SELECT event_id, detector FROM findings"
+INSTANCES = """c AS (SELECT c_custkey AS c, 'top' || (c_custkey % 23) AS direct FROM customer),
+o AS (SELECT o_orderkey AS o, direct, 'order' || (o_orderkey % 61) AS name FROM orders JOIN c ON c = o_custkey),
+l AS (SELECT direct, 'part' || (l_partkey % 97) AS name FROM lineitem JOIN o ON o = l_orderkey),
+closure AS (SELECT DISTINCT direct, direct AS name FROM c UNION SELECT direct, name FROM o UNION SELECT direct, name FROM l)"""
+ORACLE["instance_closure"] = f"WITH {INSTANCES} SELECT direct, name FROM closure"
+ORACLE["instance_rollup"] = f"""WITH {INSTANCES}, {FINDINGS},
+per AS (SELECT 'part' || (event_id % 97) AS name, {RANK} AS rank FROM findings)
+SELECT direct, {LABEL.format('COALESCE(min(rank), 3)')} AS max_severity, count(rank) AS count FROM closure LEFT JOIN per USING (name) GROUP BY direct"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import hashing as H
 from driftlens.functions import names as N
 from driftlens.functions import text as X
+from driftlens.functions.decode import decode_js_url
 from driftlens.operators import aggregate as A
 from driftlens.operators import assurance as Q
 from driftlens.operators import changeset as C
@@ -797,3 +798,47 @@ def rate_limit(spark, folder):
     """Accepted and rejected submissions per client with a two-day window of five."""
     events = T.load(spark, folder, "events").select(F.col("user_id").cast("string").alias("client"), F.col("ts"), F.col("event_id").alias("request_id"))
     return W.limit_batch(events, window_ms=2 * 24 * 3600 * 1000, most=5)
+
+
+# --- operators without a query of their own above ----------------------------------------------------------
+
+@query
+def encoded_urls(spark, folder):
+    """Page addresses as base64 and hex literals, decoded again."""
+    address = F.encode("url", "UTF-8")
+    literals = T.load(spark, folder, "pages").select("page_id", F.explode(F.array(F.base64(address), F.hex(address))).alias("literal"))
+    found = literals.withColumn("hit", decode_js_url("literal"))
+    return found.filter(F.col("hit.url").isNotNull()).select("page_id", F.col("hit.url").alias("found"), F.col("hit.encoding").alias("encoding"))
+
+
+@query
+def first_per_key(spark, folder):
+    """The earliest event of each user."""
+    events = T.load(spark, folder, "events").select("user_id", "event_id", "event_type", "ts")
+    return A.first_per_key(events, ["user_id"], F.struct("ts", "event_id")).select("user_id", "event_id", "event_type")
+
+
+@query
+def batch_slice(spark, folder):
+    """The second batch of two hundred findings."""
+    return A.batch(_keyed(spark, folder), ["event_id"], 200, 200).select("event_id", "package", "severity")
+
+
+@query
+def checked_findings(spark, folder):
+    """All findings with their technique tags, after validation."""
+    return E.checked(E.technique_tags(_keyed(spark, folder))).select("event_id", "detector")
+
+
+@query
+def instance_closure(spark, folder):
+    """Customers, orders and parts as a graph whose names have many instances."""
+    nodes, edges = T.instances(spark, folder)
+    return G.subtree_closure(nodes, edges).select("direct", "name")
+
+
+@query
+def instance_rollup(spark, folder):
+    nodes, edges = T.instances(spark, folder)
+    found = T.findings(spark, folder).select(F.lit("i").alias("run_id"), F.concat(F.lit("part"), F.col("event_id") % 97).alias("package"), "severity")
+    return G.rollup_by_direct(nodes, edges, found).select("direct", "max_severity", "count")

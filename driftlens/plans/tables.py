@@ -440,6 +440,22 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return keys.select(F.lit("g").alias("run_id"), "key", F.col("key").alias("name")), edges
 
 
+def instances(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Root, customers, orders and lines of orders; each level's names repeat, so a name has many instances."""
+    customer, orders, item = (load(spark, folder, t) for t in ("customer", "orders", "lineitem"))
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    line = F.concat(F.lit("l"), text("l_orderkey"), F.lit("-"), text("l_linenumber"))
+    named = lambda table, key, name: table.select(F.lit("i").alias("run_id"), key.alias("key"), name.alias("name"))
+    nodes = named(spark.range(1), F.lit(""), F.lit("app"))
+    nodes = nodes.unionByName(named(customer, F.concat(F.lit("c"), text(c)), F.concat(F.lit("top"), text(c % 23))))
+    nodes = nodes.unionByName(named(orders, F.concat(F.lit("o"), text(o)), F.concat(F.lit("order"), text(o % 61))))
+    nodes = nodes.unionByName(named(item, line, F.concat(F.lit("part"), text(F.col("l_partkey") % 97))))
+    linked = lambda table, parent, child, place: table.select(F.lit("i").alias("run_id"), parent.alias("parent_key"), child.alias("child_key"), place.cast("long").alias("ord"))
+    edges = linked(customer, F.lit(""), F.concat(F.lit("c"), text(c)), c)
+    edges = edges.unionByName(linked(orders, F.concat(F.lit("c"), text("o_custkey")), F.concat(F.lit("o"), text(o)), o))
+    return nodes, edges.unionByName(linked(item, F.concat(F.lit("o"), text("l_orderkey")), line, F.col("l_linenumber")))
+
+
 def _template(pattern: str, **values: Column) -> Column:
     """Text with ``{name}`` holes filled from columns."""
     parts = []
