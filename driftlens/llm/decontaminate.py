@@ -3,7 +3,8 @@
 A seed is a mask over a window of words; positions with a 0 are ignored, so a window is still found when those words were
 substituted. The windows of the benchmark are hashed under every mask into an index, the windows of every document are
 looked up in it, and each hit is verified: along its diagonal, `WINDOW` aligned words (all of a shorter item) must agree
-in four fifths. Words are compared without regard to case of A to Z and to ASCII punctuation.
+in four fifths; or, where words were also put in or left out, the text around the hit must hold `IN_ORDER` of the item's
+words in their order. Words are compared without regard to case of A to Z and to ASCII punctuation.
 
 The benchmark is a query set of stated size and meets all documents in blocks: each block's index is at most
 `BLOCK_BYTES` of item text, is broadcast, and is dropped after its pass. Documents are not shuffled, so a passage that a
@@ -28,9 +29,12 @@ from driftlens.llm.common import read, slices
 from driftlens.llm.words import NOT_ALPHANUMERIC, WordHasher, mix
 
 #: 1: the word counts, 0: it may differ. All masks span thirteen words or fewer.
-MASKS = ("111011010111", "110110111011", "111111011", "1101110101101")
+MASKS = ("111011010111", "110110111011", "1110110011", "11011101", "1110111", "111111")
+WIDEST = max(map(len, MASKS))
 WINDOW = 13
 AGREE = 0.8
+#: Share of an item's words, and number of words at least, that count as the item if they stand in order around a hit.
+IN_ORDER, LEAST_IN_ORDER = 0.6, 10
 LEAST_WORDS = 5
 BLOCK_BYTES = 8 << 20
 HITS = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
@@ -59,13 +63,12 @@ class SeedIndex:
         words, first = hasher(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(first, first[1:])]
-        widest = max(map(len, MASKS))
-        short = sorted({len(w) for w in self.words if LEAST_WORDS <= len(w) < widest})
+        short = sorted({len(w) for w in self.words if LEAST_WORDS <= len(w) < WIDEST})
         self.masks = [*MASKS, *("1" * n for n in short)]
         self.tables = []
         for mask in self.masks:
             whole = "0" not in mask and mask not in MASKS
-            chosen = [i for i, w in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) >= widest)]
+            chosen = [i for i, w in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) >= WIDEST)]
             hashes = [seed_hashes(self.words[i], mask) for i in chosen]
             item = np.repeat(np.array(chosen, np.int64), [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -82,40 +85,66 @@ class SeedIndex:
         vars(index).update(state)
         return index
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Distinct (item, diagonal) of all windows found; the diagonal is the place in the words less the place in the item."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray, first: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """For each text with windows of the index its (item, diagonal) pairs. `first` has the texts' first words and the end;
+        the diagonal is the place in the text less the place in the item."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for mask, (hashes, item, place, bits) in zip(self.masks, self.tables):
             own = seed_hashes(words, mask)
-            at = np.flatnonzero(bits[own & np.uint64((1 << self.BITS) - 1)]) if len(hashes) else ()
-            if not len(at):
-                continue
+            at = np.flatnonzero(bits[own & np.uint64((1 << self.BITS) - 1)]) if len(hashes) else np.zeros(0, np.int64)
+            text = np.searchsorted(first, at, "right") - 1
+            inside = at + len(mask) <= first[text + 1] if len(at) else np.zeros(0, bool)
+            at, text = at[inside], text[inside]
             low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                found.update((i, p - q) for i, q in zip(item[a:b].tolist(), place[a:b].tolist()))
-        return iter(sorted(found))
-
-    def verified(self, words: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """For each item that overlaps: places in text and item, length and equal words of its best aligned stretch."""
+            for k in np.flatnonzero(high > low).tolist():
+                p, pairs = int(at[k] - first[text[k]]), found.setdefault(int(text[k]), set())
+                pairs.update((i, p - q) for i, q in zip(item[low[k] : high[k]].tolist(), place[low[k] : high[k]].tolist()))
+        return found
+
+    def overlapping(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, tuple[int, int, int, int]]]:
+        """`verified` for each text."""
+        found = self.hits(words, first)
+        return [self.verified(words[a:b], found[i]) if i in found else {} for i, (a, b) in enumerate(zip(first, first[1:]))]
+
+    def verified(self, words: np.ndarray, pairs: set[tuple[int, int]]) -> dict[int, tuple[int, int, int, int]]:
+        """For each item that overlaps: places in text and item, length and equal words of its best stretch."""
         best: dict[int, tuple[int, int, int, int]] = {}
-        for item, diagonal in self.hits(words):
+        unsure: dict[int, list[int]] = {}
+        for item, diagonal in sorted(pairs):
             own = self.words[item]
             start, stop = max(0, -diagonal), min(len(own), len(words) - diagonal)
             equal = own[start:stop] == words[start + diagonal : stop + diagonal]
             width = min(WINDOW, len(own))
-            if len(equal) < width:
-                continue
+            share = 1.0 if len(own) < WIDEST else AGREE
             sums = np.concatenate([[0], np.cumsum(equal)])
-            share = 1.0 if len(own) < max(map(len, MASKS)) else AGREE
-            good = np.flatnonzero(sums[width:] - sums[:-width] >= share * width)
-            if not len(good):
-                continue
-            a, b = int(good[0]), int(good[-1]) + width  # from the first to the last window that agrees
-            entry = (start + diagonal + a, start + a, b - a, int(sums[b] - sums[a]))
-            if item not in best or entry[3] > best[item][3]:
-                best[item] = entry
+            good = np.flatnonzero(sums[width:] - sums[:-width] >= share * width) if len(equal) >= width else ()
+            if len(good):
+                a, b = int(good[0]), int(good[-1]) + width  # from the first to the last window that agrees
+                entry = (start + diagonal + a, start + a, b - a, int(sums[b] - sums[a]))
+                if item not in best or entry[3] > best[item][3]:
+                    best[item] = entry
+            elif len(own) >= WIDEST:
+                unsure.setdefault(item, []).append(diagonal)
+        for item, diagonals in unsure.items():
+            if item not in best:
+                found = [e for d in diagonals if (e := self._in_order(words, item, d))]
+                if found:
+                    best[item] = max(found, key=lambda e: e[3])
         return best
 
+    def _in_order(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
+        """The words of the item that the text around a diagonal holds in order, if they are enough (longest common subsequence)."""
+        own = self.words[item]
+        slack = len(own) // 3
+        low, high = max(0, diagonal - slack), min(len(words), diagonal + len(own) + slack)
+        near = words[low:high]
+        before = np.zeros(len(near) + 1, np.int64)
+        for word in own:
+            step = np.maximum(before[1:], before[:-1] + (near == word))
+            before[1:] = np.maximum.accumulate(step)
+        total = int(before[-1])
+        return (low, 0, len(own), total) if total >= max(LEAST_IN_ORDER, IN_ORDER * len(own)) else None
+
 
 def _blocks(benchmark: DataFrame) -> Iterator[SeedIndex]:
     """Indexes of all items, block by block: the driver holds one block, whose text has at most about BLOCK_BYTES."""
@@ -138,8 +167,7 @@ def _scan(documents: DataFrame, index: SeedIndex, schema, make) -> DataFrame:
         for batch in batches:
             texts, overlaps = batch["text"], []
             for start, stop in slices(texts):
-                words, first = hasher(texts.slice(start, stop - start))
-                overlaps += [own.verified(words[a:b]) for a, b in zip(first, first[1:])]
+                overlaps += own.overlapping(*hasher(texts.slice(start, stop - start)))
             yield make(batch, overlaps, own)
 
     return documents.mapInArrow(search, schema)
