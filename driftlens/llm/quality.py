@@ -35,6 +35,8 @@ EXCERPT = 4096
 DICTIONARY = 192 << 10
 #: Bytes of text that are compressed at once: short enough that the dictionary counts against the text's own repeats.
 BLOCK = 2048
+#: The same for outlines, which soon repeat themselves.
+PIECE = 160
 THRESHOLD = 0.3
 
 
@@ -79,13 +81,9 @@ class CompressionModel:
         def measure(text: bytes) -> tuple[float, ...] | None:
             if not text:
                 return None
-            sizes = [0, 0, 0, 0]
-            for start in range(0, len(text), BLOCK):
-                block = text[start : start + BLOCK]
-                outline = outline_of(block)
-                for k, view in enumerate((block, block, outline, outline)):
-                    sizes[k] += len(tools[k].compress(view))
-            bad, good, bad_outline, good_outline = sizes
+            bad, good = (sum(len(t.compress(text[i : i + BLOCK])) for i in range(0, len(text), BLOCK)) for t in tools[:2])
+            outline = outline_of(text)
+            bad_outline, good_outline = (sum(len(t.compress(outline[i : i + PIECE])) for i in range(0, len(outline), PIECE)) for t in tools[2:])
             rate = min(1.5, good / len(text))
             return 2.0 * (bad - good) / (bad + good), 2.0 * (bad_outline - good_outline) / (bad_outline + good_outline), rate, rate * rate
 
