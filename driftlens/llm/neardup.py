@@ -46,7 +46,7 @@ class Similarity:
 
     words: int = 5
     least: int = 80
-    leaf: int = 256
+    leaf: int = 4096
     class_docs: int = 1000
     class_shingles: int = 2_000_000
     hubs: int = 16
@@ -208,7 +208,7 @@ def _children(batches: Iterator[pa.RecordBatch]):
 
 def candidate_edges(sets: DataFrame, scratch: Scratch, like: Similarity) -> DataFrame:
     """Edges (a, b) between keys of likely linked sets, enough to connect every candidate class. `sets`: key, sig, nodes."""
-    shell, reach = like.threshold - 0.30, (1 - like.threshold) + 0.10
+    shell, reach = like.threshold - 0.45, (1 - like.threshold) + 0.10
     rows = sets.select("key", F.explode("nodes").alias("node")).select("node", "key")
     signed = sets.select("key", "sig")
     edges, level = None, 0
