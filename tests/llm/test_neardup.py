@@ -89,11 +89,12 @@ def test_empty_table(documents):
     assert near_duplicates(documents([]).where("false")).count() == 0
 
 
-def test_connected_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("chunk", [10**6, 150])
+def test_connected_components_of_long_paths_and_hubs(spark, chunk):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 400)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (7, 6), (6, 7), (7, 6)]
     rng.shuffle(edges)
-    found = connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), Scratch(spark, "test"))
+    found = connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), Scratch(spark, "test"), chunk=chunk)
     roots = {r["id"]: r["root"] for r in found.collect()}
     assert found.count() == len(roots)
     assert all(roots[i] == 100 for i in range(100, 401)) and all(roots[k] == 1000 for k in range(1000, 1400)) and roots[7] == 6 and 5 not in roots
