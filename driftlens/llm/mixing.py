@@ -15,11 +15,12 @@ An empty table gives an empty result. Other columns of the input are kept by `em
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import Scratch, read, small_enough
+from driftlens.llm.common import Scratch, read, slices, small_enough
 from driftlens.llm.words import word_counts
 
 #: Buckets by which rows of one source and one size are numbered.
@@ -33,8 +34,10 @@ def sized(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def count(batches):
         for batch in batches:
+            texts = batch["text"]
+            counts = [word_counts(texts.slice(start, stop - start)) for start, stop in slices(texts)]  # a few megabytes of text at once
             arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(word_counts(batch["text"]), pa.int64())], names=[*(n for n in batch.schema.names if n != "text"), "size"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())], names=[*(n for n in batch.schema.names if n != "text"), "size"])
 
     chosen = documents.select(*columns, "text")
     schema = chosen.drop("text").schema.add("size", "long")
