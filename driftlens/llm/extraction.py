@@ -2,7 +2,7 @@
 
 Every page is parsed to a tree and aligned, by simple tree matching, with a reference page of its host. Aligned nodes whose
 text is the same are constant, others vary. The votes of all pages of a host, added up, give its wrapper: the path of the
-region that holds the varying text, and the constant texts of the template. A page's article is what its nodes at that
+region that holds the article, and the constant texts of the template outside marked articles. A page's article is what its nodes at that
 path hold, without template texts and without menus, forms, adverts, comments and the like, which are known by their
 elements and by the words of their class, id and role.
 
@@ -12,7 +12,7 @@ task before the shuffle; a host with a third of all pages sends one row for each
 host is found by a map-side minimum; references and wrappers are broadcast only if their counted size allows.
 
 Defined results: a null or empty html gives the empty text and 0. A null url is kept and belongs to the empty host. A page
-equal to its reference casts no vote; hosts of a single page have no template and use the page alone. Rows that repeat an
+with the same text as its reference casts no vote; hosts of a single page have no template and use the page alone. Rows that repeat an
 id are pages of their own. An empty table gives an empty result. Other columns are ignored. Text outside any block, broken
 nesting and unclosed elements are read as browsers do in the common cases. `br` is white space within its block.
 """
@@ -51,11 +51,15 @@ JUNK_WORDS = set(
 CONSTANT, PAGES = 0.9, 5
 
 
+#: Elements below this depth are read as siblings, as browsers do at a limit of theirs.
+DEEPEST = 200
+
+
 class Node:
-    __slots__ = ("tag", "name", "junk", "parts", "parent")
+    __slots__ = ("tag", "name", "junk", "parts", "parent", "depth")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent, self.parts = tag, parent, []
+        self.tag, self.parent, self.parts, self.depth = tag, parent, [], parent.depth + 1 if parent else 0
         self.name, self.junk = tag, tag in JUNK_TAGS
         if attributes and tag not in INLINE:
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
@@ -99,6 +103,8 @@ def parse(text: str) -> Node:
                 node = node.parent
             if node is not root:
                 at = node.parent
+            elif tag == "p":  # closes nothing, but ends the text before it
+                at.parts.append(Node("p", "", at))
             continue
         closing = at
         while closing is not root and closing.tag not in SCOPES:
@@ -110,7 +116,7 @@ def parse(text: str) -> Node:
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(text, place)
             place = stop.end() if stop else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and not m[3].rstrip().endswith("/") and node.depth < DEEPEST:
             at = node
     return root
 
@@ -190,18 +196,9 @@ def simple_tree_matching(one: Tree, two: Tree) -> tuple[int, list[tuple[Tree, Tr
 
 
 def region(root: Node) -> tuple[str, Node]:
-    """The path and node of the part that holds the article by itself: a marked one, or down from the body to where most text is."""
-    marked = [(len_, path, n) for tag in ("article", "main") for len_, path, n in _marked(root, "", tag)]
-    if marked:
-        return max(marked, key=lambda x: x[0])[1:]
-    path, node, total = "", root, _length(root)
-    while True:
-        inner = [(c, _length(c)) for c in node.parts if isinstance(c, Node) and not c.junk]
-        best = max(inner, key=lambda x: x[1], default=None)
-        if best is None or not total or best[1] < 0.8 * total or best[0].tag in ("p", "h1", "h2", "h3", "li", "td", "pre", "blockquote"):
-            return path, node
-        node, total = best
-        path = f"{path}/{node.name}"
+    """The path and node of the part that holds the article: the marked one with most text, or the whole page."""
+    marked = [found for tag in ("article", "main") for found in _marked(root, "", tag)]
+    return max(marked, key=lambda x: x[0])[1:] if marked else ("", root)
 
 
 def _length(node: Node) -> int:
@@ -239,11 +236,12 @@ def page_votes(page: Tree, reference: Tree, own_region: str) -> Iterator[tuple[s
 
 def article(root: Node, goal: str | None, template: set[tuple[str, str]]) -> str:
     """The text of the region: at the wrapper's path if the page has it, else of the page's own region."""
-    found = list(at_path(root, "", goal)) if goal else []
-    path = goal or ""
+    path, found = goal or "", list(at_path(root, "", goal)) if goal else []
     if not any(_length(n) for n in found):
         path, node = region(root)
         found = [node]
+    if any(n.tag in ("article", "main") for n in found):  # what an author marked is not searched for template texts
+        template = set()
     return "\n\n".join(text for node in found for own, text in blocks(node, path) if (own, text) not in template)
 
 
@@ -263,14 +261,16 @@ def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
     aligned = hosted.join(small_enough(references, most + 100), F.col("host") == F.col("h")).where("html <> reference").select("host", "html", "reference")
 
     def vote(batches: Iterator[pa.RecordBatch]):
-        known: tuple[str, Tree] | None = None
+        known: tuple[str, Tree, str] | None = None
         for batch in batches:
             votes: Counter = Counter()
             for host, page, reference in zip(*(batch[c].to_pylist() for c in ("host", "html", "reference"))):
                 if known is None or known[0] != reference:
-                    known = reference, Tree(parse(reference), "")
+                    root = parse(reference)
+                    known = reference, Tree(root, ""), article(root, None, set())
                 root = parse(page)
-                votes.update((host, *v) for v in page_votes(Tree(root, ""), known[1], region(root)[0]))
+                if article(root, None, set()) != known[2]:
+                    votes.update((host, *v) for v in page_votes(Tree(root, ""), known[1], region(root)[0]))
             columns = list(zip(*((*k, n) for k, n in votes.items()))) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["host", "path", "text", "same", "n"]
