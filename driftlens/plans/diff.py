@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ from driftlens.sources.archives import routed, unpack
 
 KEY = ["name", "version"]
 
+#: A detector: from the compared tables, by name, to findings in the columns that ``to_findings`` gives.
+Detector = Callable[[dict[str, DataFrame]], DataFrame]
+
 
 @dataclass
 class Snapshots:
@@ -136,14 +140,17 @@ def artifact_facts(artifacts: DataFrame) -> DataFrame:
     return binaries.unionByName(imports)
 
 
-def detect(pairs: DataFrame, snapshots: Snapshots, lists: Lists) -> DataFrame:
-    """Findings of every comparison: all detectors, then escalation, advisories, tags and checks."""
+def detect(pairs: DataFrame, snapshots: Snapshots, lists: Lists, detectors: Sequence[Detector] = ()) -> DataFrame:
+    """Findings of every comparison: all detectors, then escalation, advisories, tags and checks.
+
+    ``detectors`` are further ones of the caller: functions from the compared tables, by name, to findings.
+    """
 
     def both(table, *columns):
         return C.attach(pairs, table, list(columns))
 
     facts = cut_lineage(both(snapshots.facts, *FACT_COLUMNS))
-    files = both(snapshots.files, *FILE_COLUMNS)
+    files = cut_lineage(both(snapshots.files, *FILE_COLUMNS))  # three detectors read the measures of every source text
     scripts = both(snapshots.scripts, "hook", "body")
     deps = both(snapshots.deps.withColumnRenamed("dep", "dep_name"), "bucket", F.col("dep_name").alias("name"), "spec", "ord")
     emails = both(snapshots.emails, "source", "email")
@@ -161,6 +168,11 @@ def detect(pairs: DataFrame, snapshots: Snapshots, lists: Lists) -> DataFrame:
         L.hyphen_permutations(analysed, lists.popular), M.disposable_author_domains(emails, lists.domains), M.url_dependencies(deps),
         D.image_decode_exec(files, facts), D.self_publish_shape(facts, scripts),
     ]
+    compared = {
+        "facts": facts, "files": files, "scripts": scripts, "deps": deps, "emails": emails, "bundled": bundled,
+        "bundled_scripts": hooks, "artifacts": artifacts, "entries": entries,
+    }
+    parts += [detector(compared) for detector in detectors]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -170,11 +182,14 @@ def detect(pairs: DataFrame, snapshots: Snapshots, lists: Lists) -> DataFrame:
     return E.checked(E.technique_tags(E.annotate_advisories(found, lists.advisories)))
 
 
-def run_diff(locks: dict[str, DataFrame], snapshots: Snapshots, lists: Lists, config: dict[str, DataFrame] | None = None) -> Result:
-    """Every run of the lock tables at once."""
+def run_diff(
+    locks: dict[str, DataFrame], snapshots: Snapshots, lists: Lists, config: dict[str, DataFrame] | None = None, detectors: Sequence[Detector] = ()
+) -> Result:
+    """Every run of the lock tables at once. The tables are written once, so that no lockfile is parsed again."""
+    locks = {name: cut_lineage(table) for name, table in locks.items()}
     changes = cut_lineage(C.changeset(locks["nodes"]))
     content = C.content_pairs(changes, snapshots.known)
-    per_pair = detect(C.distinct_pairs(content), snapshots, lists).drop("run_id").withColumnRenamed("change_id", "pair_id")
+    per_pair = detect(C.distinct_pairs(content), snapshots, lists, detectors).drop("run_id").withColumnRenamed("change_id", "pair_id")
     # A comparison made once serves every run that contains it.
     detected = content.select("run_id", "change_id", C.pair_id().alias("pair_id")).join(per_pair, "pair_id").drop("pair_id")
     new_nodes = locks["nodes"].filter("side = 'new'").drop("side")
@@ -228,7 +243,7 @@ def _with_provenance(findings: DataFrame, changes: DataFrame, nodes: DataFrame,
 
 def run_scan(locks: dict[str, DataFrame], snapshots: Snapshots, lists: Lists, config: dict[str, DataFrame] | None = None) -> Result:
     """Posture of one inventory: a comparison with nothing, reported as absolute instead of added."""
-    only_new = {name: table.filter("side = 'new'") if "side" in table.columns else table for name, table in locks.items()}
+    only_new = {name: cut_lineage(table.filter("side = 'new'") if "side" in table.columns else table) for name, table in locks.items()}
     result = run_diff(only_new, snapshots, lists, config)
     findings = result.findings.withColumn("direction", F.when(F.col("direction") == "added", "absolute").otherwise(F.col("direction")))
     return summarise(only_new, result.changes, findings, result.errors)

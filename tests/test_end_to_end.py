@@ -212,3 +212,23 @@ def test_wasm_imports_are_listed():
     assert archives.wasm_imports(module) == [{"module": "env", "name": "exec", "kind": "func"}]
     with pytest.raises(ValueError):
         archives.wasm_imports(b"nonsense")
+
+
+def test_lockfiles_are_parsed_once(result):
+    """What a run returns reads written tables; no plan parses a lockfile or measures a source text again."""
+    r = result["result"]
+    for table in (r.changes, r.findings, r.errors, r.rollup, r.runs):
+        assert "MapInPandas" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_detector_of_the_caller_takes_part(spark, result):
+    from pyspark.sql import functions as F
+
+    from driftlens.schema import evidence_of, to_findings
+
+    def native_files(tables):
+        rows = tables["artifacts"].filter("side = 'new'")
+        return to_findings(rows, "own.native-file", "INSTALL", "INFO", "low", F.concat(F.lit("native file "), F.col("path")), evidence_of(F.col("path"), F.lit(1), F.col("kind")))
+
+    found = diff.run_diff(result["locks"], result["snapshots"], result["lists"], detectors=[native_files]).findings
+    assert [r.package for r in found.filter("detector = 'own.native-file'").collect()] == ["leaf"]
