@@ -735,3 +735,9 @@ ORACLE["instance_closure"] = f"WITH {INSTANCES} SELECT direct, name FROM closure
 ORACLE["instance_rollup"] = f"""WITH {INSTANCES}, {FINDINGS},
 per AS (SELECT 'part' || (event_id % 97) AS name, {RANK} AS rank FROM findings)
 SELECT direct, {LABEL.format('COALESCE(min(rank), 3)')} AS max_severity, count(rank) AS count FROM closure LEFT JOIN per USING (name) GROUP BY direct"""
+ORACLE["finding_order_dictionary"] = f"""WITH {FINDINGS} SELECT event_id, severity, package, detector FROM findings
+ORDER BY {RANK}, package COLLATE en, detector COLLATE en, file COLLATE en, event_id LIMIT 100"""
+ORACLE["change_order_dictionary"] = f"""WITH {LOCK} SELECT run_id, name, kind, version_old, version_new FROM changes
+ORDER BY run_id, name, kind, coalesce(version_new, '') COLLATE en, coalesce(version_old, '') COLLATE en LIMIT 100"""
+ORACLE["json_files"] = f"""SELECT 'p' || page_id || '.json' AS path, 'url' AS cap, key, NULL::VARCHAR AS context
+FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, {JS_URL_SQL}, 1)) AS key FROM pages)"""

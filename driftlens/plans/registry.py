@@ -842,3 +842,26 @@ def instance_rollup(spark, folder):
     nodes, edges = T.instances(spark, folder)
     found = T.findings(spark, folder).select(F.lit("i").alias("run_id"), F.concat(F.lit("part"), F.col("event_id") % 97).alias("package"), "severity")
     return G.rollup_by_direct(nodes, edges, found).select("direct", "max_severity", "count")
+
+
+@query
+def finding_order_dictionary(spark, folder):
+    """The first hundred findings in the order that reports use, with names in dictionary order."""
+    return _keyed(spark, folder).orderBy(*A.finding_order(), "event_id").limit(100).select("event_id", "severity", "package", "detector")
+
+
+@query
+def change_order_dictionary(spark, folder):
+    """The first hundred changes in report order."""
+    changes = C.changeset(T.lock_nodes(spark, folder))
+    return changes.orderBy(*C.change_order(), F.collate(F.coalesce("version_old", F.lit("")), "UNICODE")).limit(100).select("run_id", "name", "kind", "version_old", "version_new")
+
+
+@query
+def json_files(spark, folder):
+    """Page markup as JSON files: their URLs, each once per file and without context."""
+    pages = T.load(spark, folder, "pages").select(
+        F.lit("pages").alias("name"), F.lit("1").alias("version"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".json")).alias("path"),
+        F.col("page_id").alias("ord"), F.col("html").alias("text"),
+    )
+    return javascript_facts(pages).select("path", "cap", "key", "context")
