@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass, field
 
@@ -82,31 +83,34 @@ def config_tables(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     }
 
 
-def _grouped(table: DataFrame, column: str, name: str) -> DataFrame:
-    """Configuration entries per package as one array: written by hand, so small by nature."""
-    return table.groupBy("package").agg(F.collect_set(column).alias(name))
+def _by_package(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rules of each package in one row; the entries are written by hand, so few per package."""
+    kinds = {"ignore": None, "ignore_path": "prefix", "allow": "category", "trust": "anchor"}
+    parts = [
+        tables[kind].select("package", F.lit(kind).alias("kind"), (F.col(value) if value else F.lit(None).cast("string")).alias("value"))
+        for kind, value in kinds.items()
+    ]
+    entries = functools.reduce(DataFrame.unionByName, parts)
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("value")))
+    return entries.groupBy("package").agg(
+        F.bool_or(F.col("kind") == "ignore").alias("ignored"), of("ignore_path").alias("prefixes"), of("allow").alias("allowed"), of("trust").alias("anchors")
+    )
 
 
 def apply_config(findings: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Ignore, ignore by path, allow-list, override, trust: in this order.
 
-    Findings join each configuration table once. The tables are tiny and keyed, so they are the build
-    side; two detectors are exempt from every rule.
+    The tables keyed by package become one, so findings are joined once by package and once by detector. Two detectors
+    are exempt from every rule.
     """
     exempt = F.col("detector").isin(V.ALWAYS_APPLY)
     columns = findings.columns
-    df = (
-        findings.join(tables["ignore"].distinct().withColumn("ignored", F.lit(True)), "package", "left")
-        .join(_grouped(tables["ignore_path"], "prefix", "prefixes"), "package", "left")
-        .join(_grouped(tables["allow"], "category", "allowed"), "package", "left")
-        .join(_grouped(tables["trust"], "anchor", "anchors"), "package", "left")
-        .join(tables["override"].withColumnRenamed("severity", "forced"), "detector", "left")
-    )
+    df = findings.join(_by_package(tables), "package", "left").join(tables["override"].withColumnRenamed("severity", "forced"), "detector", "left")
     first_file = F.get("evidence", F.lit(0))["file"]
     first_snippet = F.get("evidence", F.lit(0))["snippet"]
     usable = lambda values: F.filter(values, lambda v: F.length(F.trim(v)) >= 3)
     under = F.exists(usable(F.col("prefixes")), lambda p: first_file.startswith(p))
-    df = df.filter(exempt | (F.col("ignored").isNull() & ~F.coalesce(under, F.lit(False))))
+    df = df.filter(exempt | ~(F.coalesce("ignored", F.lit(False)) | F.coalesce(under, F.lit(False))))
     allowed = ~exempt & F.coalesce(F.array_contains("allowed", F.col("category")), F.lit(False))
     trusted = (F.col("detector") == "meta.maintainer-change") & F.coalesce(
         F.exists(usable(F.col("anchors")), lambda a: first_snippet.contains(a)), F.lit(False)
