@@ -454,7 +454,7 @@ findings AS (SELECT event_id, event_type, 'r' || (user_id % 5) AS run_id, 'c' ||
     CASE WHEN k % 10 < 1 THEN 'BLOCK' WHEN k % 10 < 7 THEN 'WARN' ELSE 'INFO' END AS severity,
     {_pick(['high', 'medium', 'low'], 'k % 3')} AS confidence,
     CASE WHEN category = 'INSTALL' THEN 'Lifecycle script "' || {_pick(['postinstall', 'test'], 'k % 2')} || '" was added' ELSE 'm' || k END AS message,
-    'lib/f' || (event_id % 13) || '.js' AS file,
+    'lib/f' || (event_id % 13) || '.js' AS file, (k + 1)::INTEGER AS evidence_line,
     CASE category WHEN 'NET' THEN 'call https://h' || k || '.example/x now' WHEN 'ENV' THEN 'process.env.' || {_pick(['NPM_TOKEN', 'HOME', 'GH_TOKEN'], 'k % 3')}
       WHEN 'META' THEN 'maintainers: [a@x.example] → [b' || k || '@y.example]' ELSE 's' || k END AS snippet,
     CASE WHEN category = 'CODE' THEN {_pick(['eval', 'new-function', 'vm', 'dynamic-import'], 'k % 4')} END AS code_kind FROM finding_pick)
@@ -736,8 +736,15 @@ ORACLE["instance_rollup"] = f"""WITH {INSTANCES}, {FINDINGS},
 per AS (SELECT 'part' || (event_id % 97) AS name, {RANK} AS rank FROM findings)
 SELECT direct, {LABEL.format('COALESCE(min(rank), 3)')} AS max_severity, count(rank) AS count FROM closure LEFT JOIN per USING (name) GROUP BY direct"""
 ORACLE["finding_order_dictionary"] = f"""WITH {FINDINGS} SELECT event_id, severity, package, detector FROM findings
-ORDER BY {RANK}, package COLLATE en, detector COLLATE en, file COLLATE en, event_id LIMIT 100"""
+ORDER BY {RANK}, package COLLATE en, detector COLLATE en, file COLLATE en, evidence_line, event_id LIMIT 100"""
 ORACLE["change_order_dictionary"] = f"""WITH {LOCK} SELECT run_id, name, kind, version_old, version_new FROM changes
 ORDER BY run_id, name, kind, coalesce(version_new, '') COLLATE en, coalesce(version_old, '') COLLATE en LIMIT 100"""
 ORACLE["json_files"] = f"""SELECT 'p' || page_id || '.json' AS path, 'url' AS cap, key, NULL::VARCHAR AS context
 FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, {JS_URL_SQL}, 1)) AS key FROM pages)"""
+_WORST = LABEL.format(f"min({RANK})")
+ORACLE["markdown_text"] = f"""WITH {FINDINGS}
+SELECT run_id, '### behavioural diff' || chr(10) || chr(10) || '**' || {_WORST} || '** · ' || count(*) || ' finding(s) across 0 changed package(s).' || chr(10) AS line
+FROM findings GROUP BY run_id
+UNION ALL SELECT run_id, '#### ' || severity || ' (' || count(*) || ')' || chr(10) FROM findings GROUP BY run_id, severity
+UNION ALL SELECT run_id, '  - **`' || detector || '`** — ' || message || chr(10) || '    - `' || file || ':' || evidence_line || '` — `'
+  || CASE WHEN length(replace(snippet, '`', '\\`')) > 200 THEN substr(replace(snippet, '`', '\\`'), 1, 200) || ' …(truncated)' ELSE replace(snippet, '`', '\\`') END || '`' FROM findings"""

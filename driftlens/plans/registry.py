@@ -865,3 +865,9 @@ def json_files(spark, folder):
         F.col("page_id").alias("ord"), F.col("html").alias("text"),
     )
     return javascript_facts(pages).select("path", "cap", "key", "context")
+
+
+@query
+def markdown_text(spark, folder):
+    """The text of the Markdown report: heading, severities and findings (package lines repeat their first finding)."""
+    return R.markdown_lines(_keyed(spark, folder)).filter(~F.col("line").startswith("- **")).select("run_id", "line")
