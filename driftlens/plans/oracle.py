@@ -748,3 +748,14 @@ FROM findings GROUP BY run_id
 UNION ALL SELECT run_id, '#### ' || severity || ' (' || count(*) || ')' || chr(10) FROM findings GROUP BY run_id, severity
 UNION ALL SELECT run_id, '  - **`' || detector || '`** — ' || message || chr(10) || '    - `' || file || ':' || evidence_line || '` — `'
   || CASE WHEN length(replace(snippet, '`', '\\`')) > 200 THEN substr(replace(snippet, '`', '\\`'), 1, 200) || ' …(truncated)' ELSE replace(snippet, '`', '\\`') END || '`' FROM findings"""
+ORACLE["json_findings"] = f"""WITH {FINDINGS}
+SELECT run_id, CAST(json_object('category', category, 'confidence', confidence, 'detector', detector, 'direction', direction,
+  'evidence', json_array(json_object('file', file, 'line', evidence_line, 'snippet', snippet)), 'from', from_ver, 'message', message, 'mitre', json_array(),
+  'package', package, 'provenance', json_array(), 'severity', severity, 'to', to_ver) AS VARCHAR) AS line FROM findings"""
+ORACLE["sarif_results"] = f"""WITH {FINDINGS}
+SELECT run_id, CAST(json_object('level', CASE severity WHEN 'BLOCK' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'note' END,
+  'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', package || '/' || file),
+    'region', json_object('startLine', evidence_line, 'snippet', json_object('text', snippet))))),
+  'message', json_object('text', '[' || package || ' ' || coalesce(from_ver, '') || '→' || coalesce(to_ver, '') || '] ' || message),
+  'properties', json_object('confidence', confidence, 'from', from_ver, 'mitre', json_array(), 'package', package, 'to', to_ver),
+  'ruleId', detector) AS VARCHAR) AS line FROM findings"""

@@ -871,3 +871,29 @@ def json_files(spark, folder):
 def markdown_text(spark, folder):
     """The text of the Markdown report: heading, severities and findings (package lines repeat their first finding)."""
     return R.markdown_lines(_keyed(spark, folder)).filter(~F.col("line").startswith("- **")).select("run_id", "line")
+
+
+def _reported(spark, folder):
+    """Findings as reports take them, and one row per run."""
+    empty = F.array()
+    found = _keyed(spark, folder).withColumns({"mitre": empty.cast("array<string>"), "provenance": empty.cast("array<array<string>>")})
+    runs = A.verdicts(found, ["run_id"]).join(A.risk_scores(found, ["run_id"]), "run_id")
+    return found, runs
+
+
+@query
+def json_findings(spark, folder):
+    """The findings of the JSON report, one object per line."""
+    found, runs = _reported(spark, folder)
+    changes = C.changeset(T.lock_nodes(spark, folder))
+    errors = spark.createDataFrame([], "run_id string, name string, version string, error string")
+    rollup = spark.createDataFrame([], "run_id string, direct string, max_severity string, count long")
+    lines = R.json_lines(runs, found, changes, errors, rollup).filter("section = 5")
+    return lines.select("run_id", F.regexp_replace("line", "^,", "").alias("line"))
+
+
+@query
+def sarif_results(spark, folder):
+    """The results of the SARIF report, one object per line."""
+    found, runs = _reported(spark, folder)
+    return R.sarif_lines(runs, found).filter("section = 3").select("run_id", F.regexp_replace("line", "^,", "").alias("line"))
