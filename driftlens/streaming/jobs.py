@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 TTL_SECONDS = 24 * 3600
 
@@ -68,22 +69,31 @@ def new_snapshots_only(arrivals: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
+def wanted_schema(batch: DataFrame) -> StructType:
+    """The columns that a lookup needs; the hash digits stay text, however they look."""
+    return StructType([*batch.select("name", "version", "integrity").schema.fields, StructField("bucket", StringType())])
+
+
 def incremental_analysis(arrivals: DataFrame, snapshot_path: str, analyse, checkpoint: str):
     """Stream of package references: analyse what the snapshot table lacks and append it.
 
     ``analyse`` maps a DataFrame of references to snapshot rows. Each micro-batch reads the table as
-    of its start, so replaying a batch after a failure adds nothing twice.
+    of its start, so replaying a batch after a failure adds nothing twice. The table is partitioned by two
+    hash digits of the content, and a batch reads only the partitions (256 at most) that its content can be in.
     """
+    bucket = F.substring(F.sha2("integrity", 256), 1, 2)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         wanted = batch
         try:
-            wanted = new_snapshots_only(batch, spark.read.parquet(snapshot_path))
+            stored = spark.read.schema(wanted_schema(batch)).parquet(snapshot_path)
+            buckets = [row[0] for row in batch.select(bucket).distinct().collect()]
+            wanted = new_snapshots_only(batch, stored.filter(F.col("bucket").isin(buckets)))
         except Exception as error:  # the table appears with the first batch
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             wanted = batch.dropDuplicates(["name", "version", "integrity"])
-        analyse(wanted).write.mode("append").parquet(snapshot_path)
+        analyse(wanted).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(snapshot_path)
 
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
