@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import fixed_values as V
 from driftlens.functions import hashing as H
-from driftlens.schema import SEVERITIES
+from driftlens.schema import SEVERITIES, severity_rank
 
 
 class ConfigError(ValueError):
@@ -241,6 +241,19 @@ def verify_receipts(rows: DataFrame, kind: str = "driftlens-admission-receipt")
     return rows.withColumn("valid", F.col("receiptHash").eqNullSafe(H.sha256(_unsigned_receipt(kind))))
 
 
+def findings_hash(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash of the canonical JSON of each key's findings: an array of objects with sorted names, in report order.
+
+    A receipt covers one package, so the findings gathered per key are those of one comparison.
+    """
+    columns = sorted(c for c in findings.columns if c not in keys)
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    first = F.get("evidence", F.lit(0))
+    place = F.struct(severity_rank(F.col("severity")).alias("rank"), "package", "detector", first["file"].alias("file"), first["line"].alias("line"), text.alias("text"))
+    listed = F.transform(F.array_sort(F.collect_list(place)), lambda p: p["text"])
+    return findings.groupBy(*keys).agg(H.sha256(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))).alias("findings_hash"))
+
+
 def findings_digest(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Order-free digest of a finding set, built without gathering the set.
 

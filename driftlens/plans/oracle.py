@@ -759,3 +759,8 @@ SELECT run_id, CAST(json_object('level', CASE severity WHEN 'BLOCK' THEN 'error'
   'message', json_object('text', '[' || package || ' ' || coalesce(from_ver, '') || '→' || coalesce(to_ver, '') || '] ' || message),
   'properties', json_object('confidence', confidence, 'from', from_ver, 'mitre', json_array(), 'package', package, 'to', to_ver),
   'ruleId', detector) AS VARCHAR) AS line FROM findings"""
+ORACLE["findings_hash"] = f"""WITH {FINDINGS},
+j AS (SELECT *, {RANK} AS rank, CAST(json_object('category', category, 'confidence', confidence, 'detector', detector, 'direction', direction,
+  'evidence', json_array(json_object('file', file, 'line', evidence_line, 'snippet', snippet)), 'from', from_ver, 'message', message, 'mitre', json_array(),
+  'package', package, 'provenance', json_array(), 'severity', severity, 'to', to_ver) AS VARCHAR) AS text FROM findings)
+SELECT change_id, sha256('[' || string_agg(text, ',' ORDER BY rank, package, detector, file, evidence_line, text) || ']') AS findings_hash FROM j GROUP BY change_id"""

@@ -897,3 +897,14 @@ def sarif_results(spark, folder):
     """The results of the SARIF report, one object per line."""
     found, runs = _reported(spark, folder)
     return R.sarif_lines(runs, found).filter("section = 3").select("run_id", F.regexp_replace("line", "^,", "").alias("line"))
+
+
+@query
+def findings_hash(spark, folder):
+    """The hash that a receipt carries over the findings of a change."""
+    found, _ = _reported(spark, folder)
+    named = found.select(
+        "change_id", "category", "confidence", "detector", "direction", "evidence", F.col("from_ver").alias("from"), "message", "mitre", "package",
+        "provenance", "severity", F.col("to_ver").alias("to"),
+    )
+    return P.findings_hash(named, ["change_id"])
