@@ -56,8 +56,6 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class SeedIndex:
     """The windows of some items: for each mask sorted hashes with item and place, and a bit table that rules out most lookups."""
 
-    BITS = 22
-
     def __init__(self, items: list[tuple[int | None, str | None]]):
         hasher = WordHasher(separators=NOT_ALPHANUMERIC)
         words, first = hasher(pa.array([t for _, t in items], pa.string()))
@@ -74,8 +72,8 @@ class SeedIndex:
             place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             order = np.argsort(flat, kind="stable")
-            bits = np.zeros(1 << self.BITS, bool)
-            bits[flat & np.uint64((1 << self.BITS) - 1)] = True
+            bits = np.zeros(1 << max(12, (16 * len(flat)).bit_length()), bool)  # one in sixteen or fewer is set
+            bits[flat & np.uint64(len(bits) - 1)] = True
             self.tables.append((flat[order], item[order], place[order], bits))
 
     @classmethod
@@ -91,7 +89,7 @@ class SeedIndex:
         found: dict[int, set[tuple[int, int]]] = {}
         for mask, (hashes, item, place, bits) in zip(self.masks, self.tables):
             own = seed_hashes(words, mask)
-            at = np.flatnonzero(bits[own & np.uint64((1 << self.BITS) - 1)]) if len(hashes) else np.zeros(0, np.int64)
+            at = np.flatnonzero(bits[own & np.uint64(len(bits) - 1)]) if len(hashes) else np.zeros(0, np.int64)
             text = np.searchsorted(first, at, "right") - 1
             inside = at + len(mask) <= first[text + 1] if len(at) else np.zeros(0, bool)
             at, text = at[inside], text[inside]
@@ -165,7 +163,7 @@ def _scan(documents: DataFrame, index: SeedIndex, schema, make) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]):
         hasher, own = WordHasher(separators=NOT_ALPHANUMERIC), SeedIndex.of(shared.value)
         for batch in batches:
-            texts, overlaps = batch["text"], []
+            texts, overlaps = batch["text"] if "text" in batch.schema.names else batch["row"].field("text"), []
             for start, stop in slices(texts):
                 overlaps += own.overlapping(*hasher(texts.slice(start, stop - start)))
             yield make(batch, overlaps, own)
@@ -196,7 +194,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    packed = documents.select(F.struct("*").alias("row"), "text")
+    packed = documents.select(F.struct("*").alias("row"))  # the text goes to the tasks once, within the row
 
     def rows(batch, found, _):
         return batch.filter(pa.array([not hits for hits in found], pa.bool_()))

@@ -176,7 +176,8 @@ def score(documents: DataFrame, model: CompressionModel, keep: list[str], name:
         own = CompressionModel(**shared.value)
         measure = own.measures()
         for batch in batches:
-            values = pa.array([own.probability(measure(_text_bytes(text))) for text in batch["text"]], pa.float64())
+            texts = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
+            values = pa.array([own.probability(measure(_text_bytes(text))) for text in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), values], names=[*keep, name])
 
     return documents.mapInArrow(rate, documents.select(*keep).schema.add(name, "double"))
@@ -192,5 +193,5 @@ def score_documents(spark, sf_dir: str) -> DataFrame:
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns only."""
     model = fit(documents, labels)
-    packed = documents.select(F.struct("*").alias("row"), "text")
+    packed = documents.select(F.struct("*").alias("row"))  # the text goes to the tasks once, within the row
     return score(packed, model, ["row"]).where(F.col("score") >= threshold).select("row.*")
