@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from driftlens.schema import rank_label, severity_rank
 from driftlens.session import cut_lineage
 
+#: Levels after which the tables of visited keys become one, so that plans of deep graphs stay short.
+MERGE_EVERY = 12
+
 
 def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) -> DataFrame:
     """Up to ``max_paths`` shortest name paths from the root to every node of each run.
@@ -62,6 +65,8 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
             break
         levels.append(frontier.select("run_id", "key", "path", "trail", F.lit(depth).alias("depth")))
         visited = visited.unionByName(frontier.select("run_id", "key").distinct())
+        if depth % MERGE_EVERY == 0:
+            visited = cut_lineage(visited)
     if not levels:
         return frontier.select("run_id", "key", "path", "trail", F.lit(0).alias("place"), F.lit(0).alias("depth"))
     result = levels[0]
@@ -76,7 +81,7 @@ def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
     The loop carries only new pairs and ends when a round adds none, which happens on any graph, cycles included.
     """
     frontier = cut_lineage(seeds.distinct())
-    known = frontier
+    known, rounds = frontier, 0
     while not frontier.isEmpty():
         frontier = cut_lineage(
             frontier.join(steps, ["run_id", "key"])
@@ -84,7 +89,9 @@ def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
             .distinct()
             .join(known, ["run_id", "tag", "key"], "left_anti")
         )
-        known = known.unionByName(frontier)
+        known, rounds = known.unionByName(frontier), rounds + 1
+        if rounds % MERGE_EVERY == 0:
+            known = cut_lineage(known)
     return known
 
 
