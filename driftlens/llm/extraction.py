@@ -1,10 +1,12 @@
 """Main text of web pages by wrapper induction (operator 9).
 
 Every page is parsed to a tree and aligned, by simple tree matching, with a reference page of its host. Aligned nodes whose
-text is the same are constant, others vary. The votes of all pages of a host, added up, give its wrapper: the path of the
-region that holds the article, and the constant texts of the template outside marked articles. A page's article is what its nodes at that
-path hold, without template texts and without menus, forms, adverts, comments and the like, which are known by their
-elements and by the words of their class, id and role.
+text is the same are constant, others vary. The votes of all pages of a host, added up, give its wrapper: whether the text
+that varies lies mostly in the elements that the author marked as `article` or `main` or elsewhere, and the constant texts
+of the template. A page's article is what the marked elements hold (the whole page if none is marked, or if the votes are
+for the page), without template texts and without menus, forms, adverts, comments and the like, which are known by their
+elements and by the words of their class, id and role. Within marked elements a text is constant only if all of its
+run of like siblings is, so a sentence that articles share, between paragraphs that differ, stays.
 
 Runs of like leaf siblings (paragraphs, list items) are drawn together before matching, so the work of a pair of pages
 grows with their different kinds of nodes and not with the square of their paragraphs. Votes are added up within each
@@ -12,7 +14,7 @@ task before the shuffle; a host with a third of all pages sends one row for each
 host is found by a map-side minimum; references and wrappers are broadcast only if their counted size allows.
 
 Defined results: a null or empty html gives the empty text and 0. A null url is kept and belongs to the empty host. A page
-with the same text as its reference casts no vote; hosts of a single page have no template and use the page alone. Rows that repeat an
+with the same text as its reference casts no vote, one with most of its marked blocks and letters none on marked texts; hosts of a single page have no template and use the page alone. Rows that repeat an
 id are pages of their own. An empty table gives an empty result. Other columns are ignored. Text outside any block, broken
 nesting and unclosed elements are read as browsers do in the common cases. `br` is white space within its block.
 """
@@ -47,8 +49,12 @@ JUNK_WORDS = set(
     "navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead share sharing social related recommended comment comments commentlist reply replies "
     "respond disqus newsletter subscribe subscription signup login search pagination pager skip toolbar widget".split()
 )
+#: Elements by which an author marks what the page is about.
+MARKED = {"article", "main"}
 #: A text is the template's if so large a share of the pages that were aligned with it have it, of so many pages at least.
 CONSTANT, PAGES = 0.9, 5
+#: Parsed references that a task keeps.
+TREES = 64
 
 
 #: Elements below this depth are read as siblings, as browsers do at a limit of theirs.
@@ -56,26 +62,21 @@ DEEPEST = 200
 
 
 class Node:
-    __slots__ = ("tag", "name", "junk", "parts", "parent", "depth")
+    __slots__ = ("tag", "name", "junk", "parts", "parent", "depth", "marked")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.depth = tag, parent, [], parent.depth + 1 if parent else 0
         self.name, self.junk = tag, tag in JUNK_TAGS
+        self.marked = tag in MARKED or parent is not None and parent.marked
         if attributes and tag not in INLINE:
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
             if "class" in found:
                 self.name = f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
             words = {w.lower() for k in ("class", "id", "role") for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", found.get(k, ""))}
-            self.junk |= bool(words & JUNK_WORDS) and tag not in ("html", "body", "article", "main")
+            self.junk |= bool(words & JUNK_WORDS) and tag not in ("html", "body", *MARKED)
             self.junk |= "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
         if tag == "header":  # an article's own header belongs to it
-            self.junk |= not any(a.tag in ("article", "main") for a in ancestors(self))
-
-
-def ancestors(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
+            self.junk |= not self.marked
 
 
 def parse(text: str) -> Node:
@@ -147,10 +148,10 @@ def blocks(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
 class Tree:
     """A node for matching: children are drawn together in runs of leaves of one name; a run holds its texts."""
 
-    __slots__ = ("name", "path", "texts", "children", "size")
+    __slots__ = ("name", "path", "texts", "children", "size", "marked")
 
     def __init__(self, node: Node, path: str):
-        self.name, self.path, self.children, self.size = node.name, path, [], 1
+        self.name, self.path, self.children, self.size, self.marked = node.name, path, [], 1, node.marked
         direct = clean("".join(p for p in node.parts if isinstance(p, str)))
         self.texts = [direct] if direct else []
         for part in node.parts:
@@ -195,54 +196,57 @@ def simple_tree_matching(one: Tree, two: Tree) -> tuple[int, list[tuple[Tree, Tr
     return 1 + best[rows][columns], pairs
 
 
-def region(root: Node) -> tuple[str, Node]:
-    """The path and node of the part that holds the article: the marked one with most text, or the whole page."""
-    marked = [found for tag in ("article", "main") for found in _marked(root, "", tag)]
-    return max(marked, key=lambda x: x[0])[1:] if marked else ("", root)
-
+def region(root: Node) -> tuple[str, list[tuple[str, Node]]]:
+    """"marked" with the paths and nodes of all outermost marked elements that hold text, or "" with the whole page."""
+    found = list(_marked(root, ""))
+    return ("marked", found) if found else ("", [("", root)])
 
-def _length(node: Node) -> int:
-    return sum(len(p) if isinstance(p, str) else 0 if p.junk else _length(p) for p in node.parts)
 
-
-def _marked(node: Node, path: str, tag: str) -> Iterator[tuple[int, str, Node]]:
+def _marked(node: Node, path: str) -> Iterator[tuple[str, Node]]:
     for part in node.parts:
         if isinstance(part, Node) and not part.junk:
             own = f"{path}/{part.name}"
-            if part.tag == tag and (size := _length(part)):
-                yield size, own, part
-            else:
-                yield from _marked(part, own, tag)
+            if part.tag not in MARKED:
+                yield from _marked(part, own)
+            elif next(blocks(part, own), None):
+                yield own, part
 
 
-def at_path(node: Node, path: str, goal: str) -> Iterator[Node]:
-    for part in node.parts:
-        if isinstance(part, Node) and not part.junk:
-            own = f"{path}/{part.name}"
-            if own == goal:
-                yield part
-            elif goal.startswith(f"{own}/"):
-                yield from at_path(part, own, goal)
+def marked_texts(root: Node) -> list[str]:
+    """The texts of the blocks of all marked elements."""
+    return [text for path, node in _marked(root, "") for _, text in blocks(node, path)]
+
 
+def near_copy(own: list[str], reference: set[str]) -> bool:
+    """Whether more than half of the blocks, and of the letters, of a page's marked texts are the reference's too."""
+    same = [t for t in own if t in reference]
+    return 2 * len(same) > len(own) and 2 * sum(map(len, same)) > sum(map(len, own))
 
-def page_votes(page: Tree, reference: Tree, own_region: str) -> Iterator[tuple[str, str, bool]]:
-    """(path, text, same) for the texts of the reference that were aligned, and ("region", path, True) for the page's region."""
-    yield "region", own_region, True
+
+def page_votes(page: Tree, reference: Tree, own_region: str, copied: bool = False) -> Iterator[tuple[str, str, bool]]:
+    """(path, text, same) for the texts of the reference that were aligned; and, from a page with a region of its own,
+    ("region", "marked" or "page", True) by where more of its text varies. A near copy has no say on marked texts."""
+    varying = {True: 0, False: 0}  # letters in and outside of marked elements
+    open_ = [page]
+    while open_:
+        node = open_.pop()
+        varying[node.marked] += sum(map(len, node.texts))
+        open_ += node.children
     for ours, theirs in simple_tree_matching(page, reference)[1]:
-        own = set(ours.texts)
+        own, other = set(ours.texts), set(theirs.texts)
+        varying[ours.marked] -= sum(len(t) for t in ours.texts if t in other)
+        if theirs.marked and copied:
+            continue
         for text in dict.fromkeys(theirs.texts):
-            yield theirs.path, text, text in own
+            yield theirs.path, text, (ours.texts == theirs.texts if theirs.marked else text in own)
+    if own_region:
+        yield "region", "page" if varying[False] > varying[True] else "marked", True
 
 
 def article(root: Node, goal: str | None, template: set[tuple[str, str]]) -> str:
-    """The text of the region: at the wrapper's path if the page has it, else of the page's own region."""
-    path, found = goal or "", list(at_path(root, "", goal)) if goal else []
-    if not any(_length(n) for n in found):
-        path, node = region(root)
-        found = [node]
-    if any(n.tag in ("article", "main") for n in found):  # what an author marked is not searched for template texts
-        template = set()
-    return "\n\n".join(text for node in found for own, text in blocks(node, path) if (own, text) not in template)
+    """The text of the region, without the template's: of the marked elements, or of the whole page if the goal is "page"."""
+    found = [("", root)] if goal == "page" else region(root)[1]
+    return "\n\n".join(text for path, node in found for own, text in blocks(node, path) if (own, text) not in template)
 
 
 # ---- the operator ----
@@ -253,7 +257,7 @@ def host_of(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """The wrappers: host, region path, template as an array of (path, text)."""
+    """The wrappers: host, region ("marked", "page" or null), template as an array of (path, text)."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").where("html <> ''")
     picked = hosted.groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id", "html").alias("order"), "html")).alias("first"), F.count("*").alias("n"))
     references = scratch.cut(picked.where("n > 1").select(F.col("host").alias("h"), F.col("first.html").alias("reference")), "references")
@@ -261,16 +265,19 @@ def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
     aligned = hosted.join(small_enough(references, most + 100), F.col("host") == F.col("h")).where("html <> reference").select("host", "html", "reference")
 
     def vote(batches: Iterator[pa.RecordBatch]):
-        known: tuple[str, Tree, str] | None = None
+        known: dict[str, tuple[Tree, str, set[str]]] = {}
         for batch in batches:
             votes: Counter = Counter()
             for host, page, reference in zip(*(batch[c].to_pylist() for c in ("host", "html", "reference"))):
-                if known is None or known[0] != reference:
+                if reference not in known:
                     root = parse(reference)
-                    known = reference, Tree(root, ""), article(root, None, set())
+                    if len(known) == TREES:
+                        known.pop(next(iter(known)))
+                    known[reference] = Tree(root, ""), article(root, None, set()), set(marked_texts(root))
+                tree, text, texts = known[reference]
                 root = parse(page)
-                if article(root, None, set()) != known[2]:
-                    votes.update((host, *v) for v in page_votes(Tree(root, ""), known[1], region(root)[0]))
+                if article(root, None, set()) != text:
+                    votes.update((host, *v) for v in page_votes(Tree(root, ""), tree, region(root)[0], near_copy(marked_texts(root), texts)))
             columns = list(zip(*((*k, n) for k, n in votes.items()))) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["host", "path", "text", "same", "n"]

@@ -40,6 +40,27 @@ def test_copies_of_a_page_are_not_a_template(spark):
     assert set(texts(spark, rows).values()) == {"Same\n\nThe same article again."}
 
 
+def test_template_is_learnt_within_a_marked_article(spark):
+    shared = "A sentence that real articles share."
+    body = "<article><p>Sponsored by nobody</p><h1>Title {0}</h1><p>{1}</p><div class='x7'>Tell your friends</div>{2}<div class='x8'><p>All rights kept</p><p>by us</p></div></article>"
+    rows = [page(i, body.format(i, f"Long paragraph {i} " * 5, "".join(f"<p>{shared if k == i % 4 else f'words {i} {k} ' * 4}</p>" for k in range(5)))) for i in range(12)]
+    found = texts(spark, rows)
+    for i in range(12):
+        rest = "\n\n".join(shared if k == i % 4 else clean(f"words {i} {k} " * 4) for k in range(5))
+        assert found[i] == f"Title {i}\n\n{clean(f'Long paragraph {i} ' * 5)}\n\n{rest}"
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    rows = [page(i, "<article><h1>Same</h1>" + "".join(f"<p>The same paragraph {k}.</p>" for k in range(6)) + f"<p>Edition {i}</p></article>") for i in range(9)]
+    assert all(v.count("The same paragraph") == 6 for v in texts(spark, rows).values())
+
+
+def test_votes_choose_the_page_where_the_text_varies_outside_marked_elements(spark):
+    rows = [page(i, f"<article>Teaser {i}</article><div class='c1'><p>{f'The real text {i} ' * 9}</p><p>Imprint</p></div>") for i in range(9)]
+    found = texts(spark, rows)
+    assert all(found[i] == f"Teaser {i}\n\n{clean(f'The real text {i} ' * 9)}" for i in range(9))
+
+
 def slow_matching(one, two):
     if one.name != two.name:
         return 0
