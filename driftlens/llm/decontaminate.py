@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import read, slices
 from driftlens.llm.words import NOT_ALPHANUMERIC, WordHasher, mix
 
-#: 1: the word counts, 0: it may differ. All masks span thirteen words or fewer.
-MASKS = ("111011010111", "110110111011", "1110110011", "11011101", "1110111", "111111")
+#: 1: the word counts, 0: it may differ. All masks span twelve words or fewer. By enumeration, every window of WINDOW words, and
+#: every item of WIDEST, that differs in two words or fewer is met by one of them.
+MASKS = ("111011010111", "110110111011", "11110001111", "1110110011", "11011101", "1110111", "111111")
 WIDEST = max(map(len, MASKS))
 WINDOW = 13
 AGREE = 0.8
@@ -62,10 +63,10 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(first, first[1:])]
         short = sorted({len(w) for w in self.words if LEAST_WORDS <= len(w) < WIDEST})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        seeds = [*((m, False) for m in MASKS), *(("1" * n, True) for n in short)]  # True: for items of just that length
+        self.masks = [mask for mask, _ in seeds]
         self.tables = []
-        for mask in self.masks:
-            whole = "0" not in mask and mask not in MASKS
+        for mask, whole in seeds:
             chosen = [i for i, w in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) >= WIDEST)]
             hashes = [seed_hashes(self.words[i], mask) for i in chosen]
             item = np.repeat(np.array(chosen, np.int64), [len(h) for h in hashes])

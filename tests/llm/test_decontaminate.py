@@ -1,4 +1,6 @@
 import random
+import sys
+from itertools import combinations
 
 from driftlens.llm.decontaminate import MASKS, clean, overlaps
 
@@ -89,6 +91,19 @@ def test_blocks_of_the_benchmark_give_the_same(spark, documents, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in overlaps(documents(rows), bench(spark)).collect()} == truth
 
 
+def test_items_of_all_short_lengths_and_all_pairs_of_other_words(spark, documents, monkeypatch):
+    items = [(n, vocabulary(50 + n, n)) for n in range(4, 14)]
+    rows = [(n, " ".join(vocabulary(90 + n, 20) + words + vocabulary(70 + n, 20))) for n, words in items]
+    for n, words in items:
+        for a, b in combinations(range(n), 2):
+            rows.append((10_000 * n + 100 * a + b, " ".join(["before", *(f"other{i}" if i in (a, b) else w for i, w in enumerate(words)), "after"])))
+    monkeypatch.setattr(sys.modules[__name__], "ITEMS", items)
+    truth = brute_force(rows)
+    assert {(n, n) for n in range(5, 14)} <= truth and len(truth) == 9 + 66 + 78  # 10 of 12 and 11 of 13 words are enough
+    assert {(r["doc_id"], r["item_id"]) for r in overlaps(documents(rows), bench(spark, items)).collect()} == truth
+    assert {r["doc_id"] for r in clean(documents(rows), bench(spark, items)).collect()} == {d for d, _ in rows} - {d for d, _ in truth}
+
+
 def test_empty_tables(spark, documents):
     frame = documents([(1, "a b c")])
     assert overlaps(frame, bench(spark).where("false")).count() == 0
