@@ -5,7 +5,8 @@ text is the same are constant, others vary. The votes of all pages of a host, ad
 that varies lies mostly in the elements that the author marked as `article` or `main` or elsewhere, and the constant texts
 of the template. A page's article is what the marked elements hold (the whole page if none is marked, or if the votes are
 for the page), without template texts and without menus, forms, adverts, comments and the like, which are known by their
-elements and by the words of their class, id and role. Within marked elements a text is constant only if all of its
+elements and by the words of their class, id and role. Within marked elements fewer words count, and none for headers and
+what holds the h1; formulas and noscript are text. There a text is constant only if all of its
 run of like siblings is, so a sentence that articles share, between paragraphs that differ, stays.
 
 Runs of like leaf siblings (paragraphs, list items) are drawn together before matching, so the work of a pair of pages
@@ -35,8 +36,13 @@ from driftlens.llm.common import Scratch, read, small_enough
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math"}
+RAW = {"script", "style", "textarea", "template", "iframe", "xmp", "svg"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas are text of their block.
+INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle".split())
+INLINE |= set("msub msubsup msup mtable mtd mtext mtr munder munderover semantics none".split())
+#: Other spellings of a formula, which no browser shows: left out without ending the block.
+UNSHOWN = {"annotation", "annotation-xml"}
 #: An element of the first kind is closed by the start of one of the second, and ends open elements within it.
 CLOSED_BY = {
     "p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -49,6 +55,11 @@ JUNK_WORDS = set(
     "navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead share sharing social related recommended comment comments commentlist reply replies "
     "respond disqus newsletter subscribe subscription signup login search pagination pager skip toolbar widget".split()
 )
+#: Of these, the class words that name no part of an article. Within marked elements only they count; the votes decide on the rest.
+JUNK_WORDS_WITHIN = set(
+    "ad ads advert adverts advertisement sponsored nav navbar breadcrumb breadcrumbs sidebar share sharing comment comments commentlist reply replies respond disqus "
+    "newsletter pagination pager toolbar".split()
+)
 #: Elements by which an author marks what the page is about.
 MARKED = {"article", "main"}
 #: A text is the template's if so large a share of the pages that were aligned with it have it, of so many pages at least.
@@ -62,21 +73,28 @@ DEEPEST = 200
 
 
 class Node:
-    __slots__ = ("tag", "name", "junk", "parts", "parent", "depth", "marked")
+    __slots__ = ("tag", "name", "junk", "worded", "parts", "parent", "depth", "marked")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.depth = tag, parent, [], parent.depth + 1 if parent else 0
-        self.name, self.junk = tag, tag in JUNK_TAGS
+        self.name, self.junk, self.worded = tag, tag in JUNK_TAGS, False
         self.marked = tag in MARKED or parent is not None and parent.marked
         if attributes and tag not in INLINE:
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
             if "class" in found:
                 self.name = f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
             words = {w.lower() for k in ("class", "id", "role") for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", found.get(k, ""))}
-            self.junk |= bool(words & JUNK_WORDS) and tag not in ("html", "body", *MARKED)
+            self.worded = bool(words & (JUNK_WORDS_WITHIN if self.marked else JUNK_WORDS)) and tag not in ("html", "body", *MARKED, *(("header", "h1") if self.marked else ()))
             self.junk |= "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
         if tag == "header":  # an article's own header belongs to it
             self.junk |= not self.marked
+        if tag == "main" or tag == "h1" and self.marked:  # no word of its holders makes them junk
+            while parent is not None and parent.tag not in (MARKED if tag == "h1" else ()):
+                parent.worded, parent = False, parent.parent
+
+    @property
+    def skipped(self) -> bool:
+        return self.junk or self.worded
 
 
 def parse(text: str) -> Node:
@@ -94,8 +112,13 @@ def parse(text: str) -> Node:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag in UNSHOWN:
+            if not m[1] and not m[3].rstrip().endswith("/"):
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(text, place)
+                place = stop.end() if stop else place
+            continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in ("br", "mtd"):
                 at.parts.append(" ")
             continue
         if m[1]:
@@ -136,7 +159,7 @@ def blocks(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
         if text := clean("".join(held)):
             yield path, text
         held = []
-        if not part.junk:
+        if not part.skipped:
             yield from blocks(part, f"{path}/{part.name}")
     if text := clean("".join(held)):
         yield path, text
@@ -155,7 +178,7 @@ class Tree:
         direct = clean("".join(p for p in node.parts if isinstance(p, str)))
         self.texts = [direct] if direct else []
         for part in node.parts:
-            if isinstance(part, str) or part.junk:
+            if isinstance(part, str) or part.skipped:
                 continue
             child = Tree(part, f"{path}/{part.name}")
             last = self.children[-1] if self.children else None
@@ -204,7 +227,7 @@ def region(root: Node) -> tuple[str, list[tuple[str, Node]]]:
 
 def _marked(node: Node, path: str) -> Iterator[tuple[str, Node]]:
     for part in node.parts:
-        if isinstance(part, Node) and not part.junk:
+        if isinstance(part, Node) and not part.skipped:
             own = f"{path}/{part.name}"
             if part.tag not in MARKED:
                 yield from _marked(part, own)

@@ -61,6 +61,21 @@ def test_votes_choose_the_page_where_the_text_varies_outside_marked_elements(spa
     assert all(found[i] == f"Teaser {i}\n\n{clean(f'The real text {i} ' * 9)}" for i in range(9))
 
 
+@pytest.mark.parametrize("inner, text", [
+    ("<header class='entry-header'><h1>Title</h1></header><p>a", "Title\n\na"),
+    ("<div class='post-header'><h1>Title</h1><p>by me</div><p class='notice'>Note<section id='search'><p>On search</section>", "Title\n\nby me\n\nNote\n\nOn search"),
+    ("<div class='share-layout'><h1>Title</h1></div><div class='share'>Tell all</div><ul class='comments'><li>c</ul>", "Title"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> be<noscript><p>shown</noscript>", "Let x=2 be\n\nshown"),
+])
+def test_content_within_an_article_is_kept(inner, text):
+    assert article(parse(f"<body><div class='masthead'>m</div><article>{inner}</article></body>"), None, set()) == text
+
+
+def test_all_sibling_articles_and_a_main_in_any_holder_are_kept():
+    assert article(parse("<body><article><p>one</article><p>x<div><article><p>the longer two</article></div>"), None, set()) == "one\n\nthe longer two"
+    assert article(parse("<body><div class='with-sidebar'><main><p>one</main></div>"), None, set()) == "one"
+
+
 def slow_matching(one, two):
     if one.name != two.name:
         return 0
