@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction (operator 9).
 
-Every page is parsed to a tree and aligned, by simple tree matching, with a reference page of its host. Aligned nodes whose
-text is the same are constant, others vary. The votes of all pages of a host, added up, give its wrapper: whether the text
+Every page is parsed to a tree and aligned, by simple tree matching, with a reference page of its host, and with one of its
+layout (pages of the host with the same kinds of frame elements) where the host has several. Aligned nodes whose text is the same are constant, others vary. The votes of all pages of a host or layout, added up, give its wrapper: whether the text
 that varies lies mostly in the elements that the author marked as `article` or `main` or elsewhere, and the constant texts
 of the template. A page's article is what the marked elements hold (the whole page if none is marked, or if the votes are
 for the page), without template texts and without menus, forms, adverts, comments and the like, which are known by their
@@ -12,7 +12,7 @@ run of like siblings is, so a sentence that articles share, between paragraphs t
 Runs of like leaf siblings (paragraphs, list items) are drawn together before matching, so the work of a pair of pages
 grows with their different kinds of nodes and not with the square of their paragraphs. Votes are added up within each
 task before the shuffle; a host with a third of all pages sends one row for each vote and task. One reference page per
-host is found by a map-side minimum; references and wrappers are broadcast only if their counted size allows.
+host and layout is found by a map-side minimum; references and wrappers are broadcast only if their counted size allows.
 
 Defined results: a null or empty html gives the empty text and 0. A null url is kept and belongs to the empty host. A page
 with the same text as its reference casts no vote, one with most of its marked blocks and letters none on marked texts; hosts of a single page have no template and use the page alone. Rows that repeat an
@@ -279,37 +279,71 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+#: Elements that make up a page's layout, as opposed to its text.
+FRAME = r"(?i)<(?:div|section|main|article|header|nav|aside|footer|form)\b[^>]*>"
+
+
+def layout_of(html: Column) -> Column:
+    """A hash of the kinds of frame elements of a page: their tags and classes without digits, whatever their number and order."""
+
+    def kind(tag: Column) -> Column:
+        names = F.regexp_extract(tag, r"(?i)\bclass\s*=\s*[\"']?([^\"'>]*)", 1)
+        return F.lower(F.concat_ws(".", F.regexp_extract(tag, r"<(\w+)", 1), F.regexp_replace(names, "[0-9]+", "")))
+
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(FRAME), F.lit(0)), kind))))
+
+
+def _references(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """One page for each key, by a minimum that is taken before the shuffle, and the number of pages."""
+    picked = pages.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("page_id", "html").alias("order"), "html")).alias("first"), F.count("*").alias("n"))
+    return picked.select(*keys, "n", F.col("first.html").alias("reference"))
+
+
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """The wrappers: host, region ("marked", "page" or null), template as an array of (path, text)."""
-    hosted = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").where("html <> ''")
-    picked = hosted.groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id", "html").alias("order"), "html")).alias("first"), F.count("*").alias("n"))
-    references = scratch.cut(picked.where("n > 1").select(F.col("host").alias("h"), F.col("first.html").alias("reference")), "references")
-    most = references.agg(F.max(F.octet_length("reference"))).first()[0] or 0
-    aligned = hosted.join(small_enough(references, most + 100), F.col("host") == F.col("h")).where("html <> reference").select("host", "html", "reference")
+    """The wrappers: host, layout (null: of all pages of the host), region ("marked", "page" or null), template as an array of (path, text)."""
+    hosted = pages.select(host_of(F.col("url")).alias("host"), layout_of(F.col("html")).alias("layout"), "page_id", "html").where("html <> ''")
+    hosts = scratch.cut(_references(hosted, ["host"]).where("n > 1").select(F.col("host").alias("h"), F.col("n").alias("all"), "reference"), "references")
+    # a layout of all pages of its host, or of too few for a template, needs no reference of its own
+    layouts = _references(hosted, ["host", "layout"]).where(F.col("n") > PAGES).join(hosts.select("h", "all"), (F.col("host") == F.col("h")) & (F.col("n") < F.col("all")))
+    layouts = scratch.cut(layouts.select(F.col("host").alias("g"), F.col("layout").alias("l"), F.col("reference").alias("own")), "layouts")
+    aligned = hosted
+    for table, text, on in (hosts.drop("all"), "reference", F.col("host") == F.col("h")), (layouts, "own", (F.col("host") == F.col("g")) & (F.col("layout") == F.col("l"))):
+        most = table.agg(F.max(F.octet_length(text))).first()[0] or 0
+        aligned = aligned.join(small_enough(table, most + 100), on, "left")
+    aligned = aligned.where("reference IS NOT NULL AND (html <> reference OR html <> own)").select("host", "l", "html", "reference", "own")
 
     def vote(batches: Iterator[pa.RecordBatch]):
         known: dict[str, tuple[Tree, str, set[str]]] = {}
+
+        def reference_of(text: str) -> tuple[Tree, str, set[str]]:
+            if text not in known:
+                root = parse(text)
+                if len(known) == TREES:
+                    known.pop(next(iter(known)))
+                known[text] = Tree(root, ""), article(root, None, set()), set(marked_texts(root))
+            return known[text]
+
         for batch in batches:
             votes: Counter = Counter()
-            for host, page, reference in zip(*(batch[c].to_pylist() for c in ("host", "html", "reference"))):
-                if reference not in known:
-                    root = parse(reference)
-                    if len(known) == TREES:
-                        known.pop(next(iter(known)))
-                    known[reference] = Tree(root, ""), article(root, None, set()), set(marked_texts(root))
-                tree, text, texts = known[reference]
+            for host, layout, page, reference, own in zip(*(batch[c].to_pylist() for c in ("host", "l", "html", "reference", "own"))):
                 root = parse(page)
-                if article(root, None, set()) != text:
-                    votes.update((host, *v) for v in page_votes(Tree(root, ""), tree, region(root)[0], near_copy(marked_texts(root), texts)))
-            columns = list(zip(*((*k, n) for k, n in votes.items()))) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["host", "path", "text", "same", "n"]
-            )
-
-    votes = aligned.mapInArrow(vote, "host string, path string, text string, same boolean, n long")
-    total = votes.groupBy("host", "path", "text").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
+                tree, text, kind, marked = Tree(root, ""), article(root, None, set()), region(root)[0], marked_texts(root)
+                levels: dict[str, list[int | None]] = {reference: [None]}
+                if own is not None:
+                    levels.setdefault(own, []).append(layout)
+                for other, keys in levels.items():
+                    theirs, their_text, their_marked = reference_of(other)
+                    if other != page and text != their_text:
+                        cast = list(page_votes(tree, theirs, kind, near_copy(marked, their_marked)))
+                        votes.update((host, key, *v) for key in keys for v in cast)
+            columns = list(zip(*((*k, n) for k, n in votes.items()))) or [[]] * 6
+            types = pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "layout", "path", "text", "same", "n"])
+
+    votes = aligned.mapInArrow(vote, "host string, layout long, path string, text string, same boolean, n long")
+    total = votes.groupBy("host", "layout", "path", "text").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
     constant = (F.col("path") != "region") & (F.col("n") >= PAGES) & (F.col("same") >= CONSTANT * F.col("n"))
-    wrappers = total.groupBy("host").agg(
+    wrappers = total.groupBy("host", "layout").agg(
         F.max_by("text", F.when(F.col("path") == "region", F.struct("n", "text"))).alias("region"),
         F.collect_list(F.when(constant, F.struct("path", "text"))).alias("template"),
     )
@@ -322,18 +356,23 @@ def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(pages.sparkSession, "extraction")
     wrappers = induce(pages, scratch)
     size = wrappers.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(small_enough(wrappers.withColumnRenamed("host", "h"), size), F.col("host") == F.col("h"), "left")
+    hosts = wrappers.where("layout IS NULL").select(F.col("host").alias("h"), "region", "template")
+    layouts = wrappers.where("layout IS NOT NULL").select(F.col("host").alias("g"), F.col("layout").alias("l"), F.col("region").alias("own_region"), F.col("template").alias("own_template"))
+    joined = pages.withColumns({"host": host_of(F.col("url")), "layout": layout_of(F.col("html"))})
+    joined = joined.join(small_enough(hosts, size), F.col("host") == F.col("h"), "left")
+    joined = joined.join(small_enough(layouts, size), (F.col("host") == F.col("g")) & (F.col("layout") == F.col("l")), "left")
 
     def extract(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             texts = []
-            for page, goal, template in zip(*(batch[c].to_pylist() for c in ("html", "region", "template"))):
-                texts.append(article(parse(page), goal, {(t["path"], t["text"]) for t in template or ()}) if page else "")
+            for page, goal, template, own in zip(*(batch[c].to_pylist() for c in ("html", "region", "template", "own_template"))):
+                texts.append(article(parse(page), goal, {(t["path"], t["text"]) for part in (template, own) for t in part or ()}) if page else "")
             yield pa.RecordBatch.from_arrays(
                 [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select("page_id", "url", "html", "region", "template").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    chosen = joined.select("page_id", "url", "html", F.coalesce("own_region", "region").alias("region"), "template", "own_template")
+    return chosen.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def extract_pages(spark, sf_dir: str) -> DataFrame:

@@ -61,6 +61,14 @@ def test_votes_choose_the_page_where_the_text_varies_outside_marked_elements(spa
     assert all(found[i] == f"Teaser {i}\n\n{clean(f'The real text {i} ' * 9)}" for i in range(9))
 
 
+def test_every_layout_of_a_host_has_a_template_of_its_own(spark):
+    one = "<div class='wrap'><div class='c1'><p>Front matter</p></div><div class='c2'>{0}</div></div>"
+    two = "<div class='page'><section class='s1'>{0}</section><section class='s2'><p>Back matter</p></section></div>"
+    rows = [page(i, (one if i % 2 else two).format(f"<p>{f'Text number {i} ' * 5}</p>")) for i in range(24)] + [page(99, "<p>Not found</p>")]
+    found = texts(spark, rows)
+    assert all(found[i] == clean(f"Text number {i} " * 5) for i in range(24)) and found[99] == "Not found"
+
+
 @pytest.mark.parametrize("inner, text", [
     ("<header class='entry-header'><h1>Title</h1></header><p>a", "Title\n\na"),
     ("<div class='post-header'><h1>Title</h1><p>by me</div><p class='notice'>Note<section id='search'><p>On search</section>", "Title\n\nby me\n\nNote\n\nOn search"),
