@@ -3,8 +3,10 @@
 `write_arc` writes pages as ARC files of version 1 or 2 (a version block, then one URL line with the declared length and
 the HTTP response per record). `convert` reads ARC files of either version: the version block names the fields of the URL
 lines, and each record's bytes are taken by its declared length. Every record becomes a WARC/1.1 record with a
-synthesised identifier, W3C timestamp, type and base32 SHA-1 digests; of records with equal payloads of at least
-`least` bytes, one is a response and the others are revisits that name it. `read_warc` reads WARC files back.
+synthesised identifier, W3C timestamp, type and base32 SHA-1 digests, its own bytes and HTTP head, its IP address, and the
+other fields of its URL line. What has an HTTP head is a response; any other record (dns and the like) is a resource of
+its declared type. Of records with equal payloads of at least `least` bytes, one stays whole and the others are revisits
+that name it. `read_warc` reads WARC files back.
 
 Both kinds of archives are written by Spark's text sink: the separator of the lines is what ends a record (a line feed in
 ARC, two line ends in WARC), so each file is a valid archive on any file system that Spark reaches. They are read by
@@ -43,7 +45,7 @@ TITLES = {
 ARCHIVED = "20240101000000"
 #: Rows of an archive file, at most: bounds what one task reads at once.
 FILE_ROWS = 2000
-RECORDS = "page_id long, url string, date string, mime string, payload string, payload_bytes long, payload_digest string"
+RECORDS = "page_id long, url string, date string, mime string, ip string, code string, checksum string, location string, head binary, payload binary, payload_bytes long, payload_digest string"
 
 
 def _safe_url(url: str | None) -> str:
@@ -86,7 +88,7 @@ def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
         at = (stop if stop >= 0 else len(data)) + 1
         if not line.strip():
             continue
-        words = line.decode("utf-8").split(" ")
+        words = _decoded(line.rstrip(b"\r")).split(" ")
         size = int(words[-1])
         if at + size > len(data):
             raise ValueError("an ARC record is cut short")
@@ -100,14 +102,36 @@ def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
             yield dict(zip(fields, words)) | {"content": content}
 
 
+def _decoded(line: bytes) -> str:
+    """The text of a URL line; bytes that are not UTF-8 are percent-encoded."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return "".join(chr(b) if b < 128 else f"%{b:02X}" for b in line)
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _http(content: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, payload = content.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
+def _split(url: str, content: bytes) -> tuple[bytes | None, bytes]:
+    """The HTTP head with its blank line, and the payload. Without a head, or with a scheme that has none, all is payload."""
+    scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", url)
+    if not content.startswith(b"HTTP/") or scheme and scheme[1].lower() not in ("http", "https", "urn"):
+        return None, content
+    stop = re.search(rb"\r?\n\r?\n", content)
+    return (content[: stop.end()], content[stop.end() :]) if stop else (content, b"")
+
+
+def _headers(head: bytes | None) -> dict[str, str]:
+    lines = (head or b"").decode("latin-1").splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _page(headers: dict[str, str]) -> int | None:
+    """The page id that `write_arc` put into a head."""
+    page = headers.get("x-page-id", "")
+    return int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) and -(1 << 63) <= int(page) < 1 << 63 else None
 
 
 def _unzipped(content: bytes) -> bytes:
@@ -115,23 +139,23 @@ def _unzipped(content: bytes) -> bytes:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files: page_id, url, date, type, payload, its size and digest."""
+    """The records of ARC files: page_id, the fields of the URL line, HTTP head (null without), payload, its size and digest."""
 
     def parse(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for cell in batch["content"]:
                 rows = []
                 for record in parse_arc(_unzipped(cell.as_py())):
-                    headers, payload = _http(record["content"])
-                    page = headers.get("x-page-id")
+                    head, payload = _split(record["url"], record["content"])
                     url = {"urn:none": None, "urn:empty": ""}.get(record["url"], record["url"])
-                    rows.append((int(page) if page else None, url, record["date"], record["type"], payload.decode("utf-8"), len(payload), digest(payload)))
+                    line = (record.get(f) for f in ("date", "type", "ip", "code", "checksum", "location"))
+                    rows.append((_page(_headers(head)), url, *line, head, payload, len(payload), digest(payload)))
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []
                 yield _batch(rows)
 
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    types = [pa.int64(), *[pa.string()] * 7, pa.binary(), pa.binary(), pa.int64(), pa.string()]
     names = [x.split(" ")[0] for x in RECORDS.split(", ")]
 
     def _batch(rows):
@@ -146,12 +170,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
-def record_id(page_id: Column, payload_digest: Column) -> Column:
-    """A UUID of the custom layout (version 8): the page id in the first 48 and last 16 bits around digest bits."""
+def record_id(page_id: Column, payload_digest: Column, *more: Column) -> Column:
+    """A UUID of the custom layout (version 8): the page id in the first 48 and last 16 bits around digest bits. Without a
+    page id it is made from the digest and what else tells the record from others."""
     key = F.lpad(F.lower(F.hex(page_id)), 16, "0")
     bits = F.md5(F.concat_ws(":", payload_digest, page_id.cast("string")))
     uuid = F.concat(F.substring(key, 1, 8), F.lit("-"), F.substring(key, 9, 4), F.lit("-8"), F.substring(bits, 1, 3), F.lit("-8"), F.substring(bits, 4, 3), F.lit("-"), F.substring(key, 13, 4), F.substring(bits, 7, 8))
-    nameless = F.concat(F.lit("00000000-0000-4"), F.substring(bits, 1, 3), F.lit("-8"), F.substring(bits, 4, 3), F.lit("-"), F.substring(bits, 7, 12))
+    bits = F.md5(F.concat_ws(":", payload_digest, *more))
+    nameless = F.concat(F.substring(bits, 13, 8), F.lit("-"), F.substring(bits, 21, 4), F.lit("-4"), F.substring(bits, 1, 3), F.lit("-8"), F.substring(bits, 4, 3), F.lit("-"), F.substring(bits, 7, 12))
     return F.concat(F.lit("<urn:uuid:"), F.coalesce(uuid, nameless), F.lit(">"))
 
 
@@ -171,21 +197,30 @@ def convert(spark: SparkSession, arc: str, warc: str, scratch: Scratch, least: i
     revisit = F.coalesce((F.col("first_id") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first_id").isNotNull()), F.lit(False))
     url = F.coalesce(F.col("url"), F.lit("urn:none"))
     when = F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
-    page_line = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n"))).otherwise("")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), page_line, F.lit("Content-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    http = F.coalesce("head", F.lit(b""))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+
+    def field(name: str, value: Column, *unknown: str) -> Column:
+        return F.when(value.isNotNull() & ~value.isin("-", "", *unknown), F.concat(F.lit(f"\r\n{name}: "), value)).otherwise("")
+
+    mime = F.when(F.col("mime").isin("-", ""), "application/octet-stream").otherwise(F.col("mime"))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id"), F.col("payload_digest")),
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").when(F.col("head").isNull(), "resource").otherwise("response"),
+        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id"), F.col("payload_digest"), url, F.col("date"), F.col("ip")),
         F.lit("\r\nWARC-Date: "), when, F.lit("\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(revisit, F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
             record_id(F.col("first_id"), F.col("payload_digest")),
         )).otherwise(""),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
+        field("WARC-IP-Address", F.col("ip"), "0.0.0.0"),
+        F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),  # a revisit has no other place for it
+        field("X-ARC-Content-Type", F.col("mime")), field("X-ARC-Result-Code", F.col("code")),
+        field("X-ARC-Checksum", F.col("checksum")), field("X-ARC-Location", F.col("location")),
+        F.lit("\r\nContent-Type: "), F.when(F.col("head").isNull(), mime).otherwise("application/http; msgtype=response"),
+        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
-    lines = joined.select(F.concat(head, block).alias("value"))
+    lines = joined.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))  # bytes of any encoding, as they are
     lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(warc)
 
 
@@ -209,7 +244,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record; response digests are checked."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record; digests of whole payloads are checked."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
@@ -218,13 +253,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for cell in batch["content"]:
                 rows = []
                 for headers, block in parse_warc(_unzipped(cell.as_py())):
-                    http, payload = _http(block)
+                    whole = headers["warc-type"] != "revisit"
+                    head, payload = _split(headers["warc-target-uri"], block) if headers["warc-type"] != "resource" else (None, block)
+                    http = _headers(head)
                     sha = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if headers["warc-type"] == "response" and digest(payload) != sha:
+                    if whole and digest(payload) != sha:
                         raise ValueError("a payload does not fit its digest")
-                    page = http.get("x-page-id")
                     url = {"urn:none": None, "urn:empty": ""}.get(headers["warc-target-uri"], headers["warc-target-uri"])
-                    rows.append((int(page) if page else None, url, int(http["content-length"]), sha, headers["warc-type"], page_of(headers.get("warc-refers-to"))))
+                    size = len(payload) if whole else int(headers.get("x-payload-length", http.get("content-length")))
+                    rows.append((_page(http), url, size, sha, headers["warc-type"], page_of(headers.get("warc-refers-to"))))
                 columns = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 

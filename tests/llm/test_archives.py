@@ -45,6 +45,38 @@ def test_many_records_are_split_into_files(spark):
     assert archives.read_arc(spark, scratch.path("arc")).agg({"page_id": "sum"}).first()[0] == 4500 * 4499 // 2
 
 
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_records_of_real_archives_keep_their_bytes(spark, version, tmp_path):
+    missing = b"HTTP/1.1 404 Not Found\r\nContent-Type: image/gif\r\nX-A: 1\r\n\r\nGIF\xff\x00"
+    latin = b"HTTP/1.0 200 OK\nContent-Type: text/html; charset=iso-8859-1\n\ncaf\xe9\r\n\r\n"
+    records = [
+        ("dns:a.example", "9.9.9.9", "text/dns", "200", b"20240101000000\na.example. 60 IN A 1.2.3.4\n"),
+        ("http://a.example/no.gif", "1.2.3.4", "image/gif", "404", missing), ("http://a.example/caf\u00e9", "1.2.3.4", "text/html", "200", latin),
+        ("http://b.example/old", "0.0.0.0", "text/plain", "200", b"no head at all"), ("http://c.example/", "-", "no-type", "204", b"HTTP/1.1 204 No Content\r\nX: y"),
+        ("http://d.example/", "1.2.3.4", "image/gif", "404", missing), ("ftp://d.example/f", "1.2.3.4", "-", "226", missing),
+    ]
+    title = {"1": b"1 0 x\n", "2": b"2 0 x\n"}[version]
+    data = b"".join(
+        f"{url} {ip} 20000102030405 {mime} {f'{code} sum - 0 f ' if version == '2' else ''}{len(body)}\n".encode() + body + b"\n"
+        for url, ip, mime, code, body in [("filedesc://x", "0.0.0.0", "text/plain", "200", title), *records]
+    )
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0").write_bytes(data)
+    archives.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc", Scratch(spark, "test"))
+    found = {h["warc-target-uri"]: (h, b) for p in (tmp_path / "warc").glob("part-*") for h, b in archives.parse_warc(gzip.decompress(p.read_bytes()))}
+    assert {u: b for u, (_, b) in found.items()} == {u: b for u, _, _, _, b in records}
+    assert len({h["warc-record-id"] for h, _ in found.values()}) == len(records)
+    for url, ip, mime, code, body in records:
+        head = found[url][0]
+        response = url.startswith("http") and body.startswith(b"HTTP/")
+        assert head["warc-type"] == ("response" if response else "resource") and head["warc-date"] == "2000-01-02T03:04:05Z"
+        assert head["content-type"] == ("application/http; msgtype=response" if response else "application/octet-stream" if mime == "-" else mime)
+        assert head.get("warc-ip-address") == (None if ip in ("-", "0.0.0.0") else ip)
+        assert version == "1" or head["x-arc-result-code"] == code
+    sizes = {r["url"]: r["payload_bytes"] for r in archives.read_warc(spark, f"file://{tmp_path}/warc").collect()}
+    assert sizes["dns:a.example"] == len(records[0][4]) and sizes["http://a.example/no.gif"] == 5 and sizes["http://c.example/"] == 0
+
+
 def test_empty_table(spark):
     scratch = Scratch(spark, "test")
     archives.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), scratch.path("arc"))
