@@ -1,9 +1,13 @@
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftlens.llm.components import connected_components
 from driftlens.llm.common import Scratch
+from driftlens.llm import neardup
 from driftlens.llm.neardup import Similarity, deduplicate, near_duplicates
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -77,6 +81,15 @@ def test_components_equal_brute_force(documents, corpus, like):
     assert sorted(map(tuple, found.collect()), key=repr) == brute_force(corpus, like.words, like.least)
 
 
+@pytest.mark.parametrize("least, equal", [(80, 77), (85, 84)])
+def test_the_signature_loses_less_than_the_trees(least, equal):
+    n, t = neardup.SIGNATURE, least / 100
+    assert sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(equal)) < 1e-7
+    one, two = np.zeros(n, np.uint8), np.r_[np.zeros(equal, np.uint8), np.ones(n - equal, np.uint8)]
+    leaf = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array([one.tobytes(), two.tobytes()], pa.binary())], names=["node", "key", "sig"])
+    assert [b.num_rows for b in neardup._compare_leaves(Similarity(least=least).gate)(iter([leaf]))] == [1]
+
+
 def test_deduplicate_keeps_one_of_each_group_and_all_columns(documents):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (3, None), (4, ""), (5, "z y x w v"), (5, "z y x w v")]
     frame = documents(rows)
