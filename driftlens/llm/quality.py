@@ -30,8 +30,9 @@ from driftlens.llm.common import read
 
 #: Labelled documents used to fit, at most, of each class: half for the dictionaries, half for the curve.
 SAMPLE = 1200
-#: Bytes of each sampled document that enter a dictionary, and bytes of a dictionary.
-EXCERPT = 4096
+#: Bytes of each sampled document that reach the driver, at most, in pieces spread over the document; and bytes of a dictionary,
+#: which its documents share (327 of each with 600 documents, in pieces spread likewise).
+EXCERPT, PIECES = 4096, 4
 DICTIONARY = 192 << 10
 #: Bytes of text that are compressed at once: short enough that the dictionary counts against the text's own repeats.
 BLOCK = 2048
@@ -111,7 +112,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compre
         part = usable.where(F.col("quality") == label).orderBy(order, "id").limit(sample)
         for place, row in enumerate(part.collect()):
             chosen.setdefault(place % 2, {})[row["id"]] = label
-    excerpt = F.substring(F.encode(F.col("text"), "utf-8"), 1, EXCERPT).alias("text")
+    excerpt = _excerpt(F.encode(F.col("text"), "utf-8")).alias("text")
     rows = _of(documents, chosen.get(0, {})).select("id", excerpt).collect()
     examples: dict[int, list[bytes]] = {0: [], 1: []}
     for row in sorted(rows, key=lambda r: (r["id"], bytes(r["text"]))):
@@ -130,10 +131,25 @@ def _of(documents: DataFrame, ids: dict[int, int]) -> DataFrame:
     return documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(bounded), F.col("doc_id") == F.col("id"))
 
 
+def _excerpt(data: Column) -> Column:
+    """A text of at most EXCERPT bytes, or so many bytes of a longer one: pieces from its start to its end."""
+    piece, size = EXCERPT // PIECES, F.octet_length(data)
+    starts = [(F.floor((size - piece) * i / (PIECES - 1)) + 1).cast("int") for i in range(PIECES)]
+    return F.when(size <= EXCERPT, data).otherwise(F.concat(*(F.substring(data, s, F.lit(piece)) for s in starts)))
+
+
+def _spread(text: bytes, share: int) -> bytes:
+    """At most `share` bytes of a text: pieces from its start to its end."""
+    if len(text) <= share:
+        return text
+    piece = share // PIECES
+    return b"".join(text[s : s + piece] for s in ((len(text) - piece) * i // (PIECES - 1) for i in range(PIECES)))
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content: excerpts in turn from the texts, as many as fit."""
+    """Raw content: an equal share of each text, spread over it."""
     share = max(256, min(EXCERPT, DICTIONARY // max(1, len(texts))))
-    return b"\n".join(t[:share] for t in texts)[-DICTIONARY:].ljust(8)
+    return b"\n".join(_spread(t, share) for t in texts)[-DICTIONARY:].ljust(8)
 
 
 def _calibrated(model: CompressionModel, points: list[tuple[tuple[float, ...], int]], decay: float = 1e-3) -> CompressionModel:

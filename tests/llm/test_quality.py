@@ -67,6 +67,14 @@ def test_accepted_keeps_columns_and_good_documents(tables):
     assert {900, 901} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_the_dictionaries_see_all_parts_of_long_texts(spark, documents):
+    rows = [(i, "".join(f"{part}{i:04d} " * 1500 for part in ("start", "upper", "lower", "final"))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = fit(documents(rows), labels)
+    for dictionary in (model.good, model.bad):
+        assert all(dictionary.count(part) > 50 for part in (b"start", b"upper", b"lower", b"final"))
+
+
 def test_without_labels_every_score_is_the_prior(spark, documents):
     frame = documents([(1, "some text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
