@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.archives import archive_pages
 from driftlens.llm.decontaminate import find_leaks
+from driftlens.llm.exact import find_exact_duplicates
 from driftlens.llm.extraction import extract_pages
 from driftlens.llm.mixing import mix_documents
 from driftlens.llm.neardup import find_near_duplicates
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mix_documents,
     "op9_extraction": extract_pages,
     "op10_quality": score_documents,
+    "op13_exact": find_exact_duplicates,
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -74,4 +74,13 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.a AS vec_id, coalesce(n, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
 """
 
-ORACLE_SQL = {"op7_vectors": VECTORS, "op1_neardup": NEARDUP, "op5_archives": ARCHIVES, "op8_mixing": MIXING}
+EXACT = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
+
+ORACLE_SQL = {"op7_vectors": VECTORS, "op1_neardup": NEARDUP, "op5_archives": ARCHIVES, "op8_mixing": MIXING, "op13_exact": EXACT}

@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_mixing": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
     "op9_extraction": ("pages", ["page_id", "url", "text", "n_chars"]),
     "op10_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]),
+    "op13_exact": ("documents", ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]),
 }
 
 
@@ -33,5 +34,5 @@ def test_one_row_per_row_of_the_table(spark, name):
 
 def test_names():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality",
+        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality", "op13_exact",
     ]
