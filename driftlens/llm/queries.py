@@ -18,6 +18,7 @@ from driftlens.llm.quality import score_documents
 from driftlens.llm.secret_scan import scan_documents
 from driftlens.llm.sql import ORACLE_SQL
 from driftlens.llm.vectors import find_near_vectors
+from driftlens.llm.whitening import whiten_embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": find_near_duplicates,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mix_documents,
     "op9_extraction": extract_pages,
     "op10_quality": score_documents,
+    "op12_whitening": whiten_embeddings,
     "op13_exact": find_exact_duplicates,
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -32,7 +32,14 @@ def test_one_row_per_row_of_the_table(spark, name):
     assert found.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
 
+def test_whitening_has_eight_rows_a_vector(spark):
+    found = QUERIES["op12_whitening"](spark, FOLDER)
+    assert found.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert found.schema["deviation"].dataType.typeName() == "long"
+    assert found.count() == 8 * spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+
+
 def test_names():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality", "op13_exact",
+        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality", "op12_whitening", "op13_exact",
     ]
