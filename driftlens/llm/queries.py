@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftlens.llm.alignment import align_documents
 from driftlens.llm.archives import archive_pages
 from driftlens.llm.decontaminate import find_leaks
 from driftlens.llm.exact import find_exact_duplicates
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mix_documents,
     "op9_extraction": extract_pages,
     "op10_quality": score_documents,
+    "op11_alignment": align_documents,
     "op12_whitening": whiten_embeddings,
     "op13_exact": find_exact_duplicates,
 }

@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_mixing": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
     "op9_extraction": ("pages", ["page_id", "url", "text", "n_chars"]),
     "op10_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]),
+    "op11_alignment": ("documents", ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),
     "op13_exact": ("documents", ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]),
 }
 
@@ -41,5 +42,5 @@ def test_whitening_has_eight_rows_a_vector(spark):
 
 def test_names():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality", "op12_whitening", "op13_exact",
+        "op1_neardup", "op2_packing", "op3_pii", "op4_secrets", "op5_archives", "op6_decontaminate", "op7_vectors", "op8_mixing", "op9_extraction", "op10_quality", "op11_alignment", "op12_whitening", "op13_exact",
     ]
