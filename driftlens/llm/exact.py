@@ -56,6 +56,7 @@ class Ledger:
             "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk is set aside for each
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
         }.items():
