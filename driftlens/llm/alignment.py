@@ -19,8 +19,7 @@ table gives no row. Other columns are ignored. Both vocabulary files must lie at
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import Scratch, read, slices
+from driftlens.llm.packing import PIECES
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Windows of more tokens than this are not remembered; so many windows and pairs are, before the memory is emptied.
 LONG, MOST_WINDOWS, MOST_PAIRS = 64, 200_000, 2_000_000
+#: Groups with more links are paired by their distinct ids instead of token by token.
+LARGE_GROUP = 1 << 14
 #: Pairs that are sent to all tasks, at most (17 bytes each).
-HEAVY = 1 << 18
+HEAVY = 1 << 20
 #: A pair as one number: the A id above, the B id below.
 HALF = 32
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -52,24 +54,28 @@ def byte_alphabet() -> dict[str, int]:
 class Tokens:
     """The bytes of each token of a vocabulary, their number, and whether they begin with a space."""
 
-    def __init__(self, tokens: list[bytes], encode):
+    def __init__(self, tokens: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
         self.bytes, self.encode = tokens, encode
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.space = np.array([t[:1] == b" " for t in tokens])
 
 
 def tokens_a(vocabulary: str = VOCABULARY_A) -> Tokens:
-    import os
+    """A byte-level vocabulary whose ids are in the order of its merges, so that the ids are the ranks. Its special tokens
+    are never made: their strings in a text are plain text."""
+    import json
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    tokenizer, alphabet = Tokenizer.from_file(vocabulary), byte_alphabet()
-    tokenizer.encode_special_tokens = True
-    tokens = [b""] * tokenizer.get_vocab_size()
-    for token, number in tokenizer.get_vocab().items():
-        tokens[number] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-    return Tokens(tokens, lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)])
+    with open(vocabulary, encoding="utf-8") as file:
+        content, alphabet = json.load(file), byte_alphabet()
+    special = {t["id"] for t in content["added_tokens"]}
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in content["model"]["vocab"].items() if i not in special}
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, number in ranks.items():
+        tokens[number] = token
+    encoding = tiktoken.Encoding("alignment", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    return Tokens(tokens, lambda texts: [encoding.encode_ordinary(" " + t) for t in texts])
 
 
 def tokens_b(model: str = MODEL_B) -> Tokens:
@@ -81,67 +87,105 @@ def tokens_b(model: str = MODEL_B) -> Tokens:
     return Tokens(tokens, lambda texts: pieces.encode(texts, num_threads=1))
 
 
+class Column:
+    """Whole numbers in one array that grows."""
+
+    def __init__(self, *first: int):
+        self.data, self.size = np.zeros(1 << 12, np.int64), 0
+        self.extend(np.array(first, np.int64))
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), np.int64)])
+        self.data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.data[at]
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, so many as its size."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Windows:
-    """Alignments of windows by their tuples of ids. An alignment has the number of groups and links, a text, and pairs."""
+    """Alignments of windows by their tuples of ids: the number of groups and links, the groups as text, and the pairs."""
 
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
+        comma, bar, semicolon = ([f"{i}{mark}" for i in range(max(len(a.bytes), len(b.bytes)))] for mark in ",|;")
+        self.words, self.base = comma + bar + semicolon, len(comma)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[int] = []
-        self.links: list[int] = []
         self.texts: list[str] = []
-        self.pairs: list[int] = []
-        self.times: list[int] = []
-        self.first: list[int] = [0]
+        self.groups, self.links, self.pairs, self.times, self.first = Column(), Column(), Column(), Column(), Column(0)
 
     def full(self) -> bool:
-        return len(self.groups) > MOST_WINDOWS or len(self.pairs) > MOST_PAIRS
-
-    def add(self, a: list[int], b: list[int]) -> int:
-        """Aligns a window, whose last tokens end together, and returns its number."""
-        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
-        at = np.searchsorted(end_b, end_a)
-        shared = np.flatnonzero(end_b[at] == end_a)
-        pairs: Counter[int] = Counter()
-        parts, links, i, j = [], 0, 0, 0
-        for stop_a, stop_b in zip((shared + 1).tolist(), (at[shared] + 1).tolist()):
-            own_a, own_b = a[i:stop_a], b[j:stop_b]
-            links += len(own_a) * len(own_b)
-            parts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            if len(own_a) == len(own_b) == 1:
-                pairs[own_a[0] << HALF | own_b[0]] += 1
-            else:
-                counts_b = Counter(own_b).items()
-                for x, n in Counter(own_a).items():
-                    for y, m in counts_b:
-                        pairs[x << HALF | y] += n * m
-            i, j = stop_a, stop_b
-        self.groups.append(len(parts))
-        self.links.append(links)
-        self.texts.append(";".join(parts))
-        self.pairs += pairs
-        self.times += pairs.values()
-        self.first.append(len(self.pairs))
-        return len(self.groups) - 1
-
-    def numbers(self, a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-        """The number of each window; bounds are the windows' ends in a and b."""
-        bytes_a, bytes_b, known = a.tobytes(), b.tobytes(), self.known
-        out, i, j = [], 0, 0
-        for stop_a, stop_b in bounds:
-            key = bytes_a[4 * i : 4 * stop_a], bytes_b[4 * j : 4 * stop_b]
-            number = known.get(key)
+        return len(self.texts) > MOST_WINDOWS or self.pairs.size > MOST_PAIRS
+
+    def numbers(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        """The number of each window. Windows end before the tokens `stop_a` and `stop_b`, groups before `end_a` and `end_b`."""
+        bytes_a, bytes_b, known, made = a.tobytes(), b.tobytes(), self.known, len(self.texts)
+        cut_a, cut_b = [0, *(4 * stop_a).tolist()], [0, *(4 * stop_b).tolist()]
+        keys = list(zip([bytes_a[i:j] for i, j in zip(cut_a, cut_a[1:])], [bytes_b[i:j] for i, j in zip(cut_b, cut_b[1:])]))
+        out, new = list(map(known.get, keys)), []
+        for k in [k for k, number in enumerate(out) if number is None]:
+            number = known.get(keys[k])  # the same window may stand earlier in this slice
             if number is None:
-                number = self.add(a[i:stop_a].tolist(), b[j:stop_b].tolist())
-                if stop_a - i + stop_b - j <= LONG:
-                    known[key] = number
-            out.append(number)
-            i, j = stop_a, stop_b
+                number = made + len(new)
+                new.append(k)
+                if len(keys[k][0]) + len(keys[k][1]) <= 4 * LONG:
+                    known[keys[k]] = number
+            out[k] = number
+        if new:
+            self._add(np.array(new), a, b, stop_a, end_a, end_b)
         return np.array(out, np.int64)
 
+    def _add(self, new: np.ndarray, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> None:
+        """Aligns windows that are not known: all at once, group by group."""
+        last = np.searchsorted(end_a, stop_a[new], "right")  # every window's end is a group's end
+        first = np.where(new > 0, np.searchsorted(end_a, stop_a[new - 1], "right"), 0)
+        count = last - first
+        group, window = ranges(first, count), np.repeat(np.arange(len(new)), count)
+        before = np.maximum(group - 1, 0)
+        start_a, start_b = np.where(group > 0, end_a[before], 0), np.where(group > 0, end_b[before], 0)
+        size_a, size_b = end_a[group] - start_a, end_b[group] - start_b
+        size = size_a * size_b
+        self.groups.extend(count)
+        self.links.extend(np.bincount(window, size, len(new)).astype(np.int64))
+
+        # the text: all tokens of a group, those of A first, each with the mark that follows it
+        ids = np.empty(int((size_a + size_b).sum()), np.int64)
+        place = np.cumsum(size_a + size_b) - size_a - size_b
+        ids[ranges(place, size_a)], ids[ranges(place + size_a, size_b)] = a[ranges(start_a, size_a)], b[ranges(start_b, size_b)]
+        ids[place + size_a - 1] += self.base
+        ids[place + size_a + size_b - 1] += 2 * self.base
+        ends = np.cumsum(np.bincount(window, size_a + size_b, len(new)).astype(np.int64)).tolist()
+        words, codes, i = self.words, ids.tolist(), 0
+        for j in ends:
+            self.texts.append("".join([words[c] for c in codes[i:j]]))
+            i = j
+
+        # the pairs: each A token with each B token of its group; large groups by their distinct ids
+        large = size > LARGE_GROUP
+        small = np.where(large, 0, size)
+        inner = ranges(np.zeros(len(group), np.int64), small)
+        width = np.repeat(size_b, small)
+        pairs = a[np.repeat(start_a, small) + inner // width].astype(np.int64) << HALF | b[np.repeat(start_b, small) + inner % width]
+        times, of = np.ones(len(pairs), np.int64), np.repeat(window, small)
+        for g in np.flatnonzero(large).tolist():
+            (x, n), (y, m) = (np.unique(ids[s : s + z], return_counts=True) for ids, s, z in ((a, start_a[g], size_a[g]), (b, start_b[g], size_b[g])))
+            at = np.searchsorted(of, window[g], "right")
+            pairs = np.insert(pairs, at, (x.astype(np.int64)[:, None] << HALF | y).ravel())
+            times = np.insert(times, at, np.multiply.outer(n, m).ravel())
+            of = np.insert(of, at, np.full(len(x) * len(y), window[g]))
+        self.pairs.extend(pairs)
+        self.times.extend(times)
+        self.first.extend(self.first[self.first.size - 1] + np.cumsum(np.bincount(of, minlength=len(new))))
+
 
 def align_texts(texts: list[str | None], a: Tokens, b: Tokens, windows: Windows) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """COUNTS of each text (texts by counts), the digests, and the texts' distinct pairs: text numbers, pairs and occurrences."""
@@ -156,31 +200,30 @@ def align_texts(texts: list[str | None], a: Tokens, b: Tokens, windows: Windows)
             ids_b.append(own_b)
     if not chosen:
         return counts, digests, *(np.zeros(0, np.int64),) * 3
-    last_a, last_b = (np.cumsum([len(i) for i in ids]) for ids in (ids_a, ids_b))
+    size_a, size_b = (np.array([len(i) for i in ids]) for ids in (ids_a, ids_b))
     flat_a, flat_b = (np.array([i for own in ids for i in own], np.int32) for ids in (ids_a, ids_b))
     end_a, end_b = np.cumsum(a.size[flat_a]), np.cumsum(b.size[flat_b])
     at = np.searchsorted(end_b, end_a)
     shared = np.flatnonzero(end_b[at] == end_a)  # the ends of texts are among them, and every text begins with a space
     at = at[shared]
     cut = np.append(a.space[flat_a[shared[:-1] + 1]] & b.space[flat_b[at[:-1] + 1]], True)
-    stop_a, stop_b = shared[cut] + 1, at[cut] + 1
     if windows.full():
         windows.clear()
-    number = windows.numbers(flat_a, flat_b, list(zip(stop_a.tolist(), stop_b.tolist())))
-    bounds = np.concatenate([[0], np.searchsorted(stop_a, last_a, "right")])
-    groups, links, first = (np.array(x, np.int64) for x in (windows.groups, windows.links, windows.first))
-    for n, (k, i, j) in enumerate(zip(chosen, bounds, bounds[1:])):
-        own = number[i:j]
-        counts[k] = len(ids_a[n]), len(ids_b[n]), groups[own].sum(), links[own].sum()
-        digests[k] = hashlib.sha256(";".join([windows.texts[w] for w in own.tolist()]).encode()).hexdigest()
-    size = first[number + 1] - first[number]
-    text = np.repeat(np.repeat(np.array(chosen), np.diff(bounds)), size)
-    place = np.arange(size.sum()) + np.repeat(first[number] - (np.cumsum(size) - size), size)
-    pairs, times = np.array(windows.pairs, np.int64)[place], np.array(windows.times, np.int64)[place]
-    order = np.lexsort((pairs, text))
+    number = windows.numbers(flat_a, flat_b, shared[cut] + 1, at[cut] + 1, shared + 1, at + 1)
+    bounds = np.concatenate([[0], np.searchsorted(shared[cut] + 1, np.cumsum(size_a), "right")])
+    for column, values in enumerate((size_a, size_b, *(np.add.reduceat(x[number], bounds[:-1]) for x in (windows.groups, windows.links)))):
+        counts[chosen, column] = values
+    for k, i, j in zip(chosen, bounds.tolist(), bounds[1:].tolist()):
+        digests[k] = hashlib.sha256("".join([windows.texts[w] for w in number[i:j].tolist()])[:-1].encode()).hexdigest()
+    size = windows.first[number + 1] - windows.first[number]
+    place, text = ranges(windows.first[number], size), np.repeat(np.repeat(np.arange(len(chosen)), np.diff(bounds)), size)
+    pairs, times = windows.pairs[place], windows.times[place]
+    # one number for text and pair sorts faster than two columns
+    short = (pairs >> HALF) * len(b.bytes) + (pairs & ((1 << HALF) - 1))
+    order = np.argsort(text * (len(a.bytes) * len(b.bytes)) + short)
     text, pairs, times = text[order], pairs[order], times[order]
-    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pairs[1:] != pairs[:-1])])) if len(text) else np.zeros(0, np.int64)
-    return counts, digests, text[new], pairs[new], np.add.reduceat(times, new) if len(new) else times
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pairs[1:] != pairs[:-1])]))
+    return counts, digests, np.array(chosen)[text[new]], pairs[new], np.add.reduceat(times, new)
 
 
 def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:

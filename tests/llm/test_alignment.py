@@ -65,8 +65,9 @@ def rows_of(frame):
     return sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in frame.collect()), key=repr)
 
 
-@pytest.mark.parametrize("heavy", [alignment.HEAVY, 40, 1])
-def test_equals_brute_force(spark, documents, heavy):
+@pytest.mark.parametrize("heavy,large", [(alignment.HEAVY, alignment.LARGE_GROUP), (40, 1), (1, 6)])
+def test_equals_brute_force(spark, documents, monkeypatch, heavy, large):
+    monkeypatch.setattr(alignment, "LARGE_GROUP", large)
     rng = random.Random(2)
     words = [w for t in TEXTS if t and len(t) < 200 for w in t.split()]
     texts = TEXTS + [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(60)] + ["word word"] * 30
@@ -88,5 +89,12 @@ def test_memory_of_windows_may_be_small():
         assert (counts[0] == whole[0][k]).all() and digests[0] == whole[1][k] and (pairs == whole[3][whole[2] == k]).all()
 
 
+def test_very_long_runs():
+    a, b = alignment.tokens_a(), alignment.tokens_b()
+    texts = [" " * 1_200_000, "ab" * 100_000, "\n" * 300_000 + "end"]
+    counts = alignment.align_texts(texts, a, b, alignment.Windows(a, b))[0]
+    assert (counts > 0).all()
+
+
 def test_empty_table(spark, documents):
     assert alignment_report(documents([(1, "x")]).where("false")).count() == 0
