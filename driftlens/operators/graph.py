@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.schema import rank_label, severity_rank
@@ -12,22 +12,67 @@ from driftlens.session import cut_lineage
 MERGE_EVERY = 12
 
 
+def _blocking_names(keyed: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which names a path may still meet again below a key: (run, key, live), and (run, name) of those that may meet another first.
+
+    A name blocks only where one key of it lies below another. The walk down from the keys of repeated names finds such
+    pairs; the walk up from the lower ones, within what the first walk saw, finds the keys in between. Both carry
+    distinct (name, key) rows. Few names nest in themselves, so the second walk is short.
+    """
+    repeated = keyed.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").select("run_id", "name")
+    steps = cut_lineage(edges.select("run_id", F.col("parent_key").alias("key"), F.col("child_key").alias("next")).distinct())
+    below = _reach(keyed.join(repeated, ["run_id", "name"]).select("run_id", F.col("name").alias("tag"), "key"), steps)
+    named = keyed.select("run_id", F.col("key").alias("next"), F.col("name").alias("tag"))
+    met = cut_lineage(below.join(steps, ["run_id", "key"]).join(named, ["run_id", "next", "tag"]))
+    upward = steps.select("run_id", F.col("next").alias("key"), F.col("key").alias("next"))
+    above = _reach(met.select("run_id", "tag", "key"), upward, within=below)
+    live = cut_lineage(above.groupBy("run_id", "key").agg(F.array_sort(F.collect_set("tag")).alias("live")))
+    lower = met.select("run_id", F.col("next").alias("key"), F.col("tag").alias("name")).distinct()
+    several = lower.join(live, ["run_id", "key"]).filter(F.size(F.array_remove("live", F.col("name"))) > 0).select("run_id", "name").distinct()
+    return live, several
+
+
+def _enough(rows: Column, live: Column, several: Column, max_paths: int) -> Column:
+    """Of the paths to one key, in queue order, those that can still be among the first ``max_paths`` somewhere below.
+
+    A path is out if ``max_paths`` kept ones before it hold no name that it does not hold: they go wherever it goes. If no
+    way on meets more than one of the live names, it is also out once each name it could pass has ``max_paths`` kept
+    paths that can pass it too; then a key keeps at most ``max_paths`` paths a live name.
+    """
+
+    def step(kept: Column, path: Column) -> Column:
+        wider = F.size(F.filter(kept, lambda k: F.size(F.array_except(k["held"], path["held"])) == 0)) >= max_paths
+        single = ~several & (F.size(kept) >= max_paths) & F.forall(
+            F.array_except(live, path["held"]), lambda name: F.size(F.filter(kept, lambda k: ~F.array_contains(k["held"], name))) >= max_paths
+        )
+        return F.when(wider | single, kept).otherwise(F.concat(kept, F.array(path)))
+
+    return F.aggregate(rows, F.filter(rows, lambda _: F.lit(False)), step)
+
+
 def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) -> DataFrame:
     """Up to ``max_paths`` shortest name paths from the root to every node of each run.
 
-    Level-synchronous search until no node is left; a graph may have any depth. A path never holds a name twice. Only
-    names of two or more keys can be met again (a key is visited on one level only), so a path carries the set of those it
-    holds, and paths are cut to the first ``max_paths`` in queue order among paths to the same key with the same set: what
-    follows may block one set and not another. The answer is cut once more, per key. Both cuts are top-k windows, which
-    Spark trims per partition before the shuffle, so a node that a third of all packages depend on never gathers its
-    parents in one task.
+    Level-synchronous search until no node is left; a graph may have any depth. A path never holds a name twice. A key is
+    visited on one level only, so of the names on a path only those matter that can be met again below its end: the path
+    carries that set, and of the paths to a key only those stay that can still be among the first somewhere below. Where
+    no name can be met again, which is the rule, that is a top-k window, which Spark trims per partition before the
+    shuffle, so a node that a third of all packages depend on never gathers its parents in one task. The others are cut to
+    ``max_paths`` a set first and then compared set by set. To find paths without a repeated name is hard in general: only
+    where several live names can be met on one way may a key keep more than ``max_paths`` paths a live name.
     """
-    keyed = nodes.filter(F.col("key") != "").select("run_id", F.col("key").alias("child_key"), "name")
-    repeated = keyed.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").select("run_id", "name", F.lit(True).alias("repeats"))
+    keyed = cut_lineage(nodes.filter(F.col("key") != "").select("run_id", "key", "name"))
+    live, several = _blocking_names(keyed, edges)
+    wide = (
+        live.select("run_id", "key", F.explode("live").alias("name")).join(several, ["run_id", "name"])
+        .select("run_id", "key", F.lit(True).alias("several")).distinct()
+    )
     links = cut_lineage(
-        edges.join(keyed.join(repeated, ["run_id", "name"], "left"), ["run_id", "child_key"]).select(
-            "run_id", "parent_key", F.col("child_key").alias("key"), "name", "ord", F.coalesce("repeats", F.lit(False)).alias("repeats")
-        )
+        edges.select("run_id", "parent_key", F.col("child_key").alias("key"), "ord")
+        .join(keyed, ["run_id", "key"])
+        .join(live, ["run_id", "key"], "left")
+        .join(wide, ["run_id", "key"], "left")
+        .select("run_id", "parent_key", "key", "name", "ord", F.coalesce("live", F.array().cast("array<string>")).alias("live"), F.coalesce("several", F.lit(False)).alias("several"))
     )
     roots = nodes.filter(F.col("key") == "").select("run_id", F.col("name").alias("root_name")).distinct()
     frontier = links.filter(F.col("parent_key") == "").select("run_id").distinct().join(
@@ -39,28 +84,36 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
         F.array().cast("array<bigint>").alias("trail"),
         F.array().cast("array<string>").alias("held"),
     )
+    blocks = not live.isEmpty()
     levels, depth = [], 0
     visited = frontier.select("run_id", "key")
     alike = Window.partitionBy("run_id", "key", "held").orderBy("trail")
     first = Window.partitionBy("run_id", "key").orderBy("trail")
+    columns = "run_id", "key", "path", "trail", "held"
     while True:
         depth += 1
         step = (
             frontier.withColumnRenamed("key", "parent_key")
             .join(links, ["run_id", "parent_key"])
-            .filter(~(F.col("repeats") & F.array_contains("held", F.col("name"))))
+            .filter(~F.array_contains("held", F.col("name")))
             .select(
                 "run_id", "key",
                 F.concat("path", F.array("name")).alias("path"),
                 F.concat("trail", F.array("ord")).alias("trail"),
-                F.when(F.col("repeats"), F.array_sort(F.concat("held", F.array("name")))).otherwise(F.col("held")).alias("held"),
+                F.array_sort(F.array_intersect(F.concat("held", F.array("name")), F.col("live"))).alias("held"),
+                "live", "several",
             )
             .join(visited, ["run_id", "key"], "left_anti")
             .withColumn("rank", F.row_number().over(alike))
             .filter(F.col("rank") <= max_paths)
-            .drop("rank")
         )
-        frontier = cut_lineage(step)
+        if blocks:
+            among = step.filter(F.size("live") > 0).groupBy("run_id", "key").agg(
+                F.array_sort(F.collect_list(F.struct("trail", "path", "held"))).alias("rows"), F.first("live").alias("live"), F.first("several").alias("several")
+            )
+            chosen = among.select("run_id", "key", F.explode(_enough(F.col("rows"), F.col("live"), F.col("several"), max_paths)).alias("p"))
+            step = step.filter(F.size("live") == 0).select(*columns).unionByName(chosen.select("run_id", "key", "p.path", "p.trail", "p.held"))
+        frontier = cut_lineage(step.select(*columns))
         if frontier.isEmpty():
             break
         levels.append(frontier.select("run_id", "key", "path", "trail", F.lit(depth).alias("depth")))
@@ -75,20 +128,20 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
     return result.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_paths)
 
 
-def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+def _reach(seeds: DataFrame, steps: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(run, tag, key) for every key that the seeds (run, tag, key) reach over the steps (run, key, next), themselves included.
 
+    ``within`` names the (run, tag, key) that may be entered.
+
     The loop carries only new pairs and ends when a round adds none, which happens on any graph, cycles included.
     """
     frontier = cut_lineage(seeds.distinct())
     known, rounds = frontier, 0
     while not frontier.isEmpty():
-        frontier = cut_lineage(
-            frontier.join(steps, ["run_id", "key"])
-            .select("run_id", "tag", F.col("next").alias("key"))
-            .distinct()
-            .join(known, ["run_id", "tag", "key"], "left_anti")
-        )
+        entered = frontier.join(steps, ["run_id", "key"]).select("run_id", "tag", F.col("next").alias("key")).distinct()
+        if within is not None:
+            entered = entered.join(within, ["run_id", "tag", "key"], "left_semi")
+        frontier = cut_lineage(entered.join(known, ["run_id", "tag", "key"], "left_anti"))
         known, rounds = known.unionByName(frontier), rounds + 1
         if rounds % MERGE_EVERY == 0:
             known = cut_lineage(known)

@@ -590,6 +590,16 @@ ranked2 AS (SELECT 'p' || p AS key, path, row_number() OVER (PARTITION BY p ORDE
 SELECT key, path, place::BIGINT AS place FROM ranked WHERE place <= 3 UNION ALL SELECT key, path, place FROM ranked2 WHERE place <= 3
 UNION ALL SELECT 'r' || r_regionkey, '(root)>r' || r_regionkey, 1 FROM region UNION ALL SELECT 'n' || n, path, 1 FROM nat UNION ALL SELECT 's' || s, path, 1 FROM sup
 UNION ALL SELECT 'c' || c, path, 1 FROM cus UNION ALL SELECT 'o' || o, path, 1 FROM ord"""
+# the place is a binary number over the layers that are free, the last layer its lowest digit
+ORACLE["diamond_paths"] = """WITH t AS (SELECT p_partkey AS k, (p_partkey - 1) // 40 AS d, (p_partkey - 1) % 40 // 2 AS layer, (p_partkey - 1) % 2 AS c FROM part),
+ends AS (SELECT d FROM t WHERE layer = 19 GROUP BY d),
+targets AS (
+  SELECT d, 'p' || k AS key, layer AS n, -1 AS around, 0 AS bit, '>p' || k AS tail FROM t
+  UNION ALL SELECT d, 'x' || d, 20, -1, 0, '>x' || d FROM ends
+  UNION ALL SELECT d, 'x' || d || '/p' || k, 20, layer, 1 - c, '>x' || d || '>p' || k FROM t SEMI JOIN ends USING (d)),
+places AS (SELECT *, unnest(range(0, least(3, CAST(power(2, n - (around >= 0)::INT) AS INT)))) AS place FROM targets)
+SELECT CAST(d AS VARCHAR) AS run_id, key, place + 1 AS place, 'app' || array_to_string(list_transform(range(0, n), lambda l: '>p' || (d * 40 + 2 * l + 1 +
+  CASE WHEN l = around THEN bit ELSE (place // CAST(power(2, n - 1 - l - (around > l)::INT) AS INT)) % 2 END)), '') || tail AS path FROM places"""
 CLOSURE = PATHS + """,
 closure AS (SELECT DISTINCT * FROM (SELECT 'r' || r_regionkey AS direct, 'r' || r_regionkey AS name FROM region UNION ALL SELECT r, 'n' || n FROM nat
   UNION ALL SELECT r, 's' || s FROM sup UNION ALL SELECT r, 'c' || c FROM cus UNION ALL SELECT r, 'o' || o FROM ord

@@ -598,6 +598,13 @@ def provenance_paths(spark, folder):
     return found.select("key", F.array_join("path", ">").alias("path"), F.col("place").cast("long").alias("place"))
 
 
+@query
+def diamond_paths(spark, folder):
+    nodes, edges = T.diamonds(spark, folder)
+    found = G.provenance_paths(nodes, edges)
+    return found.select("run_id", "key", F.array_join("path", ">").alias("path"), F.col("place").cast("long").alias("place"))
+
+
 @query
 def subtree_closure(spark, folder):
     nodes, edges = T.graph(spark, folder)

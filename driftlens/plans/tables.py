@@ -440,6 +440,37 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return keys.select(F.lit("g").alias("run_id"), "key", F.col("key").alias("name")), edges
 
 
+def diamonds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """part as graphs of twenty layers of two packages; all packages of a layer need all of the next.
+
+    Below the last layer stands one package that needs a second instance of every package above it, so every name can
+    block, and the ways to an instance are those around its own name.
+    """
+    k = F.col("p_partkey") - 1
+    run, place = F.floor(k / 40), k % 40
+    part = load(spark, folder, "part").select(
+        text(run).alias("run_id"), (run * 40).alias("base"), F.floor(place / 2).alias("layer"), (place % 2).alias("ord"),
+        F.concat(F.lit("p"), text("p_partkey")).alias("name"), F.concat(F.lit("x"), text(run)).alias("end"),
+    )
+    runs = part.select("run_id", "end").distinct()
+    lower = F.concat_ws("/", "end", "name")
+    nodes = (
+        part.select("run_id", F.col("name").alias("key"), "name")
+        .unionByName(part.select("run_id", lower.alias("key"), "name"))
+        .unionByName(runs.select("run_id", F.col("end").alias("key"), F.col("end").alias("name")))
+        .unionByName(runs.select("run_id", F.lit("").alias("key"), F.lit("app").alias("name")))
+    )
+    following = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda c: F.struct(F.concat(F.lit("p"), text(F.col("base") + (F.col("layer") + 1) * 2 + c + 1)).alias("child_key"), c.cast("long").alias("ord")))
+    edges = (
+        part.filter("layer < 19").select("run_id", F.col("name").alias("parent_key"), F.explode(following).alias("c"))
+        .select("run_id", "parent_key", "c.child_key", "c.ord")
+        .unionByName(part.filter("layer = 0").select("run_id", F.lit("").alias("parent_key"), F.col("name").alias("child_key"), "ord"))
+        .unionByName(part.filter("layer = 19").select("run_id", F.col("name").alias("parent_key"), F.col("end").alias("child_key"), F.lit(0).cast("long").alias("ord")))
+        .unionByName(part.select("run_id", F.col("end").alias("parent_key"), lower.alias("child_key"), (F.col("layer") * 2 + F.col("ord")).alias("ord")))
+    )
+    return nodes, edges
+
+
 def instances(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Root, customers, orders and lines of orders; each level's names repeat, so a name has many instances."""
     customer, orders, item = (load(spark, folder, t) for t in ("customer", "orders", "lineitem"))

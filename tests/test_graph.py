@@ -70,6 +70,75 @@ def test_paths_match_a_queue_search(spark):
                 assert found.get((run, key), []) == shortest(names, children, key), (run, key)
 
 
+def nested(seed, size=26, kinds=9):
+    """Few names for many keys, edges mostly onward: names nest in themselves, several on one way."""
+    rng = random.Random(seed)
+    names = {"": "app"} | {f"k{i}": f"n{rng.randrange(kinds)}" for i in range(size)}
+    keys = list(names)
+    children = {k: rng.sample(keys[1:], 2) if rng.random() < 0.15 else [c for c in keys[i + 1 : i + 6] if rng.random() < 0.6] for i, k in enumerate(keys)}
+    return names, children
+
+
+def test_paths_where_names_nest(spark):
+    graphs = {f"g{i}": nested(i) for i in range(24)}
+    nodes, edges = frames(spark, graphs)
+    for most in (1, 3):
+        found = {}
+        for r in sorted(G.provenance_paths(nodes, edges, most).collect(), key=lambda r: r.place):
+            found.setdefault((r.run_id, r.key), []).append(list(r.path))
+        for run, (names, children) in graphs.items():
+            for key in names:
+                if key:
+                    assert found.get((run, key), []) == shortest(names, children, key, most), (run, key)
+
+
+def layered(layers, deeper=False):
+    """Layers of two packages, and below the last a second instance of each; `deeper` lets those need each other's names."""
+    names, children = {"": "app", "x": "x"}, {"": ["a0", "b0"], "x": []}
+    for i in range(layers):
+        for c in "ab":
+            names |= {f"{c}{i}": f"{c}{i}", f"x{c}{i}": f"{c}{i}"}
+            children[f"{c}{i}"] = [f"a{i + 1}", f"b{i + 1}"] if i + 1 < layers else ["x"]
+            children["x"].append(f"x{c}{i}")
+            children[f"x{c}{i}"] = []
+    if deeper:
+        for i in range(layers - 1):
+            names[f"y{i}"] = f"a{i + 1}"
+            children[f"xa{i}"], children[f"y{i}"] = [f"y{i}"], []
+    return names, children
+
+
+def test_layers_of_repeated_names(spark):
+    small = {"plain": layered(6), "deeper": layered(6, deeper=True)}
+    nodes, edges = frames(spark, small)
+    found = {}
+    for r in sorted(G.provenance_paths(nodes, edges).collect(), key=lambda r: r.place):
+        found.setdefault((r.run_id, r.key), []).append(list(r.path))
+    for run, (names, children) in small.items():
+        for key in names:
+            if key:
+                assert found.get((run, key), []) == shortest(names, children, key), (run, key)
+
+
+def test_twenty_layers_keep_few_paths(spark, monkeypatch):
+    """At most three paths a name that can still block, where there are two to the power of twenty paths."""
+    kept = []
+
+    def cut(df):
+        out = original(df)
+        if "held" in df.columns:
+            kept.append(out.groupBy("run_id", "key").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    original = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    nodes, edges = frames(spark, {"g": layered(20)})
+    found = {(r.key, r.place): list(r.path) for r in G.provenance_paths(nodes.coalesce(1), edges.coalesce(1)).collect()}
+    assert max(kept) <= 3 * 41 and len(kept) == 23
+    assert found["xa7", 1] == ["app", *(f"{'b' if i == 7 else 'a'}{i}" for i in range(20)), "x", "a7"]
+    assert found["xb19", 3] == ["app", *(f"{'b' if i == 17 else 'a'}{i}" for i in range(20)), "x", "b19"] and ("xb19", 4) not in found
+
+
 def test_closure_and_rollup(spark):
     graphs = {f"g{i}": build(i + 10) for i in range(4)}
     nodes, edges = frames(spark, graphs)
