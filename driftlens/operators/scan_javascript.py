@@ -1,8 +1,8 @@
 """Capability facts from JavaScript and TypeScript text.
 
-The text is cut into strings, templates, comments and code by one pattern. Strings are written into the
-code as «hex», so words inside strings and comments never match as code and string arguments stay
-readable to patterns. Constant folding rewrites that text in a pandas UDF; everything else is Spark
+A stack machine finds pattern literals and the first syntax error, after which nothing counts as code. The rest is cut
+into strings, templates, comments and code by one pattern. Strings are written into the code as «hex», so words inside
+strings and comments never match as code and string arguments stay readable to patterns. Constant folding rewrites that text in a pandas UDF; everything else is Spark
 string functions. There is no syntax tree: what needs one is listed in the README.
 """
 
@@ -16,10 +16,10 @@ from driftlens.functions import text as X
 from driftlens.functions.decode import decode_js_url
 from driftlens.functions.folding import fold
 from driftlens.operators.scan_python import FACT, FILE, _all, _each, _fact, _some, exploded, line_pairs, protect, reveal, settle_literals
+from driftlens.operators.syntax_javascript import parse_error, parsed, without_patterns
 
 TOKENS = (
     r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\n]*\"?|'[^'\n]*'?|`[^`]*`?"
-    r"|(?<=[=(,:\[!&|?{};\n]\s{0,64})/(?![*/])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*"
     r"|[^/\"'`]+|/)"
 )
 LIT = r"[«‹]([0-9A-F]*)[»›]"
@@ -60,18 +60,23 @@ def _token_code(token: Column) -> Column:
         F.when(comment, _newlines(token))
         .when(token.startswith("`"), F.concat(template, _newlines(inner)))
         .when(token.rlike("^[\"']"), _literal(inner))
-        .when(token.startswith("/") & (F.length(token) > 1), F.lit("/./"))  # a pattern literal holds no code
         .otherwise(token)
     )
 
 
 def tokenised(files: DataFrame) -> DataFrame:
-    """Adds ``written`` (tokenised code), ``code`` (the same, folded) and ``comments``."""
-    tokens = F.regexp_extract_all(protect(F.col("text")), F.lit(TOKENS), F.lit(1))
+    """Adds ``written`` (tokenised code up to an error), ``code`` (the same, folded), ``comments`` and ``parse_error``.
+
+    The text of JSX files is not judged and not cut.
+    """
+    run = parsed(files.select(*FILE, "text"))
+    run = run.withColumn("error_at", F.when(F.lower("path").rlike(r"\.[jt]sx\z"), None).otherwise(F.col("error_at")))
+    run = run.withColumns({"error": F.when(F.col("error_at").isNotNull(), F.col("error")), "sound": without_patterns("/./")})
+    tokens = F.regexp_extract_all(protect(F.col("sound")), F.lit(TOKENS), F.lit(1))
     return (
-        files.select(*FILE, "text", tokens.alias("tokens"))
+        run.select(*FILE, "text", tokens.alias("tokens"), parse_error().alias("parse_error"))
         .select(
-            *FILE, "text", F.array_join(F.transform("tokens", _token_code), "").alias("written"),
+            *FILE, "text", "parse_error", F.array_join(F.transform("tokens", _token_code), "").alias("written"),
             F.array_join(F.filter("tokens", lambda t: t.startswith("//") | t.startswith("/*")), "\n").alias("comments"),
         )
         .withColumn("code", fold("written"))
@@ -251,6 +256,12 @@ def literal_candidates(code: Column) -> Column:
     return F.flatten(F.transform(F.split(code, "\n"), of_line))
 
 
+def _broken(error: Column) -> Column:
+    """The fact that a file is not well formed, at the line of its first error."""
+    line = F.regexp_extract(error, r"\((\d+):", 1).cast("int")
+    return _some(error.isNotNull(), _fact("parse_error", error, line, error))
+
+
 def javascript_facts(files: DataFrame) -> DataFrame:
     """One pass over the files: tokens, folding, one array of facts per row, one explode."""
     code, path = F.col("code"), F.col("path")
@@ -272,7 +283,7 @@ def javascript_facts(files: DataFrame) -> DataFrame:
     )
     facts = F.concat(
         whole_file_facts(code, F.col("written"), F.col("modules"), F.col("literals"), F.col("operations")), F.flatten(per_line),
-        url_facts({name: F.col(f"`{name}`") for name in urls}), literal_candidates(code),
+        url_facts({name: F.col(f"`{name}`") for name in urls}), literal_candidates(code), _broken(F.col("parse_error")),
     )
     rows = exploded(prepared, facts)
     hit = F.col("hit")

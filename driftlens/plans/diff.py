@@ -94,15 +94,18 @@ def analyse(archives: DataFrame) -> Snapshots:
         *KEY, "path", "bytes", "sha256", F.col("native").alias("kind"), "wasm_imports", "wasm_error", F.col("ord").cast("long").alias("ord")
     )
     facts = cut_lineage(source_facts.unionByName(artifact_facts(artifacts)))
-    opaque = facts.filter("cap = 'suspicious_literal'").groupBy(*KEY, "path").agg(F.count(F.lit(1)).cast("int").alias("suspicious"))
+    cap = F.col("cap")
+    per_file = facts.filter(cap.isin("suspicious_literal", "parse_error")).groupBy(*KEY, "path").agg(
+        F.count_if(cap == "suspicious_literal").cast("int").alias("suspicious"), F.max(F.when(cap == "parse_error", F.col("key"))).alias("parse_error")
+    )
     files = source.select(
-        *KEY, "path", "bytes", "sha256", F.lit(None).cast("string").alias("parse_error"), X.byte_entropy(F.col("text")).alias("entropy"),
+        *KEY, "path", "bytes", "sha256", X.byte_entropy(F.col("text")).alias("entropy"),
         ((F.col("route") == "javascript") & X.minified(F.col("text"))).alias("minified"), "ord",
-    ).join(opaque, [*KEY, "path"], "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(0)))
+    ).join(per_file, [*KEY, "path"], "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(0)))
     return Snapshots(
         known=known,
         failures=failures,
-        facts=facts,
+        facts=facts.filter(cap != "parse_error"),
         files=files,
         artifacts=artifacts,
         scripts=S.scripts(manifests).unionByName(setup_hooks(python)),

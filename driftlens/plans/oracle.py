@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from driftlens.functions import fixed_values as V
 from driftlens.plans import tables as T
+from driftlens.plans.oracle_scripts import SCRIPT_ERRORS
 
 ORACLE: dict[str, str] = {}
 
@@ -774,3 +775,6 @@ j AS (SELECT *, {RANK} AS rank, CAST(json_object('category', category, 'confiden
   'evidence', json_array(json_object('file', file, 'line', evidence_line, 'snippet', snippet)), 'from', from_ver, 'message', message, 'mitre', json_array(),
   'package', package, 'provenance', json_array(), 'severity', severity, 'to', to_ver) AS VARCHAR) AS text FROM findings)
 SELECT change_id, sha256('[' || string_agg(text, ',' ORDER BY rank, package, detector, file, evidence_line, text) || ']') AS findings_hash FROM j GROUP BY change_id"""
+
+
+ORACLE["javascript_errors"] = SCRIPT_ERRORS

@@ -24,6 +24,7 @@ from driftlens.operators import obfuscation as O
 from driftlens.operators import policy as P
 from driftlens.operators.scan_javascript import javascript_facts
 from driftlens.operators.scan_python import python_facts
+from driftlens.operators.syntax_javascript import parse_errors
 from driftlens.plans import tables as T
 from driftlens.sinks import reports as R
 from driftlens.sources import archives as Z
@@ -165,6 +166,12 @@ def scan_javascript(spark, folder):
     return found.select("path", "cap", "key", "line", "context")
 
 
+@query
+def javascript_errors(spark, folder):
+    """documents and pages taken as scripts: the first error of each, with its place."""
+    return parse_errors(T.scripts_of_texts(spark, folder)).select("name", "path", "parse_error")
+
+
 @query
 def scan_python(spark, folder):
     found = python_facts(T.source_files(spark, folder, T.PY_TEMPLATE, T.PY_MODULES, ".py"))

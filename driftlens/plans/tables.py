@@ -554,6 +554,15 @@ def source_files(spark: SparkSession, folder: str, template: str, modules: list[
     )
 
 
+def scripts_of_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """documents and pages, whole, as one script per row."""
+    file = lambda table, key, body: load(spark, folder, table).select(
+        F.lit(table).alias("name"), F.lit("1").alias("version"), F.concat(F.lit("f"), text(key), F.lit(".js")).alias("path"),
+        F.col(body).alias("text"), F.col(key).alias("ord"),
+    )
+    return file("documents", "doc_id", "text").unionByName(file("pages", "page_id", "html"))
+
+
 MANIFEST_TEMPLATE = (
     '{"name":"p{a}","version":"1.{b}.0","main":"./lib/{a}.js","exports":{".":{"import":"./esm/{b}.mjs"}},"bin":{"x":"bin/{b}.js"},'
     '"scripts":{"postinstall":"node {b}.js"},"dependencies":{"d{b}":"^1.{b}"},"peerDependencies":{"q":"http://h{b}.example/q.tgz"},'

@@ -71,6 +71,14 @@ def test_javascript_lines_and_call_sites(spark):
     assert javascript_facts(frame).filter("kind = 'eval'").count() == 2
 
 
+def test_facts_before_a_syntax_error_stay(spark):
+    found = facts(spark, javascript_facts, "require('net');\nx = 'it\nrequire('http'); eval(y)", "a.js")
+    assert found == {("net_module", "net", 1), ("parse_error", "Unterminated string constant. (2:4)", 2)}
+    assert ("net_module", "http", 1) in facts(spark, javascript_facts, "require('http'); let a = <p>it's</p>;", "a.jsx")
+    blanks = " " * 100
+    assert facts(spark, javascript_facts, f"f({blanks}/['\"]/); require('net')", "a.js") == {("net_module", "net", 1)}
+
+
 def test_javascript_url_contexts(spark):
     body = 'fetch("https://a.example/1"); const c = {url: "https://b.example/2", z: "https://c.example/3"}; // https://d.example/4\nconst j = "https://" + "e.example/5";'
     frame = spark.createDataFrame([("p", "1", "a.js", body, 0)], FILES)
