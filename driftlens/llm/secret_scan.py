@@ -2,18 +2,21 @@
 
 Base spans come from three fixed patterns. The lexer then reads source and configuration syntax: it finds names followed
 by an assignment sign, parses the value as an expression of quoted literals, names, `+` and adjacent literals (or as a bare
-value where a line holds nothing else), and keeps the values of names as constants. A literal, or the literals that a name
-stands for, is reported if the name that finally receives it is a sensitive one and the joined value looks like a secret
-(length, mixture of signs, no placeholder). Literals are reported as kind `assign`, from name to end of value.
+value where a line holds nothing else), and keeps the values of names as references to their parts. If a sensitive name
+receives a value that looks like a secret as a whole (length, mixture of signs, no placeholder in any part), every
+assignment is reported whose literal the value holds, over any number of names between. Literals are reported as kind
+`assign`, from name to end of value.
 
 Defined results: null and empty texts have no spans. Offsets are code points, ends exclusive. A span of the method that
 overlaps a base span of its kind is not repeated. Equal names: the assignment that precedes the use counts. Rows that
 repeat an id are scanned one by one; other columns are ignored. Very long texts are scanned whole; all patterns are
-linear in the text.
+linear in the text, a value takes memory for its parts and distinct characters only, and spans are merged in order. An
+empty table gives no row.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -36,14 +39,16 @@ RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 SENSITIVE = {"password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "secretkey", "authkey"}
 BEFORE_KEY = {"api", "access", "secret", "private", "auth", "signing", "encryption", "client", "master"}
 STEM = re.compile(r"(?ai:pass|pwd|secret|token|key|credential)")
-PLACEHOLDER = re.compile(r"(?ai:change.?me|example|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined)|^(.)\1*$|^[<{$%]")
-NAME_TAIL = re.compile(r"[\w.\[\]-]{0,64}[\"']?\]?[\x20\t]*(?:=>|:=|=(?!=)|:(?!:))[\x20\t]*", re.A)
-NAME_HEAD = re.compile(r"[\w.\"'\[-]{0,64}$", re.A)
+PLACEHOLDER = re.compile(r"(?ai:change.?me|example|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined)")
 QUOTED = re.compile(r"""\"((?:[^"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*", re.A)
 JOINER = re.compile(r"[\x20\t]*(?:\+|\.\.|&)?[\x20\t]*(?:\\?\n[\x20\t]*)?", re.A)
 BARE = re.compile(r"[^\s#;,\"']+[\x20\t]*$", re.A | re.M)
-ANY_ASSIGNMENT = re.compile(r"(?<![\w$.-])([A-Za-z_$][\w$.-]{0,63})[\"']?[\x20\t]*(?:=>|:=|=(?!=)|:(?!:))[\x20\t]*(?=[\"'`A-Za-z_$])", re.A)
+#: A name, whatever its length, with a sign of assignment. The look-behind keeps a name from being tried at each of its letters.
+TARGET = re.compile(r"(?<![\w$.-])[.-]*+([\w$][\w$.-]*+)[\"']?\]?[\"']?[\x20\t]*+(?:=>|:=|=(?!=)|:(?!:))[\x20\t]*+", re.A)
+LINE_HEAD = re.compile(r"[\x20\t]*+(?:(?:export|set|const|let|var)\b)?[\x20\t]*+[\"'.-]*+", re.A)
+#: From this score on a value is taken for a secret.
+LEAST_SCORE = 2.5
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,89 +67,111 @@ def is_sensitive(name: str) -> bool:
     return any(p in SENSITIVE for p in parts) or any(a in BEFORE_KEY and b == "key" for a, b in zip(parts, parts[1:]))
 
 
-def literal_score(value: str) -> float:
-    """How much a value looks like a secret: bits per character, more for digits beside letters; 0 for placeholders."""
-    if len(value) < 6 or PLACEHOLDER.search(value) or re.search(r"\s", value):
-        return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return bits + 0.5 * (kinds - 1)
+class Value:
+    """What a name stands for: literals and other values in order, as references, with what a score needs of the whole.
 
+    Nothing is joined, so `a = a + a` doubles a number and not a text. A value knows the span of its own assignment, and
+    through its parts all assignments whose literals it holds.
+    """
 
-def _expression(text: str, at: int, constants: dict[str, tuple[str, int, int]]) -> tuple[str, int, int, bool] | None:
-    """Value, start and end of the expression at a place, and whether names took part; None where it is no constant."""
-    value, start, end, named = "", at, at, False
+    def __init__(self, start: int):
+        self.start, self.end = start, start
+        self.parts: list[Value] = []
+        self.literal = self.blank = self.placeholder = False
+        self.length, self.first = 0, ""
+        self.counts: Counter[str] = Counter()
+
+    def add_literal(self, text: str, end: int) -> None:
+        self.literal, self.end = True, end
+        self._add(len(text), text[:1], Counter(text), bool(re.search(r"\s", text)), bool(PLACEHOLDER.search(text)))
+
+    def add_value(self, value: Value, end: int) -> None:
+        self.parts.append(value)
+        self.end = end
+        self._add(value.length, value.first, value.counts, value.blank, value.placeholder)
+
+    def _add(self, length: int, first: str, counts: Counter[str], blank: bool, placeholder: bool) -> None:
+        self.first = self.first or first
+        self.length += length
+        self.counts.update(counts)
+        self.blank |= blank
+        self.placeholder |= placeholder
+
+    def score(self) -> float:
+        """How much the value looks like a secret: bits per character, more for mixed kinds of signs; 0 for placeholders."""
+        if self.length < 6 or self.placeholder or self.blank or len(self.counts) == 1 or self.first in "<{$%":
+            return 0.0
+        bits = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        kinds = sum(any(re.match(p, c) for c in self.counts) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return bits + 0.5 * (kinds - 1)
+
+
+def literal_score(text: str) -> float:
+    value = Value(0)
+    value.add_literal(text, len(text))
+    return value.score()
+
+
+def _expression(text: str, start: int, at: int, constants: dict[str, Value]) -> Value | None:
+    """The value at a place, for an assignment that begins at `start`; None where it is no constant."""
+    value = Value(start)
     while True:
         if quoted := QUOTED.match(text, at):
-            value += next(g for g in quoted.groups() if g is not None)
-            at = end = quoted.end()
+            value.add_literal(next(g for g in quoted.groups() if g is not None), quoted.end() - 1)
+            at = quoted.end()
+            adjacent = True
         elif name := IDENTIFIER.match(text, at):
             if name[0] not in constants or text[name.end() : name.end() + 1] == "(":
                 return None
-            value, named = value + constants[name[0]][0], True
-            at = end = name.end()
+            value.add_value(constants[name[0]], name.end())
+            at, adjacent = name.end(), False
         else:
             return None
         joined = JOINER.match(text, at)
-        following = joined.end()
-        if "+" not in joined[0] and ".." not in joined[0] and "&" not in joined[0]:
-            if not (QUOTED.match(text, following) and "\n" not in joined[0] and following > at and text[end - 1] in "\"'"):
-                return value, start, end, named
-        at = following
-
-
-def _constants(text: str, before: int | None = None) -> Iterator[tuple[str, int, int, tuple[str, int, int, bool]]]:
-    constants: dict[str, tuple[str, int, int]] = {}
-    for m in ANY_ASSIGNMENT.finditer(text):
-        found = _expression(text, m.end(), constants)
-        if found:
-            constants[m[1]] = (found[0], m.start(1), found[2])
-            yield m[1], m.start(1), m.end(), found
+        if not any(sign in joined[0] for sign in ("+", "..", "&")):
+            if not (adjacent and "\n" not in joined[0] and joined.end() > at and QUOTED.match(text, joined.end())):
+                return value
+        at = joined.end()
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the method. Texts without a sensitive stem are not lexed."""
+    """Spans of the method, in one pass: a name stands for its last assignment before the use. Texts without a sensitive
+    stem are not lexed."""
     if not STEM.search(text):
         return []
-    spans = []
-    heads = []
-    last = -1
-    for m in STEM.finditer(text):
-        head = NAME_HEAD.search(text, max(last, m.start() - 64, 0), m.start())
-        tail = NAME_TAIL.match(text, m.end())
-        if not tail or m.start() < last:
-            continue
-        start = head.start() if head else m.start()
-        raw = text[start : tail.end()]
-        name = re.split(r"[\x20\t]*(?:=>|:=|=|:)[\x20\t]*$", raw)[0].strip("\"'[] \t")
-        if is_sensitive(name):
-            heads.append((start + len(raw) - len(raw.lstrip("\"'[")), tail.end()))
-            last = tail.end()
-    if not heads:
-        return []
-    at = {place: (found, n) for _, n, place, found in _constants(text)}
-    values = {name: (found, n) for name, n, _, found in _constants(text)}
-    for start, place in heads:
-        if place in at:
-            found = at[place][0]
+    spans: list[tuple[str, int, int]] = []
+    constants: dict[str, Value] = {}
+    told: set[int] = set()
+    line, line_end, head_end = 0, text.find("\n"), LINE_HEAD.match(text).end()
+    for target in TARGET.finditer(text):
+        start, place = target.start(1), target.end()
+        while 0 <= line_end < start:
+            line, line_end = line_end + 1, text.find("\n", line_end + 1)
+            head_end = -1
+        if head_end < 0:
+            head_end = LINE_HEAD.match(text, line).end()
+        value = _expression(text, start, place, constants)
+        if value:
+            constants[target[1]] = value
         else:
-            found = _expression(text, place, {})
-        if found and literal_score(found[0]) >= 2.5:
-            quoted_end = 1 if text[found[2] - 1 : found[2]] in "\"'`" else 0
-            spans.append(("assign", start, found[2] - quoted_end))
-            if found[3]:  # the literals behind the names
-                for name in IDENTIFIER.findall(text[found[1] : found[2]]):
-                    if name in values and not values[name][0][3]:
-                        literal, n = values[name]
-                        spans.append(("assign", n, literal[2] - (1 if text[literal[2] - 1] in "\"'`" else 0)))
-        elif not found:
-            bare = BARE.match(text, place)
-            line = text.rfind("\n", 0, start) + 1
-            if bare and re.fullmatch(r"[\x20\t]*(?:export|set|const|let|var)?[\x20\t]*[\"']?", text[line:start]):
-                value = bare[0].rstrip()
-                if literal_score(value) >= 2.5:
-                    spans.append(("assign", start, place + len(value)))
+            constants.pop(target[1], None)  # what it holds now is not known
+        if not is_sensitive(target[1]):
+            continue
+        if value and value.score() >= LEAST_SCORE:
+            waiting = [value]
+            if value.parts:
+                spans.append(("assign", value.start, value.end))
+            while waiting:  # each assignment is told once, so the walks add up to the text
+                own = waiting.pop()
+                if id(own) not in told:
+                    told.add(id(own))
+                    waiting += reversed(own.parts)
+                    if own.literal:
+                        spans.append(("assign", own.start, own.end))
+        elif not value and head_end == start and (bare := BARE.match(text, place)):
+            found = bare[0].rstrip()
+            if literal_score(found) >= LEAST_SCORE:
+                spans.append(("assign", start, place + len(found)))
     return spans
 
 
@@ -154,11 +181,14 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and the spans that the method adds."""
+    """Base spans, and the spans that the method adds where none of their kind is yet."""
     base = base_spans(text or "")
+    taken = sorted((a, b) for k, a, b in base if k == "assign")
     added = []
-    for kind, a, b in dict.fromkeys(lexed_spans(text or "")):
-        if not any(k == kind and x < b and a < y for k, x, y in [*base, *added]):
+    for kind, a, b in lexed_spans(text or ""):
+        at = bisect.bisect_left(taken, (b,))  # taken spans do not overlap, so only the one before can reach in
+        if not at or taken[at - 1][1] <= a:
+            taken.insert(at, (a, b))
             added.append((kind, a, b))
     return base, added
 

@@ -1,10 +1,12 @@
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftlens.llm.secret_scan import KINDS, base_spans, find_secrets, scan
+from driftlens.llm.secret_scan import KINDS, base_spans, find_secrets, literal_score, scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -37,6 +39,60 @@ def test_constants_are_propagated_and_literals_joined():
     assert added('auth_key = "ab12" + "cd34EF"') == ['auth_key = "ab12" + "cd34EF']
 
 
+def test_a_name_at_the_start_of_a_line():
+    assert added('note = "hello world"\npassphrase = "Zq8x1vTp99"\n') == ['passphrase = "Zq8x1vTp99']
+    assert added("\n\nmaster_key=Zq8x1vTp99\n") == ["master_key=Zq8x1vTp99"]
+    assert added('--db-pwd="Zq8x1vTp99" .auth_key: "Kw7x2bTp11"') == ['db-pwd="Zq8x1vTp99', 'auth_key: "Kw7x2bTp11']
+
+
+def test_the_assignment_before_the_use_counts():
+    text = 'k="Zq8x1vTp99"; db_pwd=k; k="other9Yx77Q"\n'
+    assert added(text) == ["db_pwd=k", 'k="Zq8x1vTp99']
+
+
+def test_literals_behind_several_names():
+    assert added('a = "Zq8x1vTp99"\nb = a\nc = b\ndb_pwd = c\n') == ["db_pwd = c", 'a = "Zq8x1vTp99']
+    assert added("a = b\nb = a\ndb_pwd = a\n") == []
+
+
+def test_long_names():
+    name = "x" * 300 + "_pwd_" + "z" * 300
+    assert added(f'{name} = "Zq8x1vTp99"') == [f'{name} = "Zq8x1vTp99']
+
+
+@pytest.mark.parametrize("text", [
+    'a = "xy"\n' + "a = a + a\n" * 2000 + "db_pwd = a\n", 'a = "xY9"\n' + "".join(f'k{i}_pwd = a + "x{i}"\n' for i in range(20_000)),
+    "a_pwd=" * 60_000, "-" * 300_000 + "pwd", "pwd_" * 100_000, "a-pwd-" * 60_000, 'pwd="' * 60_000, "pwd = '" + "\\'" * 100_000,
+    "".join(f'n{i} = n{i - 1} + "Q{i}"\nt{i}_pwd = n{i}\n' for i in range(10_000)), " " * 300_000 + "pwd = abc", "pwd: " + "x" * 300_000 + " y",
+])
+def test_work_and_memory_stay_linear(text):
+    start = time.process_time()
+    scan(text)
+    assert time.process_time() - start < 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "db_pwd", "auth_key"]), st.lists(st.sampled_from(["a", "b", "db_pwd", '"Zq8x1v"', '"Tp99"', '"xy"', '"change me"']), min_size=1, max_size=3)), max_size=12))
+def test_programs_against_a_slow_reading(lines):
+    """Texts are joined and every assignment remembers the lines whose literals it holds."""
+    text, values, expected = "", {}, set()
+    for name, parts in lines:
+        start, line = len(text), f"{name} = {' + '.join(parts)}"
+        text += line + "\n"
+        if all(p.startswith('"') or p in values for p in parts):
+            joined = "".join(p[1:-1] if p.startswith('"') else values[p][0] for p in parts)
+            own = {(start, start + len(line) - parts[-1].startswith('"'))} if any(p.startswith('"') for p in parts) else set()
+            held = own.union(*(values[p][1] for p in parts if p in values))
+            values[name] = joined, held, "change me" in joined
+            if name in ("db_pwd", "auth_key") and literal_score(joined) >= 2.5 and " " not in joined:
+                expected |= held | ({(start, start + len(line) - parts[-1].startswith('"'))} if any(p in values for p in parts) and not all(p.startswith('"') for p in parts) else set())
+        else:
+            values.pop(name, None)
+            if len(parts) == 1 and name in ("db_pwd", "auth_key") and literal_score(parts[0]) >= 2.5:  # a bare value
+                expected.add((start, start + len(line)))
+    assert {(a, b) for _, a, b in scan(text)[1]} == expected
+
+
 def test_what_is_left_alone():
     for text in ('db_pwd = "changeme"', "the key is: simple", 'monkey = "q8Zk1vTp99"', 'pwd = os.environ["X"]', "keyboard: qwertz layout", 'pwd = "aaaaaaaaaa"', "", "pass by value: 12"):
         assert added(text) == [], text
