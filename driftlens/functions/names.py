@@ -86,6 +86,64 @@ def deletions_up_to_two(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, twice))
 
 
+#: Words of this many characters and more are met by their segments, shorter ones by their forms.
+LEAST_SEGMENTED = 3
+SEGMENTS = 3
+
+
+def _segment(length: Column, number: Column) -> tuple[Column, Column]:
+    """Where a segment of a word of that length begins (from 0), and its length: three of nearly equal length."""
+    start = F.floor(number * length / SEGMENTS).cast("int")
+    return start, F.floor((number + 1) * length / SEGMENTS).cast("int") - start
+
+
+def segments(word: Column) -> Column:
+    """The three segments of a word with their numbers and the word's length; none of a short word."""
+    length = F.length(word)
+
+    def one(number: Column) -> Column:
+        start, size = _segment(length, number)
+        return F.struct(length.alias("length"), number.alias("number"), F.substring(word, start + 1, size).alias("segment"))
+
+    numbers = F.when(length >= LEAST_SEGMENTED, F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, one)
+
+
+def _probes() -> list[tuple[int, int, int, bool]]:
+    """(difference of lengths, segment, shift, swapped) of the pieces of a word that can equal a segment within two edits.
+
+    Two edits leave one of three segments whole, unless one of them swaps the letters on both sides of a border. Then
+    a segment before a border is whole but for its last letter, which stands one place later. Edits before the segment
+    shift it, those behind it make up the rest of the difference in length.
+    """
+    plain = [(d, i, s, False) for d in range(-2, 3) for i in range(SEGMENTS) for s in range(-2, 3) if abs(s) + abs(d - s) <= 2]
+    return plain + [(d, i, s, True) for d in (-1, 0, 1) for i in range(SEGMENTS - 1) for s in (-1, 0, 1) if abs(s) + abs(d - s) <= 1]
+
+
+def segment_probes(word: Column) -> Column:
+    """Pieces of a word, at most 49, one of which is a segment of any word of three letters or more within two edits."""
+    length = F.length(word)
+
+    def one(p: Column) -> Column:
+        other = length - p["difference"]
+        start, size = _segment(other, p["number"])
+        start = start + p["shift"]
+        fits = (other >= LEAST_SEGMENTED) & (start >= 0) & (start + size + p["swapped"].cast("int") <= length)
+        piece = F.when(p["swapped"], F.concat(F.substring(word, start + 1, size - 1), F.substring(word, start + size + 1, F.lit(1)))).otherwise(F.substring(word, start + 1, size))
+        return F.when(fits, F.struct(other.alias("length"), p["number"].alias("number"), piece.alias("segment")))
+
+    table = F.array(*[
+        F.struct(F.lit(d).alias("difference"), F.lit(i).alias("number"), F.lit(s).alias("shift"), F.lit(w).alias("swapped")) for d, i, s, w in _probes()
+    ])
+    return F.array_distinct(F.array_compact(F.transform(table, one)))
+
+
+def short_forms(word: Column, most: int) -> Column:
+    """What is left of a word of at most ``most`` letters by deleting none, one or two, without the empty rest."""
+    none = F.array().cast("array<string>")
+    return F.when(F.length(word) <= most, F.filter(deletions_up_to_two(word), lambda f: f != "")).otherwise(none)
+
+
 CELLS = 20_000_000  # table cells per block of pairs, which bounds memory for long names
 
 

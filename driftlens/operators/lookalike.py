@@ -10,12 +10,14 @@ from driftlens.schema import evidence_of, to_findings
 from driftlens.session import spread
 
 
-def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
-    """(name, target, distance) for names within ``max_distance`` (at most 2) of a popular one.
-
-    Names are made distinct first. Candidate pairs come from an equality join on shared deletion
-    forms, never from pairing every name with every popular name; the exact distance is then computed
-    for the candidates only. Smaller distance wins, then list order.
+def candidate_pairs(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
+    """Pairs (name, target, ord, word, target_word) among which is each name's nearest popular one, if within two edits.
+
+    Names are made distinct first. Candidate pairs come from equality joins, never from pairing every name with every
+    popular name: a popular word of three letters or more is cut into three segments, one of which stands in any word
+    within two edits, at a place that lengths and edits leave open; a shorter one is met by forms with letters left out.
+    Words of up to two letters are within two edits of one another in any case; of those the first of the list for each
+    length is enough.
     """
     listed = popular.groupBy("name").agg(F.min("ord").alias("ord"))
     fresh = spread(names.select("name").distinct().join(listed.select("name"), "name", "left_anti"), "name")
@@ -30,23 +32,37 @@ def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2)
             ),
         )
     )
-    left = fresh.select("name", F.explode(spaces).alias("s")).select(
-        "name", "s.space", "s.word", F.explode(N.deletions_up_to_two(F.col("s.word"))).alias("form")
-    )
+    left = fresh.select("name", F.explode(spaces).alias("s")).select("name", "s.space", "s.word")
     right = listed.select(
         F.col("name").alias("target"), "ord",
         F.coalesce(scope, F.lit("")).alias("space"),
         F.when(scope.isNull(), F.col("name")).otherwise(base).alias("target_word"),
-    ).withColumn("form", F.explode(N.deletions_up_to_two(F.col("target_word"))))
-    # Adaptive execution broadcasts the forms of a short list by their real size; a long list shuffles.
-    candidates = (
-        left.join(right, ["space", "form"])
+    )
+    short, pair = N.LEAST_SEGMENTED - 1, ["name", "target", "ord", "word", "target_word"]
+    # Adaptive execution broadcasts the keys of a short list by their real size; a long list shuffles.
+    by_segment = left.withColumn("key", F.explode(N.segment_probes(F.col("word")))).join(
+        right.withColumn("key", F.explode(N.segments(F.col("target_word")))), ["space", "key"]
+    )
+    by_form = left.withColumn("key", F.explode(N.short_forms(F.col("word"), short + max_distance))).join(
+        right.withColumn("key", F.explode(N.short_forms(F.col("target_word"), short))), ["space", "key"]
+    )
+    size = F.length("target_word")
+    firsts = right.filter(size <= short).groupBy("space", size.alias("size")).agg(F.min(F.struct("ord", "target", "target_word")).alias("t"))
+    by_length = left.filter(F.length("word") <= short).join(firsts, "space").select("name", "t.target", "t.ord", "word", "t.target_word")
+    return (
+        by_segment.select(*pair).unionByName(by_form.select(*pair)).unionByName(by_length)
         .filter(F.abs(F.length("word") - F.length("target_word")) <= max_distance)
-        .select("name", "target", "ord", "word", "target_word")
         .distinct()
     )
+
+
+def nearest_popular(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
+    """(name, target, distance) for names within ``max_distance`` (at most 2) of a popular one.
+
+    The exact distance is computed for candidates only. Smaller distance wins, then list order.
+    """
     return (
-        candidates.withColumn("distance", N.edit_distance("word", "target_word"))
+        candidate_pairs(names, popular, max_distance).withColumn("distance", N.edit_distance("word", "target_word"))
         .groupBy("name")
         .agg(F.min(F.struct("distance", "ord", "target")).alias("best"))
         .filter(F.col("best.distance") <= max_distance)

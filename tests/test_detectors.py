@@ -1,8 +1,11 @@
 """Detectors on hand-built snapshots: what fires, how it is graded, and what stays silent."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.functions import names as N
 from driftlens.operators import delta, lookalike, manifest, obfuscation
 
 PAIR = "run_id string, change_id string, package string, from_ver string, to_ver string, side string"
@@ -134,3 +137,59 @@ def test_image_and_reader(spark):
     found = delta.image_decode_exec(files, facts).collect()
     assert [(r.evidence[0].file, "logo.png" in r.message) for r in found] == [("r.js", True)]
     assert delta.image_decode_exec(files, facts.filter(F.col("cap") != "dynamic_code")).count() == 0
+
+
+def plain_distance(a, b):
+    """Edits with swaps of neighbours, each part of a word edited once."""
+    table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                table[i][j] = min(table[i][j], table[i - 2][j - 2] + 1)
+    return table[-1][-1]
+
+
+def edited(rng, word):
+    """The word after up to two random edits, swaps over any border included."""
+    for _ in range(rng.randrange(3)):
+        at, kind = rng.randrange(len(word) + 1), rng.randrange(4)
+        if kind == 0:
+            word = word[:at] + rng.choice("abcd-é") + word[at:]
+        elif kind == 1:
+            word = word[:at] + word[at + 1 :]
+        elif kind == 2:
+            word = word[:at] + rng.choice("abcd") + word[at + 1 :]
+        else:
+            word = word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]
+    return word
+
+
+def test_segments_meet_every_word_within_two_edits(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcd", k=rng.randrange(1, 14))) for _ in range(150)]
+    popular = [(w, i) for i, w in enumerate(dict.fromkeys(words))]
+    names = sorted({edited(rng, rng.choice(words)) for _ in range(900)} | {"".join(rng.choices("abcdxyz", k=k)) for k in (1, 2, 3, 4) for _ in range(40)} - {""})
+    found = {r.name: (r.target, r.distance) for r in lookalike.nearest_popular(
+        spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(popular, "name string, ord int")
+    ).collect()}
+    listed = {w for w, _ in popular}
+    for name in names:
+        if name and name not in listed:
+            best = min((plain_distance(name, w), i, w) for w, i in popular)
+            assert found.get(name) == ((best[2], best[0]) if best[0] <= 2 else None), name
+
+
+def test_few_keys_for_a_name(spark):
+    frame = spark.createDataFrame([("x" * n,) for n in range(1, 6)] + [("abcdefghij" * 4,), ("abcdefghij" * 20,)], "w string")
+    sizes = frame.select(F.size(N.segment_probes(F.col("w"))).alias("p"), F.size(N.segments(F.col("w"))).alias("s"), F.size(N.short_forms(F.col("w"), 4)).alias("f")).collect()
+    assert all(r.p <= 49 and r.s <= 3 and r.f <= 11 for r in sizes)
+
+
+def test_candidates_of_long_names_are_few(spark):
+    """Of a thousand names of twenty letters hardly any pair but the planted ones is compared."""
+    rng = random.Random(3)
+    popular = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(300)]
+    names = [edited(rng, w) for w in popular] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(700)]
+    listed = spark.createDataFrame([(w, i) for i, w in enumerate(popular)], "name string, ord int")
+    assert 150 < lookalike.candidate_pairs(spark.createDataFrame([(n,) for n in names], "name string"), listed).count() < 350
