@@ -106,7 +106,7 @@ SELECT run_id, kind || ':' || name || ':' || version_new AS change_id,
   key_new AS file, 1::INTEGER AS line, 'resolved: ' || resolved_new AS snippet
 FROM f WHERE rn = 1 AND (src = 'git' OR kind = 'added')"""
 ORACLE["fail_closed"] = f"""WITH {LOCK},
-bad AS (SELECT run_id, name, version FROM lock_nodes WHERE ord % 19 = 0 GROUP BY run_id, name, version),
+bad AS (SELECT run_id, name, version FROM lock_nodes WHERE integrity = '' GROUP BY run_id, name, version),
 m AS (SELECT b.run_id, b.name, b.version, c.kind, c.version_old FROM bad b
   LEFT JOIN changes c ON c.run_id = b.run_id AND c.name = b.name AND c.version_new = b.version),
 f AS (SELECT *, row_number() OVER (PARTITION BY run_id, name ORDER BY (kind IS NULL)::INT, version) AS rn FROM m)
@@ -117,10 +117,10 @@ FROM f WHERE rn = 1"""
 ORACLE["workspace_links"] = f"""WITH {LOCK}
 SELECT run_id, 'link:' || key AS change_id, 'deps.workspace-shadowing' AS detector, name AS package, NULL::VARCHAR AS from_ver,
   version AS to_ver, 'added' AS direction,
-  CASE WHEN name IN (SELECT name FROM lock_nodes WHERE ord % 9 = 0) THEN 'BLOCK' ELSE 'WARN' END AS severity,
+  CASE WHEN name IN (SELECT name FROM lock_nodes WHERE resolved IS NULL) THEN 'BLOCK' ELSE 'WARN' END AS severity,
   'medium' AS confidence, key AS file, 1::INTEGER AS line,
   '"link": true, "name": "' || name || '", "resolved": "' || COALESCE(resolved, '') || '"' AS snippet
-FROM lock_nodes WHERE side = 'new' AND ord % 3 = 0"""
+FROM lock_nodes WHERE side = 'new'"""
 ORACLE["aliased_names"] = f"""WITH {LOCK},
 a AS (SELECT run_id, name, 'real-' || integrity AS real_name, arg_min(version, ord) AS version
   FROM lock_nodes WHERE side = 'new' GROUP BY ALL)
@@ -334,7 +334,7 @@ files AS (SELECT 'docs' AS run_id, source AS change_id, source AS package, CASE
     CASE WHEN NOT placed THEN 'extra/f' || doc_id || '.js' ELSE CASE WHEN unit % 4 = 0 THEN 'dist/f' ELSE 'src/f' END || unit || '.js' END AS path, minified, suspicious, COALESCE(entropy, 0) AS entropy, unit
   FROM file_rows LEFT JOIN entropies USING (doc_id)),
 n AS (SELECT f.*, p.path IS NOT NULL AS paired, p.entropy AS e0, p.minified AS m0, p.suspicious AS s0,
-    regexp_matches(f.path, {_regex(V.BUILD_DIR)}) AS build, (f.unit % 8 = 0 AND f.path LIKE 'dist/%') AS expected
+    regexp_matches(f.path, {_regex(V.BUILD_DIR)}) AS build, (f.path LIKE 'dist/%' AND (f.change_id, f.unit) IN (SELECT (source, doc_id // 40) FROM documents WHERE lang = 'en')) AS expected
   FROM files f LEFT JOIN files p ON p.is_old AND p.change_id = f.change_id AND p.path = f.path WHERE NOT f.is_old)"""
 OBF_CONF = "CASE WHEN expected OR from_ver IS NULL THEN 'low' ELSE 'medium' END"
 ORACLE["entropy_jump"] = f"""WITH {FILES}
@@ -395,7 +395,7 @@ v AS (SELECT *, CASE WHEN n_new = 0 THEN CASE WHEN told THEN 'BLOCK high' ELSE '
 """ + _flat_select("'meta.maintainer-change'", "split_part(verdict, ' ', 1)", "split_part(verdict, ' ', 2)", "'package.json'", "1",
                    "'maintainers: [' || COALESCE(old_list, '') || '] → [' || COALESCE(new_list, '') || ']'", "v")
 ORACLE["disposable_domain"] = f"""WITH {EMAILS},
-dom AS (SELECT DISTINCT lower(c_mktsegment) || '.sub.example' AS domain FROM customer WHERE c_custkey % 4 = 0),
+dom AS (SELECT DISTINCT lower(c_mktsegment) || '.sub.example' AS domain FROM customer WHERE c_acctbal < 0),
 f AS (SELECT DISTINCT run_id, change_id, package, from_ver, to_ver, email FROM emails x WHERE side = 'new' AND split_part(email, '@', 2) IN (SELECT domain FROM dom)
   AND NOT EXISTS (SELECT 1 FROM emails y WHERE y.side = 'old' AND y.change_id = x.change_id AND y.email = x.email)),
 g AS (SELECT run_id, change_id, package, from_ver, to_ver, array_to_string(list(email ORDER BY email), ', ') AS listed FROM f GROUP BY ALL)
@@ -531,17 +531,17 @@ ORACLE["severity_rollup"] = f"""WITH {FINDINGS} SELECT run_id, package, count(*)
   count(*) FILTER (WHERE severity = 'WARN') AS warn, count(*) FILTER (WHERE severity = 'INFO') AS info, count(*) AS total,
   count(DISTINCT category) AS categories FROM findings GROUP BY run_id, package"""
 ORACLE["exit_codes"] = f"""WITH {FINDINGS},
-forced AS (SELECT DISTINCT {_pick([d for d, _ in T.DETECTORS], 'event_id % 16')} AS detector FROM events WHERE event_id % 997 = 0)
+forced AS (SELECT DISTINCT {_pick([d for d, _ in T.DETECTORS], 'n_nationkey % 16')} AS detector FROM nation WHERE n_regionkey = 2)
 SELECT change_id, CASE WHEN min({RANK}) = 0 OR bool_or(detector IN (SELECT detector FROM forced)) THEN 2 WHEN min({RANK}) = 1 THEN 1 ELSE 0 END::INTEGER AS code
 FROM findings GROUP BY change_id"""
 ORACLE["finding_order_topk"] = f"WITH {FINDINGS} SELECT event_id, severity, package, detector FROM findings ORDER BY {RANK}, package, detector, file, event_id LIMIT 100"
 ORACLE["config_apply"] = f"""WITH {FINDINGS},
 allow AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 29) AS package, {_pick(['NET', 'ENV', 'META', 'INSTALL'], 's_suppkey % 4')} AS category FROM supplier),
-ign AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 7) AS package FROM supplier WHERE s_suppkey % 5 = 0),
-ignp AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 11) AS package FROM supplier WHERE s_suppkey % 3 = 0),
+ign AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 7) AS package FROM supplier WHERE s_acctbal < 1000),
+ignp AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 11) AS package FROM supplier WHERE s_acctbal > 6000),
 tr AS (SELECT 'u' || s_suppkey || '-' || (s_suppkey % 13) AS package FROM supplier),
 ov AS (SELECT {_pick([d for d, _ in T.DETECTORS], 'n_nationkey % 16')} AS detector, min({_pick(['BLOCK', 'WARN', 'INFO'], 'n_nationkey % 3')}) AS severity
-  FROM nation WHERE n_nationkey % 5 = 1 GROUP BY 1),
+  FROM nation WHERE n_regionkey = 1 GROUP BY 1),
 f AS (SELECT *, detector IN ('integrity.hash-mismatch','analysis.failed') AS exempt FROM findings)
 SELECT f.event_id, CASE WHEN f.detector = 'meta.maintainer-change' AND f.package IN (SELECT package FROM tr) AND contains(snippet, '@y.example') THEN 'INFO'
   WHEN NOT exempt AND ov.severity IS NOT NULL THEN ov.severity
@@ -592,14 +592,14 @@ SELECT key, path, place::BIGINT AS place FROM ranked WHERE place <= 3 UNION ALL
 UNION ALL SELECT 'r' || r_regionkey, '(root)>r' || r_regionkey, 1 FROM region UNION ALL SELECT 'n' || n, path, 1 FROM nat UNION ALL SELECT 's' || s, path, 1 FROM sup
 UNION ALL SELECT 'c' || c, path, 1 FROM cus UNION ALL SELECT 'o' || o, path, 1 FROM ord"""
 # the place is a binary number over the layers that are free, the last layer its lowest digit
-ORACLE["diamond_paths"] = """WITH t AS (SELECT p_partkey AS k, (p_partkey - 1) // 40 AS d, (p_partkey - 1) % 40 // 2 AS layer, (p_partkey - 1) % 2 AS c FROM part),
+ORACLE["diamond_paths"] = """WITH t AS (SELECT p_partkey AS k, p_partkey // 40 AS d, p_partkey % 40 // 2 AS layer, p_partkey % 2 AS c FROM part),
 ends AS (SELECT d FROM t WHERE layer = 19 GROUP BY d),
 targets AS (
   SELECT d, 'p' || k AS key, layer AS n, -1 AS around, 0 AS bit, '>p' || k AS tail FROM t
   UNION ALL SELECT d, 'x' || d, 20, -1, 0, '>x' || d FROM ends
   UNION ALL SELECT d, 'x' || d || '/p' || k, 20, layer, 1 - c, '>x' || d || '>p' || k FROM t SEMI JOIN ends USING (d)),
 places AS (SELECT *, unnest(range(0, least(3, CAST(power(2, n - (around >= 0)::INT) AS INT)))) AS place FROM targets)
-SELECT CAST(d AS VARCHAR) AS run_id, key, place + 1 AS place, 'app' || array_to_string(list_transform(range(0, n), lambda l: '>p' || (d * 40 + 2 * l + 1 +
+SELECT CAST(d AS VARCHAR) AS run_id, key, place + 1 AS place, 'app' || array_to_string(list_transform(range(0, n), lambda l: '>p' || (d * 40 + 2 * l +
   CASE WHEN l = around THEN bit ELSE (place // CAST(power(2, n - 1 - l - (around > l)::INT) AS INT)) % 2 END)), '') || tail AS path FROM places"""
 CLOSURE = PATHS + """,
 closure AS (SELECT DISTINCT * FROM (SELECT 'r' || r_regionkey AS direct, 'r' || r_regionkey AS name FROM region UNION ALL SELECT r, 'n' || n FROM nat
@@ -746,10 +746,10 @@ ORACLE["instance_closure"] = f"WITH {INSTANCES} SELECT direct, name FROM closure
 ORACLE["instance_rollup"] = f"""WITH {INSTANCES}, {FINDINGS},
 per AS (SELECT 'part' || (event_id % 97) AS name, {RANK} AS rank FROM findings)
 SELECT direct, {LABEL.format('COALESCE(min(rank), 3)')} AS max_severity, count(rank) AS count FROM closure LEFT JOIN per USING (name) GROUP BY direct"""
-ORACLE["finding_order_dictionary"] = f"""WITH {FINDINGS} SELECT event_id, severity, package, detector FROM findings
-ORDER BY {RANK}, package COLLATE en, detector COLLATE en, file COLLATE en, evidence_line, event_id LIMIT 100"""
-ORACLE["change_order_dictionary"] = f"""WITH {LOCK} SELECT run_id, name, kind, version_old, version_new FROM changes
-ORDER BY run_id, name, kind, coalesce(version_new, '') COLLATE en, coalesce(version_old, '') COLLATE en LIMIT 100"""
+ORACLE["finding_order_dictionary"] = f"""WITH {FINDINGS} SELECT run_id, event_id, severity, package, detector, row_number() OVER (PARTITION BY run_id
+  ORDER BY {RANK}, package COLLATE en, detector COLLATE en, file COLLATE en, evidence_line, event_id) AS place FROM findings"""
+ORACLE["change_order_dictionary"] = f"""WITH {LOCK} SELECT run_id, name, kind, version_old, version_new, row_number() OVER (PARTITION BY run_id
+  ORDER BY name, kind, coalesce(version_new, '') COLLATE en, coalesce(version_old, '') COLLATE en) AS place FROM changes"""
 ORACLE["json_files"] = f"""SELECT 'p' || page_id || '.json' AS path, 'url' AS cap, key, NULL::VARCHAR AS context
 FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, {JS_URL_SQL}, 1)) AS key FROM pages)"""
 _WORST = LABEL.format(f"min({RANK})")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import hashing as H
@@ -82,7 +82,7 @@ def change_kinds(spark, folder):
 @query
 def fail_closed(spark, folder):
     nodes = T.lock_nodes(spark, folder)
-    broken = nodes.filter(F.col("ord") % 19 == 0).groupBy("run_id", "name", "version").agg(
+    broken = nodes.filter("integrity = ''").groupBy("run_id", "name", "version").agg(
         F.concat(F.lit("cannot read "), F.min("ord").cast("string")).alias("error")
     )
     found = I.failed_analyses(C.changeset(nodes), broken)
@@ -91,9 +91,9 @@ def fail_closed(spark, folder):
 
 @query
 def workspace_links(spark, folder):
-    links = T.lock_nodes(spark, folder).filter(F.col("ord") % 3 == 0)
-    popular = T.lock_nodes(spark, folder).filter(F.col("ord") % 9 == 0).select("name")
-    return flat(I.workspace_shadows(links, popular))
+    """Every entry taken as a link; the names that also come from the registry are the ones worth shadowing."""
+    links = T.lock_nodes(spark, folder)
+    return flat(I.workspace_shadows(links, links.filter("resolved IS NULL").select("name")))
 
 
 @query
@@ -361,7 +361,7 @@ def maintainer_change(spark, folder):
 
 @query
 def disposable_domain(spark, folder):
-    domains = T.load(spark, folder, "customer").filter(F.col("c_custkey") % 4 == 0).select(
+    domains = T.load(spark, folder, "customer").filter("c_acctbal < 0").select(
         F.concat(F.lower("c_mktsegment"), F.lit(".sub.example")).alias("domain")
     )
     return flat(M.disposable_author_domains(T.emails(spark, folder), domains))
@@ -488,8 +488,8 @@ def severity_rollup(spark, folder):
 @query
 def exit_codes(spark, folder):
     findings = _keyed(spark, folder)
-    fail_on = T.load(spark, folder, "events").filter(F.col("event_id") % 997 == 0).select(
-        T.pick([d for d, _ in T.DETECTORS], F.col("event_id") % 16).alias("detector")
+    fail_on = T.load(spark, folder, "nation").filter("n_regionkey = 2").select(
+        T.pick([d for d, _ in T.DETECTORS], F.col("n_nationkey") % 16).alias("detector")
     )
     forced = P.forced_failure(findings.select(F.col("change_id").alias("run_id"), "detector"), fail_on)
     graded = A.verdicts(findings, ["change_id"]).join(
@@ -519,12 +519,12 @@ def _config_tables(spark, folder):
     n = F.col("n_nationkey")
     return {
         "allow": supplier.select(package.alias("package"), T.pick(categories, s % 4).alias("category")),
-        "ignore": supplier.filter(s % 5 == 0).select(F.concat(F.lit("u"), T.text(s), F.lit("-"), T.text(s % 7)).alias("package")),
-        "ignore_path": supplier.filter(s % 3 == 0).select(
+        "ignore": supplier.filter("s_acctbal < 1000").select(F.concat(F.lit("u"), T.text(s), F.lit("-"), T.text(s % 7)).alias("package")),
+        "ignore_path": supplier.filter("s_acctbal > 6000").select(
             F.concat(F.lit("u"), T.text(s), F.lit("-"), T.text(s % 11)).alias("package"), F.lit("lib/f1").alias("prefix")
         ),
         "trust": supplier.select(F.concat(F.lit("u"), T.text(s), F.lit("-"), T.text(s % 13)).alias("package"), F.lit("@y.example").alias("anchor")),
-        "override": nation.filter(n % 5 == 1).select(
+        "override": nation.filter("n_regionkey = 1").select(
             T.pick([d for d, _ in T.DETECTORS], n % 16).alias("detector"), T.pick(["BLOCK", "WARN", "INFO"], n % 3).alias("severity")
         ).groupBy("detector").agg(F.min("severity").alias("severity")),
     }
@@ -860,15 +860,18 @@ def instance_rollup(spark, folder):
 
 @query
 def finding_order_dictionary(spark, folder):
-    """The first hundred findings in the order that reports use, with names in dictionary order."""
-    return _keyed(spark, folder).orderBy(*A.finding_order(), "event_id").limit(100).select("event_id", "severity", "package", "detector")
+    """Every finding with its place in its run's report; names are in dictionary order."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(*A.finding_order(), "event_id"))
+    return _keyed(spark, folder).select("run_id", "event_id", "severity", "package", "detector", place.cast("long").alias("place"))
 
 
 @query
 def change_order_dictionary(spark, folder):
-    """The first hundred changes in report order."""
+    """Every change with its place in its run's report."""
+    older = F.collate(F.coalesce("version_old", F.lit("")), "UNICODE")
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(*C.change_order(), older))
     changes = C.changeset(T.lock_nodes(spark, folder))
-    return changes.orderBy(*C.change_order(), F.collate(F.coalesce("version_old", F.lit("")), "UNICODE")).limit(100).select("run_id", "name", "kind", "version_old", "version_new")
+    return changes.select("run_id", "name", "kind", "version_old", "version_new", place.cast("long").alias("place"))
 
 
 @query

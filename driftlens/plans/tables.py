@@ -182,10 +182,11 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def declared_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The bundles that packages declare: those of English documents."""
     unit = F.floor(F.col("doc_id") / 40)
     return (
         load(spark, folder, "documents")
-        .filter(unit % 8 == 0)
+        .filter(F.col("lang") == "en")
         .select(
             F.lit("docs").alias("run_id"), F.col("source").alias("change_id"),
             F.concat(F.lit("dist/f"), text(unit), F.lit(".js")).alias("path"),
@@ -446,7 +447,7 @@ def diamonds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     Below the last layer stands one package that needs a second instance of every package above it, so every name can
     block, and the ways to an instance are those around its own name.
     """
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     run, place = F.floor(k / 40), k % 40
     part = load(spark, folder, "part").select(
         text(run).alias("run_id"), (run * 40).alias("base"), F.floor(place / 2).alias("layer"), (place % 2).alias("ord"),
@@ -460,7 +461,7 @@ def diamonds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         .unionByName(runs.select("run_id", F.col("end").alias("key"), F.col("end").alias("name")))
         .unionByName(runs.select("run_id", F.lit("").alias("key"), F.lit("app").alias("name")))
     )
-    following = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda c: F.struct(F.concat(F.lit("p"), text(F.col("base") + (F.col("layer") + 1) * 2 + c + 1)).alias("child_key"), c.cast("long").alias("ord")))
+    following = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda c: F.struct(F.concat(F.lit("p"), text(F.col("base") + (F.col("layer") + 1) * 2 + c)).alias("child_key"), c.cast("long").alias("ord")))
     edges = (
         part.filter("layer < 19").select("run_id", F.col("name").alias("parent_key"), F.explode(following).alias("c"))
         .select("run_id", "parent_key", "c.child_key", "c.ord")
