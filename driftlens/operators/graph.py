@@ -108,11 +108,11 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
             .filter(F.col("rank") <= max_paths)
         )
         if blocks:
-            among = step.filter(F.size("live") > 0).groupBy("run_id", "key").agg(
+            among = step.groupBy("run_id", "key").agg(
                 F.array_sort(F.collect_list(F.struct("trail", "path", "held"))).alias("rows"), F.first("live").alias("live"), F.first("several").alias("several")
             )
             chosen = among.select("run_id", "key", F.explode(_enough(F.col("rows"), F.col("live"), F.col("several"), max_paths)).alias("p"))
-            step = step.filter(F.size("live") == 0).select(*columns).unionByName(chosen.select("run_id", "key", "p.path", "p.trail", "p.held"))
+            step = chosen.select("run_id", "key", "p.path", "p.trail", "p.held")
         frontier = cut_lineage(step.select(*columns))
         if frontier.isEmpty():
             break
