@@ -2,8 +2,8 @@
 
 A stack machine finds pattern literals and the first syntax error, after which nothing counts as code. The rest is cut
 into strings, templates, comments and code by one pattern. Strings are written into the code as «hex», so words inside
-strings and comments never match as code and string arguments stay readable to patterns. Constant folding rewrites that text in a pandas UDF; everything else is Spark
-string functions. There is no syntax tree: what needs one is listed in the README.
+strings and comments never match as code and string arguments stay readable to patterns. Constant folding rewrites that text in a pandas UDF; everything else is Spark string functions and
+joins. There is no syntax tree: what needs one is listed in the README.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from driftlens.functions import fixed_values as V
 from driftlens.functions import text as X
 from driftlens.functions.decode import decode_js_url
 from driftlens.functions.folding import fold
+from driftlens.operators.dataflow_javascript import flow_facts
 from driftlens.operators.scan_python import FACT, FILE, _all, _each, _fact, _some, exploded, line_pairs, protect, reveal, settle_literals
 from driftlens.operators.syntax_javascript import parse_error, parsed, without_patterns
+from driftlens.session import cut_lineage
 
 TOKENS = (
     r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\n]*\"?|'[^'\n]*'?|`[^`]*`?"
@@ -291,8 +293,12 @@ def javascript_facts(files: DataFrame) -> DataFrame:
         "encoded_url", hit["url"], F.col("line"),
         F.concat(hit["encoding"], F.lit('("'), F.substring("key", 1, 60), F.lit('") → '), hit["url"]), hit["encoding"],
     )
-    found = settle_literals(rows, decode_js_url, hidden)
+    found = cut_lineage(settle_literals(rows, decode_js_url, hidden))
+    # What only the flow of values shows: keys and targets that no pattern of a single place has found.
+    named = files.filter(~is_json & F.col("text").rlike("process|require|fs"))
+    behind = flow_facts(tokenised(named)).join(found.select("name", "version", "path", "cap", "key"), ["name", "version", "path", "cap", "key"], "left_anti")
+    behind = behind.withColumn("ord", F.col("ord") * 1_000_000_000 + 900_000_000 + F.col("line"))
     # JSON files other than manifests: their URLs, without context.
     plain = files.filter(is_json & ~path.rlike(r"(^|/)package\.json\z"))
     listed = _each(F.array_distinct(X.urls(F.col("text"))), lambda u: _fact("url", u, F.lit(1), F.substring(u, 1, 240)))
-    return found.unionByName(exploded(plain, listed))
+    return found.unionByName(behind).unionByName(exploded(plain, listed))

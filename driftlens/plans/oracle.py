@@ -778,3 +778,6 @@ SELECT change_id, sha256('[' || string_agg(text, ',' ORDER BY rank, package, det
 
 
 ORACLE["javascript_errors"] = SCRIPT_ERRORS
+ORACLE["javascript_flow"] = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 + 1 AS steps FROM orders)
+SELECT 'f' || k || '.js' AS path, 'env' AS cap, 'K' || (k % 5) AS key FROM o WHERE steps >= 3
+UNION ALL SELECT 'f' || k || '.js', 'env', 'L' || k FROM o WHERE steps >= 4 UNION ALL SELECT 'f' || k || '.js', 'fs_write', '/d/' || k FROM o WHERE steps >= 6"""

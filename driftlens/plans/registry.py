@@ -166,6 +166,13 @@ def scan_javascript(spark, folder):
     return found.select("path", "cap", "key", "line", "context")
 
 
+@query
+def javascript_flow(spark, folder):
+    """Environment keys and file targets that scripts reach over aliases, patterns, arguments and members."""
+    found = javascript_facts(T.flow_files(spark, folder))
+    return found.filter("cap IN ('env', 'fs_read', 'fs_write')").select("path", "cap", "key")
+
+
 @query
 def javascript_errors(spark, folder):
     """documents and pages taken as scripts: the first error of each, with its place."""

@@ -564,6 +564,22 @@ def scripts_of_texts(spark: SparkSession, folder: str) -> DataFrame:
     return file("documents", "doc_id", "text").unionByName(file("pages", "page_id", "html"))
 
 
+FLOW_PARTS = [
+    "function f{k}(a) { return a }\nconst n{k} = process;\n", "const { env: m{k} } = n{k};\n", "const pass{k} = (x{k}) => x{k}.{KEY};\npass{k}(m{k});\n",
+    "const { L{k}: q{k} } = m{k};\n", "const io{k} = require('fs');\nconst { promises: io2{k} } = io{k};\n", "function put{k}(t{k}) { t{k}.writeFile('/d/{k}', 1) }\nput{k}(io2{k});\n",
+]
+
+
+def flow_files(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as scripts in which the environment and ``fs`` go through one to six steps; later steps are absent in most."""
+    o = F.col("o_orderkey")
+    steps = o % 6 + 1
+    parts = [F.when(steps > i, _template(part, k=text(o), KEY=F.concat(F.lit("K"), text(o % 5)))).otherwise("") for i, part in enumerate(FLOW_PARTS)]
+    return load(spark, folder, "orders").select(
+        F.lit("p").alias("name"), F.lit("1").alias("version"), F.concat(F.lit("f"), text(o), F.lit(".js")).alias("path"), F.concat(*parts).alias("text"), o.alias("ord"),
+    )
+
+
 MANIFEST_TEMPLATE = (
     '{"name":"p{a}","version":"1.{b}.0","main":"./lib/{a}.js","exports":{".":{"import":"./esm/{b}.mjs"}},"bin":{"x":"bin/{b}.js"},'
     '"scripts":{"postinstall":"node {b}.js"},"dependencies":{"d{b}":"^1.{b}"},"peerDependencies":{"q":"http://h{b}.example/q.tgz"},'
