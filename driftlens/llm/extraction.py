@@ -5,7 +5,7 @@ layout (pages of the host with the same kinds of frame elements) where the host
 that varies lies mostly in the elements that the author marked as `article` or `main` or elsewhere, and the constant texts
 of the template. A page's article is what the marked elements hold (the whole page if none is marked, or if the votes are
 for the page), without template texts and without menus, forms, adverts, comments and the like, which are known by their
-elements and by the words of their class, id and role. Within marked elements fewer words count, and none for headers and
+elements and by their class, id and role, taken as whole names. Within marked elements fewer names count, and none for headers and
 what holds the h1; formulas and noscript are text. There a text is constant only if all of its
 run of like siblings is, so a sentence that articles share, between paragraphs that differ, stays.
 
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import Scratch, read, small_enough
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
+#: What follows in a tag up to its end, a quote or the text's end.
+PLAIN = re.compile(r"[^>\"']*+", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "template", "iframe", "xmp", "svg"}
@@ -60,6 +62,11 @@ JUNK_WORDS_WITHIN = set(
     "ad ads advert adverts advertisement sponsored nav navbar breadcrumb breadcrumbs sidebar share sharing comment comments commentlist reply replies respond disqus "
     "newsletter pagination pager toolbar".split()
 )
+#: Words that, beside one of those, only say which one or what holds it: a token names junk if all its words are of either kind.
+HOLDERS = set(
+    "box block bar list item items section area wrap wrapper container inner outer panel slot unit zone region group row col column button buttons link links icon icons "
+    "count form input field title head body content main site page global primary secondary top bottom left right post entry blog article user reader thread wp js the".split()
+)
 #: Elements by which an author marks what the page is about.
 MARKED = {"article", "main"}
 #: A text is the template's if so large a share of the pages that were aligned with it have it, of so many pages at least.
@@ -72,6 +79,12 @@ TREES = 64
 DEEPEST = 200
 
 
+def names_junk(token: str, junk: set[str]) -> bool:
+    """Whether a whole class, id or role names such a part: "ad", "comment-list", "shareButtons", but not "ad-hoc"."""
+    words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)}
+    return bool(words & junk) and words <= JUNK_WORDS | HOLDERS
+
+
 class Node:
     __slots__ = ("tag", "name", "junk", "worded", "parts", "parent", "depth", "marked")
 
@@ -83,8 +96,8 @@ class Node:
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
             if "class" in found:
                 self.name = f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
-            words = {w.lower() for k in ("class", "id", "role") for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", found.get(k, ""))}
-            self.worded = bool(words & (JUNK_WORDS_WITHIN if self.marked else JUNK_WORDS)) and tag not in ("html", "body", *MARKED, *(("header", "h1") if self.marked else ()))
+            junk = JUNK_WORDS_WITHIN if self.marked else JUNK_WORDS
+            self.worded = any(names_junk(t, junk) for k in ("class", "id", "role") for t in found.get(k, "").split()) and tag not in ("html", "body", *MARKED, *(("header", "h1") if self.marked else ()))
             self.junk |= "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
         if tag == "header":  # an article's own header belongs to it
             self.junk |= not self.marked
@@ -97,25 +110,70 @@ class Node:
         return self.junk or self.worded
 
 
+class Tags:
+    """Reads the tags of a text in order. Whatever is sought and not there is remembered, so broken markup is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.place, self.attributes = text, 0, ""
+        self.missing: dict[str, int] = {}
+
+    def find(self, sign: str, place: int) -> int:
+        """Where a sign stands from a place on, or -1."""
+        if place >= self.missing.get(sign, len(self.text) + 1):
+            return -1
+        found = self.text.find(sign, place)
+        if found < 0:
+            self.missing[sign] = place
+        return found
+
+    def end_of(self, tag: str, place: int) -> int | None:
+        """The end of the next closing tag of a kind."""
+        key = f"</{tag}"
+        if place >= self.missing.get(key, len(self.text) + 1):
+            return None
+        stop = re.compile(rf"</{tag}\s*+>", re.I).search(self.text, place)
+        if not stop:
+            self.missing[key] = place
+        return stop.end() if stop else None
+
+    def next(self, place: int) -> re.Match | None:
+        """The next tag or comment; its end and attributes are kept. A tag whose quotes or end are missing is text."""
+        while m := TOKEN.search(self.text, place):
+            if not m[2]:
+                self.place, self.attributes = m.end(), ""
+                return m
+            at = m.end()
+            while (at := PLAIN.match(self.text, at).end()) < len(self.text) and self.text[at] != ">":
+                closing = self.find(self.text[at], at + 1)
+                if closing < 0:
+                    break
+                at = closing + 1
+            if at < len(self.text) and self.text[at] == ">":
+                self.place, self.attributes = at + 1, self.text[m.end() : at]
+                return m
+            place = m.end()
+        return None
+
+
 def parse(text: str) -> Node:
     """The tree of a page. Parts of a node are texts and nodes in order; inline elements dissolve into their texts."""
     root = at = Node("#root", "", None)
-    place, end = 0, len(text)
+    place, end, tags = 0, len(text), Tags(text)
     while place < end:
-        m = TOKEN.search(text, place)
+        m = tags.next(place)
         if not m:
             at.parts.append(text[place:])
             break
         if m.start() > place:
             at.parts.append(text[place : m.start()])
-        place = m.end()
+        place, attributes = tags.place, tags.attributes
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag in UNSHOWN:
-            if not m[1] and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(text, place)
-                place = stop.end() if stop else place
+            if not m[1] and not attributes.rstrip().endswith("/"):
+                stop = tags.end_of(tag, place)
+                place = place if stop is None else stop
             continue
         if tag in INLINE:
             if tag in ("br", "mtd"):
@@ -135,12 +193,12 @@ def parse(text: str) -> Node:
             if tag in CLOSED_BY.get(closing.tag, ()):
                 at = closing.parent
             closing = closing.parent
-        node = Node(tag, m[3], at)
+        node = Node(tag, attributes, at)
         at.parts.append(node)
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(text, place)
-            place = stop.end() if stop else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and node.depth < DEEPEST:
+            stop = tags.end_of(tag, place)
+            place = end if stop is None else stop
+        elif tag not in VOID and not attributes.rstrip().endswith("/") and node.depth < DEEPEST:
             at = node
     return root
 

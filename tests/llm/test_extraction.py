@@ -109,3 +109,22 @@ def test_broken_and_extreme_pages():
     assert article(parse(long), None, set()).count("\n\n") == 19_999
     assert simple_tree_matching(Tree(parse(long), ""), Tree(parse(long), ""))[0] >= 2
     assert region(parse(""))[0] == ""
+
+
+def test_names_are_taken_whole():
+    body = "<article><p>One</p><div class='ad-hoc'><p>Two</p></div><section id='comment-on-law'><p>Three</p></section><div class='ad'>x</div><div class='comment-list'>y</div><div id='shareButtons'>z</div></article>"
+    assert article(parse(body), None, set()) == "One\n\nTwo\n\nThree"
+    page = "<body><div class='related-work'>A</div><div id='promotion-of-health'>B</div><p class='skip-lists'>C</p><div class='site-footer'>D</div><div class='cookie_notice'>E</div></body>"
+    assert article(parse(page), None, set()) == "A\n\nB\n\nC"
+
+
+@pytest.mark.parametrize("text", ['<a "' * 60_000, "<p class='x" * 60_000, "<script>" * 60_000, "<annotation>" * 60_000, "<!--" * 60_000, "<" * 300_000, "<a b" * 60_000, "<div x='>" * 60_000, "<![" * 100_000])
+def test_broken_markup_is_read_in_linear_time(text):
+    start = time.process_time()
+    parse(text)
+    assert time.process_time() - start < 6
+
+
+def test_unclosed_quotes():
+    assert article(parse("<p>one</p><p title='two>three</p><p>four"), None, set()) == "one\n\n<p title='two>three\n\nfour"
+    assert article(parse("<p title='a>b' id=\"c>d\">text</p>"), None, set()) == "text"
