@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import Scratch, read, small_enough
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
-#: What follows in a tag up to its end, a quote or the text's end.
-PLAIN = re.compile(r"[^>\"']*+", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<([!?])|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
+#: What ends a tag or begins a quoted value in it.
+SIGN = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "template", "iframe", "xmp", "svg"}
@@ -116,6 +116,7 @@ class Tags:
     def __init__(self, text: str):
         self.text, self.place, self.attributes = text, 0, ""
         self.missing: dict[str, int] = {}
+        self.near, self.hopeless = (0, -1), set()
 
     def find(self, sign: str, place: int) -> int:
         """Where a sign stands from a place on, or -1."""
@@ -136,22 +137,39 @@ class Tags:
             self.missing[key] = place
         return stop.end() if stop else None
 
+    def sign(self, place: int) -> int:
+        """Where the next quote or end of a tag stands, or the text's end."""
+        if not self.near[0] <= place <= self.near[1]:
+            found = SIGN.search(self.text, place)
+            self.near = place, found.start() if found else len(self.text)
+        return self.near[1]
+
+    def close(self, place: int) -> int:
+        """Where a tag ends whose attributes begin here, or -1. Quotes from which no end is reached are remembered."""
+        seen, at = [], self.sign(place)
+        while at < len(self.text) and self.text[at] != ">" and at not in self.hopeless:
+            seen.append(at)
+            closing = self.find(self.text[at], at + 1)
+            if closing < 0:
+                break
+            found = SIGN.search(self.text, closing + 1)
+            at = found.start() if found else len(self.text)
+        if at < len(self.text) and self.text[at] == ">":
+            return at
+        self.hopeless.update(seen)
+        return -1
+
     def next(self, place: int) -> re.Match | None:
         """The next tag or comment; its end and attributes are kept. A tag whose quotes or end are missing is text."""
         while m := TOKEN.search(self.text, place):
-            if not m[2]:
-                self.place, self.attributes = m.end(), ""
+            place = m.end()
+            if not m[1] and not m[3]:
+                self.place, self.attributes = place, ""
                 return m
-            at = m.end()
-            while (at := PLAIN.match(self.text, at).end()) < len(self.text) and self.text[at] != ">":
-                closing = self.find(self.text[at], at + 1)
-                if closing < 0:
-                    break
-                at = closing + 1
-            if at < len(self.text) and self.text[at] == ">":
-                self.place, self.attributes = at + 1, self.text[m.end() : at]
+            end = self.find(">", place) if m[1] else self.close(place)
+            if end >= 0:
+                self.place, self.attributes = end + 1, self.text[place:end]
                 return m
-            place = m.end()
         return None
 
 
@@ -167,11 +185,11 @@ def parse(text: str) -> Node:
         if m.start() > place:
             at.parts.append(text[place : m.start()])
         place, attributes = tags.place, tags.attributes
-        tag = (m[2] or "").lower()
+        tag = (m[3] or "").lower()
         if not tag:
             continue
         if tag in UNSHOWN:
-            if not m[1] and not attributes.rstrip().endswith("/"):
+            if not m[2] and not attributes.rstrip().endswith("/"):
                 stop = tags.end_of(tag, place)
                 place = place if stop is None else stop
             continue
@@ -179,7 +197,7 @@ def parse(text: str) -> Node:
             if tag in ("br", "mtd"):
                 at.parts.append(" ")
             continue
-        if m[1]:
+        if m[2]:
             node = at
             while node is not root and node.tag != tag:
                 node = node.parent

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from driftlens.llm.extraction import Tree, article, clean, main_text, page_votes, parse, region, simple_tree_matching
