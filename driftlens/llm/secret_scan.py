@@ -77,7 +77,7 @@ class Value:
     def __init__(self, start: int):
         self.start, self.end = start, start
         self.parts: list[Value] = []
-        self.literal = self.blank = self.placeholder = False
+        self.literal = self.blank = self.placeholder = self.told = False
         self.length, self.first = 0, ""
         self.counts: Counter[str] = Counter()
 
@@ -141,7 +141,6 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     spans: list[tuple[str, int, int]] = []
     constants: dict[str, Value] = {}
-    told: set[int] = set()
     line, line_end, head_end = 0, text.find("\n"), LINE_HEAD.match(text).end()
     for target in TARGET.finditer(text):
         start, place = target.start(1), target.end()
@@ -163,8 +162,8 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
                 spans.append(("assign", value.start, value.end))
             while waiting:  # each assignment is told once, so the walks add up to the text
                 own = waiting.pop()
-                if id(own) not in told:
-                    told.add(id(own))
+                if not own.told:
+                    own.told = True
                     waiting += reversed(own.parts)
                     if own.literal:
                         spans.append(("assign", own.start, own.end))
