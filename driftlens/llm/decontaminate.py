@@ -6,8 +6,9 @@ looked up in it, and each hit is verified: along its diagonal, `WINDOW` aligned
 in four fifths; or, where words were also put in or left out, the text around the hit must hold `IN_ORDER` of the item's
 words in their order. Words are compared without regard to case of A to Z and to ASCII punctuation.
 
-The benchmark is a query set of stated size and meets all documents in blocks: each block's index is at most
-`BLOCK_BYTES` of item text, is broadcast, and is dropped after its pass. Documents are not shuffled, so a passage that a
+The benchmark is a query set of stated size and meets all documents in blocks of at most about `BLOCK_BYTES` of item text.
+A block's index takes about twelve bytes per byte of text. It is broadcast, its pass is written, and it is destroyed before
+the next is sent; the last one stays as long as the result. Documents are not shuffled, so a passage that a
 third of all documents share costs one lookup per document.
 
 Defined results: null and empty texts and items never match. An item of fewer words than the widest mask must occur word
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import read, slices
+from driftlens.llm.common import Scratch, read, slices
 from driftlens.llm.words import NOT_ALPHANUMERIC, WordHasher, mix
 
 #: 1: the word counts, 0: it may differ. All masks span twelve words or fewer. By enumeration, every window of WINDOW words, and
@@ -54,28 +56,47 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(total)
 
 
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 class SeedIndex:
-    """The windows of some items: for each mask sorted hashes with item and place, and a bit table that rules out most lookups."""
+    """The windows of some items: for each mask half hashes in order with the window's place among all words, and a bit table
+    that rules out most lookups. Two halves that agree by chance cost one verification."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         hasher = WordHasher(separators=NOT_ALPHANUMERIC)
-        words, first = hasher(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
-        self.words = [words[a:b] for a, b in zip(first, first[1:])]
-        short = sorted({len(w) for w in self.words if LEAST_WORDS <= len(w) < WIDEST})
+        self.words, first = hasher(pa.array([t for _, t in items], pa.string()))
+        self.first = np.asarray(first, np.int64)
+        size = np.diff(self.first)
+        short = sorted({n for n in size.tolist() if LEAST_WORDS <= n < WIDEST})
         seeds = [*((m, False) for m in MASKS), *(("1" * n, True) for n in short)]  # True: for items of just that length
         self.masks = [mask for mask, _ in seeds]
         self.tables = []
         for mask, whole in seeds:
-            chosen = [i for i, w in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) >= WIDEST)]
-            hashes = [seed_hashes(self.words[i], mask) for i in chosen]
-            item = np.repeat(np.array(chosen, np.int64), [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            order = np.argsort(flat, kind="stable")
-            bits = np.zeros(1 << max(12, (16 * len(flat)).bit_length()), bool)  # one in sixteen or fewer is set
-            bits[flat & np.uint64(len(bits) - 1)] = True
-            self.tables.append((flat[order], item[order], place[order], bits))
+            hashes = seed_hashes(self.words, mask)
+            place = np.arange(len(hashes))
+            item = self.item(place)
+            inside = place + len(mask) <= self.first[item + 1]
+            chosen = inside & (size[item] == len(mask) if whole else size[item] >= WIDEST)
+            hashes, place = hashes[chosen], place[chosen].astype(np.uint32)
+            half = _half(hashes)
+            order = np.argsort(half, kind="stable")
+            bits = np.zeros(1 << max(12, (8 * len(half)).bit_length()), bool)  # one in eight or fewer is set
+            bits[hashes & np.uint64(len(bits) - 1)] = True
+            self.tables.append((half[order], place[order], np.packbits(bits, bitorder="little")))
+
+    def item(self, place: np.ndarray) -> np.ndarray:
+        """The item that holds a place among all words; items without words hold none."""
+        return np.searchsorted(self.first, place, "right") - 1
+
+    def own(self, item: int) -> np.ndarray:
+        return self.words[self.first[item] : self.first[item + 1]]
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.first.nbytes + sum(a.nbytes for table in self.tables for a in table)
 
     @classmethod
     def of(cls, state: dict) -> SeedIndex:
@@ -88,16 +109,21 @@ class SeedIndex:
         """For each text with windows of the index its (item, diagonal) pairs. `first` has the texts' first words and the end;
         the diagonal is the place in the text less the place in the item."""
         found: dict[int, set[tuple[int, int]]] = {}
-        for mask, (hashes, item, place, bits) in zip(self.masks, self.tables):
+        for mask, (halves, places, bits) in zip(self.masks, self.tables):
             own = seed_hashes(words, mask)
-            at = np.flatnonzero(bits[own & np.uint64(len(bits) - 1)]) if len(hashes) else np.zeros(0, np.int64)
+            slot = own & np.uint64(8 * len(bits) - 1)
+            set_bit = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+            at = np.flatnonzero(set_bit) if len(halves) else np.zeros(0, np.int64)
             text = np.searchsorted(first, at, "right") - 1
             inside = at + len(mask) <= first[text + 1] if len(at) else np.zeros(0, bool)
             at, text = at[inside], text[inside]
-            low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
+            half = _half(own[at])
+            low, high = np.searchsorted(halves, half, "left"), np.searchsorted(halves, half, "right")
             for k in np.flatnonzero(high > low).tolist():
                 p, pairs = int(at[k] - first[text[k]]), found.setdefault(int(text[k]), set())
-                pairs.update((i, p - q) for i, q in zip(item[low[k] : high[k]].tolist(), place[low[k] : high[k]].tolist()))
+                place = places[low[k] : high[k]].astype(np.int64)
+                item = self.item(place)
+                pairs.update(zip(item.tolist(), (p - (place - self.first[item])).tolist()))
         return found
 
     def overlapping(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, tuple[int, int, int, int]]]:
@@ -110,7 +136,7 @@ class SeedIndex:
         best: dict[int, tuple[int, int, int, int]] = {}
         unsure: dict[int, list[int]] = {}
         for item, diagonal in sorted(pairs):
-            own = self.words[item]
+            own = self.own(item)
             start, stop = max(0, -diagonal), min(len(own), len(words) - diagonal)
             equal = own[start:stop] == words[start + diagonal : stop + diagonal]
             width = min(WINDOW, len(own))
@@ -133,7 +159,7 @@ class SeedIndex:
 
     def _in_order(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
         """The words of the item that the text around a diagonal holds in order, if they are enough (longest common subsequence)."""
-        own = self.words[item]
+        own = self.own(item)
         slack = len(own) // 3
         low, high = max(0, diagonal - slack), min(len(words), diagonal + len(own) + slack)
         near = words[low:high]
@@ -157,8 +183,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[SeedIndex]:
             yield SeedIndex(rows)
 
 
-def _scan(documents: DataFrame, index: SeedIndex, schema, make) -> DataFrame:
-    """Looks every text up in one block; make(batch, row, overlaps) gives a row of output or nothing."""
+def _scan(documents: DataFrame, index: SeedIndex, schema, make) -> tuple[DataFrame, Broadcast]:
+    """Looks every text up in one block; make(batch, overlaps, index) gives a batch of output. Also the block as it is sent."""
     shared = documents.sparkSession.sparkContext.broadcast(vars(index))
 
     def search(batches: Iterator[pa.RecordBatch]):
@@ -169,7 +195,7 @@ def _scan(documents: DataFrame, index: SeedIndex, schema, make) -> DataFrame:
                 overlaps += own.overlapping(*hasher(texts.slice(start, stop - start)))
             yield make(batch, overlaps, own)
 
-    return documents.mapInArrow(search, schema)
+    return documents.mapInArrow(search, schema), shared
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -186,11 +212,14 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         columns = list(zip(*out)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split(" ")[0] for x in HITS.split(", ")])
 
-    result = None
-    for index in _blocks(benchmark):
-        part = _scan(documents.select("doc_id", "text"), index, HITS, rows)
-        result = part if result is None else result.union(part)
-    return documents.sparkSession.createDataFrame([], HITS) if result is None else result
+    spark = documents.sparkSession
+    scratch, result, held = Scratch(spark, "leaks"), spark.createDataFrame([], HITS), None
+    for number, index in enumerate(_blocks(benchmark)):
+        if held:  # the hits of a block are written before the next block is sent
+            result = result.unionByName(scratch.cut(held[0], f"block{number}"))
+            held[1].destroy()
+        held = _scan(documents.select("doc_id", "text"), index, HITS, rows)
+    return result.unionByName(held[0]) if held else result
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -200,8 +229,12 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     def rows(batch, found, _):
         return batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-    for index in _blocks(benchmark):
-        packed = _scan(packed, index, packed.schema, rows)
+    scratch, held = Scratch(documents.sparkSession, "clean"), None
+    for number, index in enumerate(_blocks(benchmark)):
+        if held:
+            packed = scratch.cut(packed, f"block{number}")
+            held.destroy()
+        packed, held = _scan(packed, index, packed.schema, rows)
     return packed.select("row.*")
 
 

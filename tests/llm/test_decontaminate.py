@@ -2,6 +2,9 @@ import random
 import sys
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+
 from driftlens.llm.decontaminate import MASKS, clean, overlaps
 
 
@@ -109,3 +112,15 @@ def test_empty_tables(spark, documents):
     assert overlaps(frame, bench(spark).where("false")).count() == 0
     assert clean(frame, bench(spark).where("false")).count() == 1
     assert overlaps(frame.where("false"), bench(spark)).count() == 0
+
+
+def test_index_is_small_and_words_that_agree_by_half_a_hash_are_verified(monkeypatch):
+    from driftlens.llm import decontaminate
+
+    items = [(i, " ".join(vocabulary(i, 60, 50_000))) for i in range(2000)]
+    index = decontaminate.SeedIndex([*items, (None, ""), (2001, None)])
+    assert index.nbytes < 13 * sum(len(t) for _, t in items)
+    monkeypatch.setattr(decontaminate, "_half", lambda hashes: np.zeros(len(hashes), np.uint32))
+    few = decontaminate.SeedIndex(items[:20])
+    words, first = decontaminate.WordHasher(separators=decontaminate.NOT_ALPHANUMERIC)(pa.array([items[3][1], items[7][1] + " x", "a b c"]))
+    assert [set(found) for found in few.overlapping(words, first)] == [{3}, {7}, set()]
