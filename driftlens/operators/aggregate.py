@@ -168,3 +168,38 @@ def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """First row per key; the top-1 window is trimmed per partition before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def fixture_results(fixtures: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per fixture: verdict (CLEAN without findings), number of findings, distinct detectors in order.
+
+    ``fixtures``: fixture_id, year, threat, active. Findings are counted per fixture and detector first, so a fixture with a
+    third of all findings costs one row per task and detector. Findings of unknown fixtures are left out.
+    """
+    per = findings.groupBy("fixture_id", "detector").agg(F.count(F.lit(1)).alias("n"), F.min(severity_rank(F.col("severity"))).alias("rank"))
+    per = per.groupBy("fixture_id").agg(F.sum("n").alias("findings"), rank_label(F.min("rank")).alias("verdict"), F.array_sort(F.collect_set("detector")).alias("detectors"))
+    return fixtures.join(per, "fixture_id", "left").select(
+        "fixture_id", "year", "threat", "active", F.coalesce("verdict", F.lit("CLEAN")).alias("verdict"), F.coalesce("findings", F.lit(0)).alias("findings"),
+        F.coalesce("detectors", F.array().cast("array<string>")).alias("detectors"),
+    )
+
+
+def detection_totals(results: DataFrame) -> DataFrame:
+    """Totals by threat and year, by threat, by year and over all, from one aggregate over `fixture_results`.
+
+    Fixtures of a tier that is not active are counted but do not enter the rate; a group without an active fixture has no
+    rate (null), which the text states. Rates are rounded half up in whole per mille. ``level`` tells a total from a group
+    whose own threat or year is null. An empty table has no totals.
+    """
+    caught = F.col("active") & (F.col("verdict") != "CLEAN")
+    totals = results.groupingSets([["threat", "year"], ["threat"], ["year"], []], "threat", "year").agg(
+        F.grouping_id().alias("g"), F.count("fixture_id").alias("fixtures"), F.count_if("active").alias("measured"),
+        F.count_if(caught).alias("caught"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"),
+    )
+    mille = F.floor((F.col("caught") * 2000 + F.col("measured")) / (F.col("measured") * 2))
+    text = F.concat(F.floor(mille / 10).cast("string"), F.lit("."), (mille % 10).cast("string"), F.lit("%"))
+    return totals.select(
+        F.when(F.col("g") == 0, "threat and year").when(F.col("g") == 1, "threat").when(F.col("g") == 2, "year").otherwise("all").alias("level"),
+        "threat", "year", "fixtures", "measured", "caught", (F.col("measured") - F.col("caught")).alias("missed"), "findings",
+        F.when(F.col("measured") > 0, mille / 1000).alias("rate"), F.when(F.col("measured") > 0, text).otherwise("no data").alias("rate_text"),
+    )

@@ -781,3 +781,20 @@ ORACLE["javascript_errors"] = SCRIPT_ERRORS
 ORACLE["javascript_flow"] = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 + 1 AS steps FROM orders)
 SELECT 'f' || k || '.js' AS path, 'env' AS cap, 'K' || (k % 5) AS key FROM o WHERE steps >= 3
 UNION ALL SELECT 'f' || k || '.js', 'env', 'L' || k FROM o WHERE steps >= 4 UNION ALL SELECT 'f' || k || '.js', 'fs_write', '/d/' || k FROM o WHERE steps >= 6"""
+ORACLE["json_leaves"] = """SELECT o_orderkey AS order_key, './o/' || o_orderpriority AS leaf, 1::BIGINT AS depth FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, './l/' || l_partkey || '.js', 3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT l_orderkey, './"q" ' || l_returnflag, 5 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+_FIXTURES = """f AS (SELECT o_custkey, 'd' || substr(o_orderpriority, 1, 1) AS detector, least(ascii(o_orderpriority) - 48, 3) AS rank FROM orders WHERE o_orderstatus = 'F'),
+r AS (SELECT c_custkey AS fixture_id, c_nationkey AS year, c_mktsegment AS threat, c_nationkey % 4 <> 0 AS active,
+  CASE min(rank) WHEN 1 THEN 'BLOCK' WHEN 2 THEN 'WARN' WHEN 3 THEN 'INFO' ELSE 'CLEAN' END AS verdict, count(rank) AS findings,
+  coalesce(string_agg(DISTINCT detector, ', ' ORDER BY detector), '') AS detectors
+  FROM customer LEFT JOIN f ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_mktsegment)"""
+ORACLE["fixture_table"] = f"WITH {_FIXTURES} SELECT * FROM r"
+ORACLE["detection_totals"] = f"""WITH {_FIXTURES}, levels AS (SELECT 'threat and year' AS level, threat, year, * EXCLUDE (threat, year) FROM r
+  UNION ALL SELECT 'threat', threat, NULL, * EXCLUDE (threat, year) FROM r UNION ALL SELECT 'year', NULL, year, * EXCLUDE (threat, year) FROM r
+  UNION ALL SELECT 'all', NULL, NULL, * EXCLUDE (threat, year) FROM r),
+t AS (SELECT level, threat, year, count(*) AS fixtures, count(*) FILTER (active) AS measured, count(*) FILTER (active AND verdict <> 'CLEAN') AS caught,
+  sum(findings)::BIGINT AS findings FROM levels GROUP BY level, threat, year)
+SELECT level, threat, year, fixtures, measured, caught, measured - caught AS missed, findings,
+  CASE WHEN measured > 0 THEN ((caught * 2000 + measured) // (2 * measured)) / 1000 END AS rate,
+  CASE WHEN measured > 0 THEN ((caught * 2000 + measured) // (2 * measured) // 10) || '.' || ((caught * 2000 + measured) // (2 * measured) % 10) || '%' ELSE 'no data' END AS rate_text FROM t"""

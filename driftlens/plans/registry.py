@@ -30,6 +30,7 @@ from driftlens.sinks import reports as R
 from driftlens.sources import archives as Z
 from driftlens.sources import lockfiles as K
 from driftlens.sources import manifests as S
+from driftlens.sources.json_tree import string_leaves
 from driftlens.streaming import jobs as J
 from driftlens.streaming import limiter as W
 
@@ -932,3 +933,21 @@ def findings_hash(spark, folder):
         "provenance", "severity", F.col("to_ver").alias("to"),
     )
     return P.findings_hash(named, ["change_id"])
+
+
+@query
+def json_leaves(spark, folder):
+    """Every string in nested exports with its depth."""
+    return string_leaves(T.nested_exports(spark, folder), ["order_key"])
+
+
+@query
+def fixture_table(spark, folder):
+    """The detections table: verdict, findings and detectors of each fixture."""
+    return A.fixture_results(*T.detection_corpus(spark, folder)).withColumn("detectors", F.array_join("detectors", ", "))
+
+
+@query
+def detection_totals(spark, folder):
+    """Caught and missed fixtures at four levels."""
+    return A.detection_totals(A.fixture_results(*T.detection_corpus(spark, folder)))

@@ -594,3 +594,28 @@ def package_manifests(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("p"), text(c)).alias("name"), F.concat(F.lit("1."), text(c % 9), F.lit(".0")).alias("version"),
         _template(MANIFEST_TEMPLATE, a=text(c), b=text(c % 9)).alias("text"),
     )
+
+
+def nested_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """orders with their lines as the ``exports`` of one package each: conditions, arrays and objects within objects."""
+    lines, orders = load(spark, folder, "lineitem"), load(spark, folder, "orders")
+    deep = F.struct(
+        F.concat(F.lit("./l/"), F.col("l_partkey").cast("string"), F.lit(".js")).alias("import"), F.col("l_quantity").alias("weight"),
+        F.array(F.struct(F.concat(F.lit('./"q" '), F.col("l_returnflag")).alias("types")), F.struct(F.lit(None).cast("string").alias("types"))).alias("node"),
+    )
+    per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", deep.alias("d")))).alias("ds"))
+    body = F.to_json(F.struct(F.concat(F.lit("./o/"), F.col("o_orderpriority")).alias("default"), F.transform("ds", lambda d: d["d"]).alias("./sub")))
+    return orders.join(per, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("order_key"), body.alias("text"))
+
+
+def detection_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """customer as fixtures, orders as their findings; customers of every fourth nation belong to a tier that is not active."""
+    fixtures = load(spark, folder, "customer").select(
+        F.col("c_custkey").alias("fixture_id"), F.col("c_nationkey").alias("year"), F.col("c_mktsegment").alias("threat"), (F.col("c_nationkey") % 4 != 0).alias("active"),
+    )
+    urgent = F.col("o_orderpriority")
+    findings = load(spark, folder, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("fixture_id"), F.concat(F.lit("d"), F.substring("o_orderpriority", 1, 1)).alias("detector"),
+        F.when(urgent.startswith("1"), "BLOCK").when(urgent.startswith("2"), "WARN").otherwise("INFO").alias("severity"),
+    )
+    return fixtures, findings

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed_values as V
+from driftlens.sources.json_tree import string_leaves, unreadable
 
 KEY = ["name", "version"]
 PERSON = "struct<name:string,email:string>"
@@ -76,19 +77,24 @@ def bundled_scripts(manifests: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def entry_files(manifests: DataFrame) -> DataFrame:
-    """Paths a manifest declares as entries: the simple fields and every leaf of ``exports`` and ``bin``."""
-
-    def leaves(field: str) -> Column:
-        """Strings in value position of a JSON text; a bare string is its own leaf."""
-        text = F.col(f"m.{field}")
-        nested = F.regexp_extract_all(text, F.lit(r'[:\[,]\s*"([^"\\]*)"(?!\s*:)'), F.lit(1))
-        return F.when(text.isNull(), F.array().cast("array<string>")).when(text.rlike(r"^[\[{]"), nested).otherwise(F.array(text))
-
-    simple = F.array("m.main", "m.module", "m.types", "m.typings")
-    browser = F.when(F.col("m.browser").startswith("{"), F.lit(None)).otherwise(F.col("m.browser"))
-    everything = F.array_compact(F.concat(simple, F.array(browser), leaves("exports"), leaves("bin")))
+    """Paths a manifest declares as entries: the simple fields, every string below ``exports``, and ``bin`` or its values.
+
+    An object that repeats a name is read by a pattern instead of the parser, so its strings are not lost.
+    """
+    field = lambda name: manifests.select(*KEY, F.col(f"m.{name}").alias("text"))
+    nested = F.col("text").rlike(r"^\s*[\[{]")
+    listed = field("exports").filter(nested)
+    plain = F.array_compact(F.array(*[F.col(f"m.{name}") for name in ("main", "module", "types", "typings", "browser", "exports", "bin")]))
+    plain = F.filter(plain, lambda p: ~p.rlike(r"^\s*[\[{]"))
+    in_pattern = F.regexp_extract_all("text", F.lit(r'[:\[,]\s*"([^"\\]*)"(?!\s*:)'), F.lit(1))
+    paths = (
+        manifests.select(*KEY, F.explode(plain).alias("p"))
+        .unionByName(string_leaves(listed, KEY).select(*KEY, F.col("leaf").alias("p")))
+        .unionByName(unreadable(listed).select(*KEY, F.explode(in_pattern).alias("p")))
+        .unionByName(field("bin").filter(nested).select(*KEY, F.explode(F.map_values(F.from_json("text", "map<string,string>"))).alias("p")))
+    )
     path = F.regexp_replace("p", r"^\.?/", "")
-    return manifests.select(*KEY, F.explode(everything).alias("p")).select(*KEY, path.alias("path")).filter("path != ''").distinct()
+    return paths.select(*KEY, path.alias("path")).filter("path != ''").distinct()
 
 
 # --- Python packages ------------------------------------------------------------------------------
