@@ -562,11 +562,10 @@ decided AS (SELECT *, CASE WHEN failed OR b THEN 'block' WHEN w OR i THEN 'revie
       ELSE 'no finding matches the policy' END AS reason FROM adm)
 """
 ORACLE["policy_decision"] = f"WITH {ADMIT} SELECT change_id, decision, reason FROM decided"
-RECEIPT = """'{"artifactSha256":"' || sha256(package) || '","authenticity":"not-signed","decision":"' || decision || '","findingsHash":"' || sha256(reason)
+RECEIPT = """'{"artifactSha256":"' || sha256(package) || '","authenticity":"not-signed","decision":"' || decision || '","findingsHash":"' || findings_hash
   || '","integrity":"sha256-deterministic-unsigned","issuedAt":"2024-01-01T00:00:00.000Z","kind":"driftlens-admission-receipt","package":"' || package
   || '","packageVersion":"1.0.0","policyHash":"' || sha256('{"blockSeverities":["BLOCK"],"failClosed":true,"reviewSeverities":["INFO","WARN"]}')
   || '","projectHash":"' || sha256(change_id) || '","version":1}'"""
-ORACLE["receipt_hash"] = f"WITH {ADMIT} SELECT package, decision, sha256({RECEIPT}) AS receipt_hash FROM decided"
 ORACLE["receipt_verify"] = f"WITH {ADMIT} SELECT package, (decision = 'allow' OR package NOT LIKE '%-7') AS valid FROM decided"
 ORACLE["merge_gate"] = f"""WITH {FINDINGS},
 g AS (SELECT run_id, package, bool_or(detector IN ('install.script-added','install.script-changed') AND message LIKE '%"postinstall" was added%') AS hook,
@@ -798,3 +797,9 @@ t AS (SELECT level, threat, year, count(*) AS fixtures, count(*) FILTER (active)
 SELECT level, threat, year, fixtures, measured, caught, measured - caught AS missed, findings,
   CASE WHEN measured > 0 THEN ((caught * 2000 + measured) // (2 * measured)) / 1000 END AS rate,
   CASE WHEN measured > 0 THEN ((caught * 2000 + measured) // (2 * measured) // 10) || '.' || ((caught * 2000 + measured) // (2 * measured) % 10) || '%' ELSE 'no data' END AS rate_text FROM t"""
+_HASHED = f"""j AS (SELECT *, {RANK} AS rank, CAST(json_object('category', category, 'confidence', confidence, 'detector', detector, 'direction', direction,
+  'evidence', json_array(json_object('file', file, 'line', evidence_line, 'snippet', snippet)), 'from', from_ver, 'message', message, 'mitre', json_array(),
+  'package', package, 'provenance', json_array(), 'severity', severity, 'to', to_ver) AS VARCHAR) AS text FROM findings),
+h AS (SELECT change_id, package, sha256('[' || string_agg(text, ',' ORDER BY rank, package, detector, file, evidence_line, text) || ']') AS findings_hash
+  FROM j GROUP BY change_id, package)"""
+ORACLE["receipt_hash"] = f"WITH {ADMIT}, {_HASHED} SELECT package, decision, sha256({RECEIPT}) AS receipt_hash FROM decided JOIN h USING (change_id, package)"

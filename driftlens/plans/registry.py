@@ -560,15 +560,25 @@ def policy_decision(spark, folder):
     return P.admission(_keyed(spark, folder), P.Policy(), ["change_id"])
 
 
+def _canonical(spark, folder):
+    """Findings with the members that their canonical JSON has, next to change_id."""
+    found, _ = _reported(spark, folder)
+    return found.select(
+        "change_id", "category", "confidence", "detector", "direction", "evidence", F.col("from_ver").alias("from"), "message", "mitre", "package",
+        "provenance", "severity", F.col("to_ver").alias("to"),
+    )
+
+
 def _decisions(spark, folder):
     decided = P.admission(_keyed(spark, folder), P.Policy(), ["change_id", "package"])
-    return decided.select(
+    hashes = P.findings_hash(_canonical(spark, folder).withColumn("owner", F.col("package")), ["change_id", "owner"])
+    return decided.join(hashes.withColumnRenamed("owner", "package"), ["change_id", "package"]).select(
         "package",
         F.lit("1.0.0").alias("packageVersion"),
         H.sha256(F.col("package")).alias("artifactSha256"),
         H.sha256(F.col("change_id")).alias("projectHash"),
         H.sha256(F.lit(P.Policy().canonical())).alias("policyHash"),
-        H.sha256(F.col("reason")).alias("findingsHash"),
+        F.col("findings_hash").alias("findingsHash"),
         "decision",
         F.lit("2024-01-01T00:00:00.000Z").alias("issuedAt"),
     )
@@ -926,13 +936,8 @@ def sarif_results(spark, folder):
 
 @query
 def findings_hash(spark, folder):
-    """The hash that a receipt carries over the findings of a change."""
-    found, _ = _reported(spark, folder)
-    named = found.select(
-        "change_id", "category", "confidence", "detector", "direction", "evidence", F.col("from_ver").alias("from"), "message", "mitre", "package",
-        "provenance", "severity", F.col("to_ver").alias("to"),
-    )
-    return P.findings_hash(named, ["change_id"])
+    """The hash over the findings of a change."""
+    return P.findings_hash(_canonical(spark, folder), ["change_id"])
 
 
 @query
