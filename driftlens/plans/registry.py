@@ -838,7 +838,8 @@ def rate_limit(spark, folder):
 def encoded_urls(spark, folder):
     """Page addresses as base64 and hex literals, decoded again."""
     address = F.encode("url", "UTF-8")
-    literals = T.load(spark, folder, "pages").select("page_id", F.explode(F.array(F.base64(address), F.hex(address))).alias("literal"))
+    one_line = F.regexp_replace(F.base64(address), r"\r\n", "")  # Spark breaks base64 after 76 characters
+    literals = T.load(spark, folder, "pages").select("page_id", F.explode(F.array(one_line, F.hex(address))).alias("literal"))
     found = literals.withColumn("hit", decode_js_url("literal"))
     return found.filter(F.col("hit.url").isNotNull()).select("page_id", F.col("hit.url").alias("found"), F.col("hit.encoding").alias("encoding"))
 
