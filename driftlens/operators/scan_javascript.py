@@ -18,7 +18,7 @@ from driftlens.functions.folding import fold
 from driftlens.operators.dataflow_javascript import flow_facts
 from driftlens.operators.scan_python import FACT, FILE, _all, _each, _fact, _some, exploded, line_pairs, protect, reveal, settle_literals
 from driftlens.operators.syntax_javascript import parse_error, parsed, without_patterns
-from driftlens.session import cut_lineage
+from driftlens.session import cut_lineage, spread
 
 TOKENS = (
     r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\n]*\"?|'[^'\n]*'?|`[^`]*`?"
@@ -265,7 +265,10 @@ def _broken(error: Column) -> Column:
 
 
 def javascript_facts(files: DataFrame) -> DataFrame:
-    """One pass over the files: tokens, folding, one array of facts per row, one explode."""
+    """Tokens and folding once per file, written for both readers; then one array of facts per row, one explode.
+
+    Files are dealt by hash first: a table of sources may be one small file, and the work is heavy per row.
+    """
     code, path = F.col("code"), F.col("path")
     is_json = path.endswith(".json")
     triggers = r"process|eval|Function|import|require"
@@ -277,7 +280,8 @@ def javascript_facts(files: DataFrame) -> DataFrame:
     )
     # Values several facts need become columns first, so that each is computed once per file.
     urls = url_lists(code, F.col("comments"))
-    prepared = tokenised(files.filter(~is_json)).withColumns(
+    sources = cut_lineage(tokenised(spread(files.filter(~is_json), *FILE)))
+    prepared = sources.withColumns(
         {
             "modules": modules_of(code), "literals": F.array_distinct(F.transform(_all(code, LIT), _plain)),
             "operations": _all(code, FS_CALL, 1), **urls,
@@ -295,8 +299,7 @@ def javascript_facts(files: DataFrame) -> DataFrame:
     )
     found = cut_lineage(settle_literals(rows, decode_js_url, hidden))
     # What only the flow of values shows: keys and targets that no pattern of a single place has found.
-    named = files.filter(~is_json & F.col("text").rlike("process|require|fs"))
-    behind = flow_facts(tokenised(named)).join(found.select("name", "version", "path", "cap", "key"), ["name", "version", "path", "cap", "key"], "left_anti")
+    behind = flow_facts(sources.filter(F.col("text").rlike("process|require|fs"))).join(found.select("name", "version", "path", "cap", "key"), ["name", "version", "path", "cap", "key"], "left_anti")
     behind = behind.withColumn("ord", F.col("ord") * 1_000_000_000 + 900_000_000 + F.col("line"))
     # JSON files other than manifests: their URLs, without context.
     plain = files.filter(is_json & ~path.rlike(r"(^|/)package\.json\z"))

@@ -30,6 +30,15 @@ STATE = (
     "error:string,error_at:int>"
 )
 FIELDS = [f.split(":")[0] for f in ("mode", "stack", "before", "at", "start", "star", "patterns", "error", "error_at")]
+#: A whole text without patterns, divisions, ``${`` and escapes outside strings: what its parts are does not depend on what
+#: stands before them. Every group is possessive, so a text is read once.
+PLAIN_PARTS = (
+    r"\"(?:[^\"\\\r\n]++|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\r\n]++|\\(?:\r\n|[\s\S]))*+'"
+    r"|`(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+`|(?<!\*)//[^\r\n]*+|(?<!\*)/\*[^*/\\]*+(?:\*(?!/)[^*/\\]*+)*+\*/"
+)
+PLAIN = rf"\A(?!#!)(?:[^\"'`/\\]++|{PLAIN_PARTS})*+\z"
+#: Rounds that take away innermost brackets; text that nests deeper goes through the machine.
+PLAIN_DEPTH = 8
 # modes: c code, l line comment, b block comment, " ' ` literals, r pattern, k class of a pattern
 # before: s a statement may begin, x an operand must follow, v a value ended, d the same with a dollar, i a control word
 
@@ -125,15 +134,28 @@ def _step(s: Column, lexeme: Column) -> Column:
     )
 
 
+def _plainly_sound(text: Column) -> Column:
+    """That a text has no slash but those of comments and that its brackets close: the machine would find no pattern and no error."""
+    rest = F.regexp_replace(F.regexp_replace(text, PLAIN_PARTS, ""), r"[^()\[\]{}]++", "")
+    for _ in range(PLAIN_DEPTH):
+        rest = F.regexp_replace(rest, r"\(\)|\[\]|\{\}", "")
+    return F.when(text.rlike(PLAIN), rest == "").otherwise(False)
+
+
 def parsed(files: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``lexemes``, ``patterns`` (spans of pattern literals, as numbers of lexemes), ``error`` and ``error_at`` (a lexeme)."""
+    """Adds ``lexemes``, ``patterns`` (spans of pattern literals, as numbers of lexemes), ``error`` and ``error_at`` (a lexeme).
+
+    A text that is plainly sound is one lexeme and needs no machine, which costs many times more a character.
+    """
     zero = F.from_json(
         F.lit('{"mode":"c","stack":"","before":"s","at":1,"start":1,"star":false,"patterns":[]}'), STATE
     )
     marks = ['"', "'", "`", "/", "(", ")", "[", "]", "{", "}", "\r", "\n", ";", ",", "//", "/*", "*/", "${", "=>"]
     kinded = F.transform("lexemes", lambda t: F.struct(t.alias("text"), F.when(t.isin(marks), "").otherwise(_kind(t)).alias("kind")))
-    run = files.withColumn("lexemes", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEXEMES), F.lit(1)))
-    run = run.withColumn("state", F.aggregate(kinded, zero, _step))
+    body = F.coalesce(text, F.lit(""))
+    run = files.withColumn("plain", _plainly_sound(body))
+    run = run.withColumn("lexemes", F.when(F.col("plain"), F.array(body)).otherwise(F.regexp_extract_all(body, F.lit(LEXEMES), F.lit(1))))
+    run = run.withColumn("state", F.when(F.col("plain"), zero).otherwise(F.aggregate(kinded, zero, _step)))
     mode, state = F.col("state.mode"), F.col("state")
     ending = (
         F.when(mode.isin('"', "'"), "Unterminated string constant").when(mode == "`", "Unterminated template")
@@ -144,7 +166,7 @@ def parsed(files: DataFrame, text: str = "text") -> DataFrame:
     return run.withColumns({
         "patterns": state["patterns"], "error": F.coalesce(state["error"], ending),
         "error_at": F.when(state["error"].isNotNull(), state["error_at"]).when(ending.isNotNull(), at_end),
-    }).drop("state")
+    }).drop("state", "plain")
 
 
 def _joined(lexemes: Column, first: Column, last: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.functions import names, text
+from driftlens.operators import scan_javascript as J
 from driftlens.operators.scan_javascript import javascript_facts
 from driftlens.operators.scan_python import python_facts, setup_hooks
 
@@ -176,3 +177,12 @@ def test_edit_distance_and_candidate_forms(spark):
         "a", "b", F.arrays_overlap(names.deletions_up_to_two(F.col("a")), names.deletions_up_to_two(F.col("b"))).alias("meet")
     )
     assert all(r.meet for r in frame.collect() if osa(r.a, r.b) <= 2)
+
+
+def test_files_are_dealt_and_tokenised_once(spark, monkeypatch):
+    """A table of sources in one part keeps every task busy, and both readers share the tokens."""
+    seen, whole = [], J.tokenised
+    monkeypatch.setattr(J, "tokenised", lambda files: seen.append(files.rdd.getNumPartitions()) or whole(files))
+    frame = spark.createDataFrame([("p", "1", f"f{i}.js", "const e = process.env; e.HOME", i) for i in range(40)], FILES).coalesce(1)
+    found = {(r.path, r.key) for r in javascript_facts(frame).collect()}
+    assert found == {(f"f{i}.js", "HOME") for i in range(40)} and len(seen) == 1 and seen[0] > 1

@@ -1,5 +1,7 @@
 """Brackets, literals and patterns of JavaScript: where text stops being well formed."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,17 @@ def test_errors_of_files(spark):
     rows = [("p", "1", "a.js", "f("), ("p", "1", "b.json", "{"), ("p", "1", "c.tsx", "<p>don't</p>"), ("p", "1", "d.mjs", "g()"), (None, None, "e.js", None)]
     files = spark.createDataFrame(rows, "name string, version string, path string, text string")
     assert [tuple(r) for r in S.parse_errors(files.withColumn("lexeme", F.lit(1))).collect()] == [("p", "1", "a.js", "Unexpected token. (1:2)")]
+
+
+def test_plain_texts_need_no_machine(spark, monkeypatch):
+    """A text without patterns is one lexeme; what the shortcut takes is what the machine finds sound and leaves as it is."""
+    rng = random.Random(5)
+    parts = ["a", "1 ", "'x'", '"y', '"', "'", "`", "${", "}", "{", "(", ")", "[", "]", "//", "/*", "*/", "/", "\\", "\n", "\r", "$", "#!", "=>", ";", "it's"]
+    sound = "const m = f({a: [1, \"b'\"]}); // it's\n/* don't */ g(`x\n$`, 'c\\'d')"
+    texts = [sound, "(" * 20 + ")" * 20, *FINE, *BROKEN, *("".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(3000))]
+    quick = run(spark, texts)
+    frame = spark.createDataFrame([(0, sound)], "id int, text string")
+    assert S.parsed(frame).select(F.size("lexemes")).first()[0] == 1
+    monkeypatch.setattr(S, "_plainly_sound", lambda text: F.lit(False))
+    slow = run(spark, texts)
+    assert {texts[i]: (quick[i], slow[i]) for i in slow if quick[i] != slow[i]} == {}
