@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.names import canonical_pypi, normalized_hash
+from driftlens.session import spread
 
 FILE = ["run_id", "side"]
 
@@ -165,20 +166,28 @@ def requirement_entries(files: DataFrame) -> DataFrame:
 def requirement_tables(files: DataFrame) -> dict[str, DataFrame]:
     entries = requirement_entries(files)
     # Repeated names get a version suffix, then a line suffix; the first keeps the plain key.
-    firsts = entries.groupBy(*FILE, "name").agg(F.min("ord").alias("first"))
-    seconds = entries.join(firsts, [*FILE, "name"]).filter("ord > first").groupBy(*FILE, "name", "version").agg(F.min("ord").alias("second"))
     plain = F.concat(F.lit("pypi/"), F.col("name"))
     versioned = F.concat(plain, F.lit("@"), F.col("version"))
     key = F.when(F.col("ord") == F.col("first"), plain).when(F.col("ord") == F.col("second"), versioned).otherwise(
         F.concat(versioned, F.lit("#"), F.col("ord").cast("string"))
     )
-    keyed = entries.join(firsts, [*FILE, "name"]).join(seconds, [*FILE, "name", "version"], "left").withColumn("key", key)
+    keyed = _numbered(entries).withColumn("key", key)
     roots = _roots(files)
     nodes = keyed.select(*FILE, "key", "name", "version", "integrity", "resolved", "ord").unionByName(roots)
     edges = keyed.select(*FILE, F.lit("").alias("parent_key"), F.col("key").alias("child_key"), "ord")
     return {"nodes": nodes, "edges": edges}
 
 
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Adds the first place of a name in its file and, of the others, the first place of its version.
+
+    A window sorts the entries of one name in one file; the file is read once, not once a join.
+    """
+    same = Window.partitionBy(*FILE, "name")
+    placed = entries.withColumn("first", F.min("ord").over(same))
+    return placed.withColumn("second", F.min(F.when(F.col("ord") > F.col("first"), F.col("ord"))).over(Window.partitionBy(*FILE, "name", "version")))
+
+
 def _roots(files: DataFrame) -> DataFrame:
     empty = F.lit("")
     return files.select(
@@ -327,14 +336,12 @@ def document_tables(files: DataFrame) -> dict[str, DataFrame]:
         F.when(pypi, normalized_hash(F.col("e.integrity"))).otherwise(F.col("e.integrity")).alias("integrity"),
         "e.resolved", "e.deps", "e.aliases",
     )
-    firsts = entries.groupBy(*FILE, "name").agg(F.min("ord").alias("first"))
-    seconds = entries.join(firsts, [*FILE, "name"]).filter("ord > first").groupBy(*FILE, "name", "version").agg(F.min("ord").alias("second"))
     plain = F.concat(F.when(pypi, "pypi/").otherwise("node_modules/"), F.col("name"))
     versioned = F.concat(plain, F.lit("@"), F.col("version"))
     key = F.when(F.col("ord") == F.col("first"), plain).when(F.col("ord") == F.col("second"), versioned).otherwise(
         F.concat(versioned, F.lit("#"), F.col("ord").cast("string"))
     )
-    keyed = entries.join(firsts, [*FILE, "name"]).join(seconds, [*FILE, "name", "version"], "left").withColumn("key", key)
+    keyed = _numbered(entries).withColumn("key", key)
     nodes = keyed.select(*FILE, "key", "name", "version", "integrity", "resolved", "ord").unionByName(_roots(files))
     # Edges name packages only: they lead to the first entry of a name. pnpm edges also start there.
     start = F.when((F.col("kind") == "pnpm") & (F.col("ord") != F.col("first")), plain).otherwise(F.col("key"))
@@ -358,8 +365,11 @@ def document_tables(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def lock_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges, links, aliases and errors of any mix of lockfiles."""
-    kinded = files.withColumn("kind", lockfile_kind(F.col("filename"), F.col("text")))
+    """nodes, edges, links, aliases and errors of any mix of lockfiles.
+
+    Files are dealt by hash first: many lockfiles may come as one small table, and reading one is heavy.
+    """
+    kinded = spread(files, *FILE).withColumn("kind", lockfile_kind(F.col("filename"), F.col("text")))
     npm = kinded.filter(F.col("kind") == "npm")
     requirements = kinded.filter(F.col("kind") == "pypi-requirements")
     documents = kinded.filter(~F.col("kind").isin("npm", "pypi-requirements"))

@@ -200,3 +200,12 @@ def test_folder_layout_and_bump_list(spark, tmp_path):
     listed = tmp_path / "bumps.txt"
     listed.write_text("# header\n@s/a@1.0.0..1.1.0\nb@1..b@2\n\nnonsense\n")
     assert [(r.package, r.old_version, r.new_version) for r in lists.read_bumps(spark, str(listed)).orderBy("ord").collect()] == [("@s/a", "1.0.0", "1.1.0"), ("b", "1", "2")]
+
+
+def test_documents_are_read_once_for_the_nodes(spark):
+    """Keys of repeated names need no second reading of the files, and files of one part are dealt."""
+    text = '# yarn lockfile v1\n\n\na@1:\n  version "1"\n\na@2:\n  version "2"\n\na@3:\n  version "2"\n'
+    files = spark.createDataFrame([(f"r{i}", "new", "yarn.lock", text) for i in range(40)], "run_id string, side string, filename string, text string").coalesce(1)
+    nodes = lockfiles.lock_tables(files)["nodes"]
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r.run_id, r.key) for r in nodes.collect()} == {(f"r{i}", k) for i in range(40) for k in ("", "node_modules/a", "node_modules/a@2", "node_modules/a@2#2")}
