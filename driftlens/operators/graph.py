@@ -148,6 +148,32 @@ def _reach(seeds: DataFrame, steps: DataFrame, within: DataFrame | None = None)
     return known
 
 
+def _labelled_steps(nodes: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(run, key, next, name, inner) of the edges: the name of the lower end, and whether it has edges itself.
+
+    With ``wanted`` (run, name), other names are null, and edges to ends that have neither such a name nor edges are left out.
+    """
+    inner = edges.select("run_id", F.col("parent_key").alias("key")).distinct().withColumn("inner", F.lit(True))
+    named = nodes.select("run_id", "key", "name")
+    if wanted is not None:
+        named = named.join(wanted, ["run_id", "name"], "left_semi")
+    ends = named.join(inner, ["run_id", "key"], "full").withColumnRenamed("key", "next").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    steps = edges.select("run_id", F.col("parent_key").alias("key"), F.col("child_key").alias("next"))
+    return cut_lineage(steps.join(ends, ["run_id", "next"]).select("run_id", "key", "next", "name", "inner"))
+
+
+def _names_below(nodes: DataFrame, steps: DataFrame, direct: DataFrame) -> DataFrame:
+    """(run, direct, name) for the names of keys strictly below any key of a direct dependency's name.
+
+    The walk goes over keys that have edges themselves. The others, most keys of a graph, are met once at the end, where
+    only distinct names are kept.
+    """
+    seeds = nodes.select("run_id", "key", "name").join(direct.select("run_id", F.col("direct").alias("name")), ["run_id", "name"])
+    walked = _reach(seeds.select("run_id", F.col("name").alias("tag"), "key"), steps.filter("inner").select("run_id", "key", "next"))
+    met = walked.join(steps.filter("name is not null").select("run_id", "key", "name"), ["run_id", "key"])
+    return met.select("run_id", F.col("tag").alias("direct"), "name").distinct()
+
+
 def direct_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(run, direct) names of the root's children."""
     children = edges.filter(F.col("parent_key") == "").select("run_id", F.col("child_key").alias("key"))
@@ -159,11 +185,9 @@ def subtree_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Reachability goes from key to key, so a path that enters a package by one instance does not leave it by another.
     """
-    keyed = nodes.select("run_id", "key", "name")
-    direct = direct_names(nodes, edges).withColumnRenamed("direct", "name")
-    seeds = direct.join(keyed, ["run_id", "name"]).select("run_id", F.col("name").alias("tag"), "key")
-    steps = cut_lineage(edges.select("run_id", F.col("parent_key").alias("key"), F.col("child_key").alias("next")).distinct())
-    return _reach(seeds, steps).join(keyed, ["run_id", "key"]).select("run_id", F.col("tag").alias("direct"), "name").distinct()
+    steps = _labelled_steps(nodes, edges)
+    direct = cut_lineage(steps.filter((F.col("key") == "") & F.col("name").isNotNull()).select("run_id", F.col("name").alias("direct")).distinct())
+    return direct.withColumn("name", F.col("direct")).unionByName(_names_below(nodes, steps, direct)).distinct()
 
 
 def rollup_by_direct(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> DataFrame:

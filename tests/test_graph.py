@@ -209,3 +209,28 @@ def test_depth_has_no_bound(spark):
     children = {"": ["k0"]} | {f"k{i}": [f"k{i + 1}"] if i + 1 < size else [] for i in range(size)}
     nodes, edges = frames(spark, {"g": (names, children)})
     assert G.provenance_paths(nodes.coalesce(1), edges.coalesce(1)).count() == size
+
+
+def walked(monkeypatch):
+    """The tables of (run, tag, key) that a walk writes, in order."""
+    tables, original = [], G.cut_lineage
+
+    def cut(df):
+        out = original(df)
+        if set(out.columns) == {"run_id", "tag", "key"}:
+            tables.append(out)
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    return tables
+
+
+FLAT = {"": "app", "d": "d"} | {f"m{i}": f"m{i}" for i in range(6)} | {f"l{i}": f"l{i}" for i in range(30)}
+FLAT_CHILDREN = {"": ["d"], "d": [f"m{i}" for i in range(6)]} | {f"m{i}": [f"l{j}" for j in range(30) if j % 6 == i] for i in range(6)} | {f"l{i}": [] for i in range(30)}
+
+
+def test_closure_walks_no_keys_without_edges(spark, monkeypatch):
+    tables = walked(monkeypatch)
+    nodes, edges = frames(spark, {"g": (FLAT, FLAT_CHILDREN)})
+    assert {r.name for r in G.subtree_closure(nodes, edges).collect()} == set(FLAT.values()) - {"app"}
+    assert not any(r.key.startswith("l") for table in tables for r in table.collect())
