@@ -234,3 +234,11 @@ def test_closure_walks_no_keys_without_edges(spark, monkeypatch):
     nodes, edges = frames(spark, {"g": (FLAT, FLAT_CHILDREN)})
     assert {r.name for r in G.subtree_closure(nodes, edges).collect()} == set(FLAT.values()) - {"app"}
     assert not any(r.key.startswith("l") for table in tables for r in table.collect())
+
+
+def test_rollup_gathers_no_findings_at_a_key(spark, monkeypatch):
+    tables = walked(monkeypatch)
+    nodes, edges = frames(spark, {"g": (FLAT, FLAT_CHILDREN)})
+    findings = spark.createDataFrame([("g", f"l{i}", "WARN") for i in range(30)], "run_id string, package string, severity string")
+    assert [tuple(r) for r in G.rollup_by_direct(nodes, edges, findings).collect()] == [("g", "d", "WARN", 30)]
+    assert max(r["count"] for table in tables for r in table.groupBy("key").count().collect()) == 1
