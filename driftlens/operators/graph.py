@@ -12,14 +12,22 @@ from driftlens.session import cut_lineage
 MERGE_EVERY = 12
 
 
-def _blocking_names(keyed: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Paths found since the edges into visited keys were last dropped, from which dropping them pays.
+PRUNE_FROM = 1_000_000
+
+
+def _repeated_names(keyed: DataFrame) -> DataFrame:
+    """(run, name) of names with several keys."""
+    return keyed.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").select("run_id", "name")
+
+
+def _blocking_names(keyed: DataFrame, edges: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Which names a path may still meet again below a key: (run, key, live), and (run, name) of those that may meet another first.
 
     A name blocks only where one key of it lies below another. The walk down from the keys of repeated names finds such
     pairs; the walk up from the lower ones, within what the first walk saw, finds the keys in between. Both carry
     distinct (name, key) rows. Few names nest in themselves, so the second walk is short.
     """
-    repeated = keyed.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").select("run_id", "name")
     steps = cut_lineage(edges.select("run_id", F.col("parent_key").alias("key"), F.col("child_key").alias("next")).distinct())
     below = _reach(keyed.join(repeated, ["run_id", "name"]).select("run_id", F.col("name").alias("tag"), "key"), steps)
     named = keyed.select("run_id", F.col("key").alias("next"), F.col("name").alias("tag"))
@@ -58,22 +66,27 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
     carries that set, and of the paths to a key only those stay that can still be among the first somewhere below. Where
     no name can be met again, which is the rule, that is a top-k window, which Spark trims per partition before the
     shuffle, so a node that a third of all packages depend on never gathers its parents in one task. The others are cut to
-    ``max_paths`` a set first and then compared set by set. To find paths without a repeated name is hard in general: only
+    ``max_paths`` a set first and then compared. To find paths without a repeated name is hard in general: only
     where several live names can be met on one way may a key keep more than ``max_paths`` paths a live name.
+
+    Edges into visited keys are dropped once they are many, so no later level makes paths along them.
     """
     keyed = cut_lineage(nodes.filter(F.col("key") != "").select("run_id", "key", "name"))
-    live, several = _blocking_names(keyed, edges)
-    wide = (
-        live.select("run_id", "key", F.explode("live").alias("name")).join(several, ["run_id", "name"])
-        .select("run_id", "key", F.lit(True).alias("several")).distinct()
-    )
-    links = cut_lineage(
-        edges.select("run_id", "parent_key", F.col("child_key").alias("key"), "ord")
-        .join(keyed, ["run_id", "key"])
-        .join(live, ["run_id", "key"], "left")
-        .join(wide, ["run_id", "key"], "left")
-        .select("run_id", "parent_key", "key", "name", "ord", F.coalesce("live", F.array().cast("array<string>")).alias("live"), F.coalesce("several", F.lit(False)).alias("several"))
-    )
+    links = edges.select("run_id", "parent_key", F.col("child_key").alias("key"), "ord").join(keyed, ["run_id", "key"])
+    repeated = cut_lineage(_repeated_names(keyed))
+    blocks = not repeated.isEmpty()
+    if blocks:
+        live, several = _blocking_names(keyed, edges, repeated)
+        blocks = not live.isEmpty()
+    if blocks:
+        wide = (
+            live.select("run_id", "key", F.explode("live").alias("name")).join(several, ["run_id", "name"])
+            .select("run_id", "key", F.lit(True).alias("several")).distinct()
+        )
+        links = links.join(live, ["run_id", "key"], "left").join(wide, ["run_id", "key"], "left").withColumns(
+            {"live": F.coalesce("live", F.array().cast("array<string>")), "several": F.coalesce("several", F.lit(False))}
+        )
+    links = cut_lineage(links)
     roots = nodes.filter(F.col("key") == "").select("run_id", F.col("name").alias("root_name")).distinct()
     frontier = links.filter(F.col("parent_key") == "").select("run_id").distinct().join(
         roots, "run_id", "left"
@@ -84,48 +97,47 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
         F.array().cast("array<bigint>").alias("trail"),
         F.array().cast("array<string>").alias("held"),
     )
-    blocks = not live.isEmpty()
-    levels, depth = [], 0
-    visited = frontier.select("run_id", "key")
+    levels, depth, left, entered = [], 0, links.count(), 0
+    visited = None  # keys that links may still lead to
     alike = Window.partitionBy("run_id", "key", "held").orderBy("trail")
     first = Window.partitionBy("run_id", "key").orderBy("trail")
-    columns = "run_id", "key", "path", "trail", "held"
+    columns = "run_id", "key", "path", "trail", "held", "place"
     while True:
         depth += 1
-        step = (
-            frontier.withColumnRenamed("key", "parent_key")
-            .join(links, ["run_id", "parent_key"])
-            .filter(~F.array_contains("held", F.col("name")))
-            .select(
-                "run_id", "key",
-                F.concat("path", F.array("name")).alias("path"),
-                F.concat("trail", F.array("ord")).alias("trail"),
-                F.array_sort(F.array_intersect(F.concat("held", F.array("name")), F.col("live"))).alias("held"),
-                "live", "several",
+        step = frontier.drop("place").withColumnRenamed("key", "parent_key").join(links, ["run_id", "parent_key"])
+        if blocks:
+            step = step.filter(~F.array_contains("held", F.col("name"))).withColumn(
+                "held", F.array_sort(F.array_intersect(F.concat("held", F.array("name")), F.col("live")))
             )
-            .join(visited, ["run_id", "key"], "left_anti")
-            .withColumn("rank", F.row_number().over(alike))
-            .filter(F.col("rank") <= max_paths)
-        )
+        step = step.withColumns({"path": F.concat("path", F.array("name")), "trail": F.concat("trail", F.array("ord"))}).drop("parent_key", "name", "ord")
+        if visited is not None:
+            step = step.join(visited, ["run_id", "key"], "left_anti")
         if blocks:
-            among = step.groupBy("run_id", "key").agg(
+            among = step.withColumn("rank", F.row_number().over(alike)).filter(F.col("rank") <= max_paths).groupBy("run_id", "key").agg(
                 F.array_sort(F.collect_list(F.struct("trail", "path", "held"))).alias("rows"), F.first("live").alias("live"), F.first("several").alias("several")
             )
-            chosen = among.select("run_id", "key", F.explode(_enough(F.col("rows"), F.col("live"), F.col("several"), max_paths)).alias("p"))
-            step = chosen.select("run_id", "key", "p.path", "p.trail", "p.held")
+            chosen = among.select("run_id", "key", F.posexplode(_enough(F.col("rows"), F.col("live"), F.col("several"), max_paths)).alias("at", "p"))
+            step = chosen.select("run_id", "key", "p.path", "p.trail", "p.held", (F.col("at") + 1).alias("place"))
+        else:
+            step = step.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_paths)
         frontier = cut_lineage(step.select(*columns))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if size == 0:
             break
-        levels.append(frontier.select("run_id", "key", "path", "trail", F.lit(depth).alias("depth")))
-        visited = visited.unionByName(frontier.select("run_id", "key").distinct())
-        if depth % MERGE_EVERY == 0:
+        levels.append(frontier.filter(F.col("place") <= max_paths).select("run_id", "key", "path", "trail", "place", F.lit(depth).alias("depth")))
+        keys = frontier.filter("place = 1").select("run_id", "key")
+        visited, entered = keys if visited is None else visited.unionByName(keys), entered + size
+        if entered >= max(PRUNE_FROM, left // 8):
+            links = cut_lineage(links.join(visited, ["run_id", "key"], "left_anti"))
+            visited, left, entered = None, links.count(), 0
+        elif depth % MERGE_EVERY == 0:
             visited = cut_lineage(visited)
     if not levels:
-        return frontier.select("run_id", "key", "path", "trail", F.lit(0).alias("place"), F.lit(0).alias("depth"))
+        return frontier.select("run_id", "key", "path", "trail", "place", F.lit(0).alias("depth"))
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)
-    return result.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_paths)
+    return result
 
 
 def _reach(seeds: DataFrame, steps: DataFrame, within: DataFrame | None = None) -> DataFrame:

@@ -242,3 +242,27 @@ def test_rollup_gathers_no_findings_at_a_key(spark, monkeypatch):
     findings = spark.createDataFrame([("g", f"l{i}", "WARN") for i in range(30)], "run_id string, package string, severity string")
     assert [tuple(r) for r in G.rollup_by_direct(nodes, edges, findings).collect()] == [("g", "d", "WARN", 30)]
     assert max(r["count"] for table in tables for r in table.groupBy("key").count().collect()) == 1
+
+
+def test_paths_with_edges_into_visited_keys_dropped(spark, monkeypatch):
+    """The edges left are written once a level here, and hold none into a key that has its paths."""
+    links, original = [], G.cut_lineage
+
+    def cut(df):
+        out = original(df)
+        if "parent_key" in out.columns:
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    monkeypatch.setattr(G, "PRUNE_FROM", 1)
+    for graphs in ({"g": build(0)}, {"g": nested(2, size=10, kinds=4)}, {"g": (FLAT, FLAT_CHILDREN)}):
+        links.clear()
+        nodes, edges = frames(spark, graphs)
+        found = {}
+        for r in sorted(G.provenance_paths(nodes.coalesce(1), edges.coalesce(1)).collect(), key=lambda r: r.place):
+            found.setdefault(r.key, []).append(list(r.path))
+        names, children = graphs["g"]
+        assert all(found.get(key, []) == shortest(names, children, key) for key in names if key)
+        assert links == sorted(links, reverse=True)
+    assert links == [37, 30, 0]
