@@ -44,18 +44,21 @@ def _enough(rows: Column, live: Column, several: Column, max_paths: int) -> Colu
     """Of the paths to one key, in queue order, those that can still be among the first ``max_paths`` somewhere below.
 
     A path is out if ``max_paths`` kept ones before it hold no name that it does not hold: they go wherever it goes. If no
-    way on meets more than one of the live names, it is also out once each name it could pass has ``max_paths`` kept
-    paths that can pass it too; then a key keeps at most ``max_paths`` paths a live name.
+    way on meets more than one of the live names, a path is needed only among the first ``max_paths`` of all, or of those
+    that do not hold one of the names; then a key keeps at most ``max_paths`` paths a live name.
     """
 
     def step(kept: Column, path: Column) -> Column:
         wider = F.size(F.filter(kept, lambda k: F.size(F.array_except(k["held"], path["held"])) == 0)) >= max_paths
-        single = ~several & (F.size(kept) >= max_paths) & F.forall(
-            F.array_except(live, path["held"]), lambda name: F.size(F.filter(kept, lambda k: ~F.array_contains(k["held"], name))) >= max_paths
-        )
-        return F.when(wider | single, kept).otherwise(F.concat(kept, F.array(path)))
+        return F.when(wider, kept).otherwise(F.concat(kept, F.array(path)))
+
+    def first(places: Column) -> Column:
+        return F.slice(places, 1, max_paths)
 
-    return F.aggregate(rows, F.filter(rows, lambda _: F.lit(False)), step)
+    places = F.sequence(F.lit(0), F.size(rows) - 1)
+    free = F.transform(live, lambda name: first(F.filter(places, lambda i: ~F.array_contains(F.get(rows, i)["held"], name))))
+    single = F.transform(F.array_sort(F.array_distinct(F.concat(first(places), F.flatten(free)))), lambda i: F.get(rows, i))
+    return F.when(several, F.aggregate(rows, F.filter(rows, lambda _: F.lit(False)), step)).otherwise(single)
 
 
 def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) -> DataFrame:
