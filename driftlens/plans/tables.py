@@ -599,12 +599,13 @@ def package_manifests(spark: SparkSession, folder: str) -> DataFrame:
 def nested_exports(spark: SparkSession, folder: str) -> DataFrame:
     """orders with their lines as the ``exports`` of one package each: conditions, arrays and objects within objects."""
     lines, orders = load(spark, folder, "lineitem"), load(spark, folder, "orders")
-    deep = F.struct(
-        F.concat(F.lit("./l/"), F.col("l_partkey").cast("string"), F.lit(".js")).alias("import"), F.col("l_quantity").alias("weight"),
-        F.array(F.struct(F.concat(F.lit('./"q" '), F.col("l_returnflag")).alias("types")), F.struct(F.lit(None).cast("string").alias("types"))).alias("node"),
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("ds"))
+    deep = lambda d: F.struct(
+        F.concat(F.lit("./l/"), d["l_partkey"].cast("string"), F.lit(".js")).alias("import"), d["l_quantity"].alias("weight"),
+        F.array(F.struct(F.concat(F.lit('./"q" '), d["l_returnflag"]).alias("types")), F.struct(F.lit(None).cast("string").alias("types"))).alias("node"),
     )
-    per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", deep.alias("d")))).alias("ds"))
-    body = F.to_json(F.struct(F.concat(F.lit("./o/"), F.col("o_orderpriority")).alias("default"), F.transform("ds", lambda d: d["d"]).alias("./sub")))
+    body = F.to_json(F.struct(F.concat(F.lit("./o/"), F.col("o_orderpriority")).alias("default"), F.transform("ds", deep).alias("./sub")))
     return orders.join(per, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("order_key"), body.alias("text"))
 
 

@@ -3,6 +3,7 @@
 import json
 
 from driftlens.operators import aggregate as A
+from driftlens.sources import json_tree
 from driftlens.sources import manifests as S
 from driftlens.sources.json_tree import string_leaves, unreadable
 
@@ -32,6 +33,28 @@ def test_leaves_equal_recursion(spark):
     assert [r["k"] for r in unreadable(frame).collect()] == [6]
 
 
+def nest(depth, inner):
+    for k in range(depth):
+        inner = {"a": inner, "s": f"s{k}", "n": k} if k % 2 else [inner, f"e{k}", None]
+    return inner
+
+
+def test_leaves_below_one_pass_and_at_its_end(spark):
+    inner = ["x", 1, None, True, {}, [], "", "null", "{}", "1", "ü\u0000", {"k": "y"}]
+    texts = [json.dumps(nest(depth, value)) for depth in range(2 * json_tree.LEVELS + 2) for value in inner]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    expected = [(k, *x) for k, text in enumerate(texts) for x in walk(json.loads(text))]
+    assert sorted(map(tuple, string_leaves(frame, ["k"]).collect())) == sorted(expected)
+
+
+def test_a_usual_document_is_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(json_tree, "cut_lineage", lambda step, cut=json_tree.cut_lineage: written.append(cut(step)) or written[-1])
+    frame = spark.createDataFrame([(1, '{"a":"x","b":[{"c":"y","d":[{"e":"z"},{"e":null}],"w":1}]}')], "k long, text string")
+    assert sorted(map(tuple, string_leaves(frame, ["k"]).collect())) == [(1, "x", 1), (1, "y", 3), (1, "z", 5)]
+    assert len(written) == 1 and written[0].count() == 3
+
+
 def test_entries_of_nested_and_repeated_conditions(spark):
     texts = [
         ("a", "1", '{"main":"./m.js","exports":{".":{"import":{"types":"./t.d.ts","default":"./i.mjs"},"require":["./r.cjs",{"default":"/s.cjs"}]}},"bin":"./b.js"}'),
