@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.functions import names, text
+from driftlens.functions import folding, names, text
+from driftlens.operators import dataflow_javascript as D
 from driftlens.operators import scan_javascript as J
 from driftlens.operators.scan_javascript import javascript_facts
 from driftlens.operators.scan_python import python_facts, setup_hooks
@@ -194,3 +195,26 @@ def test_python_files_are_dealt(spark):
     found = python_facts(frame)
     assert found.rdd.getNumPartitions() > 1
     assert {(r.path, r.key) for r in found.collect() if r.cap == "env"} == {(f"f{i}.py", "A") for i in range(40)}
+
+
+def test_one_table_is_written_whatever_the_flow(spark, monkeypatch):
+    """Facts need no other file, so nothing is joined and no round of the flow writes a table."""
+    written, cut = [], J.cut_lineage
+    for module in (J, D):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df) or cut(df), raising=False)
+    chain = "const n0 = process;" + "".join(f"n{i + 1} = n{i};" for i in range(9)) + "const { env: e } = n9; e.HOME"
+    frame = spark.createDataFrame([("p", "1", f"f{i}.js", chain, i) for i in range(3)] + [("p", "1", "f0.js", chain, 0)], FILES)
+    assert sorted((r.path, r.cap, r.key) for r in javascript_facts(frame).collect()) == [(f"f{i}.js", "env", "HOME") for i in range(3)]
+    assert len(written) == 1
+
+
+def test_folding_compiles_no_pattern_for_a_file(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a pattern is compiled")
+
+    text = "const a$1 = «61»; const p = process; const q = p.env;\nlet fs = require(«6673»); x = (a$1 + «62»); b = q;\nq = q;\nfs.x; q.K"
+    expected = "const a$1 = «61»; const p = process; const q = process.env;\nlet fs = require(«6673»); x = ‹6162›; b = process.env;\nq = q;\nfs.x; process.env.K"
+    assert folding.fold_text(text) == expected
+    monkeypatch.setattr(folding.re, "compile", refuse)
+    monkeypatch.setattr(folding.re, "_compile", refuse, raising=False)
+    assert folding.fold_text(text) == expected
