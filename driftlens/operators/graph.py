@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.run_paths import COLUMNS, walk_runs
 from driftlens.schema import rank_label, severity_rank
-from driftlens.session import cut_lineage
+from driftlens.session import cut_lineage, spread
 
 #: Levels after which the tables of visited keys become one, so that plans of deep graphs stay short.
 MERGE_EVERY = 12
@@ -14,6 +15,8 @@ MERGE_EVERY = 12
 
 #: Paths found since the edges into visited keys were last dropped, from which dropping them pays.
 PRUNE_FROM = 1_000_000
+#: Keys of a run whose graph one task walks, and runs of that kind from which this pays: fewer would leave tasks idle.
+RUN_KEYS, RUNS_FROM = 5_000, 32
 
 
 def _repeated_names(keyed: DataFrame) -> DataFrame:
@@ -64,6 +67,34 @@ def _enough(rows: Column, live: Column, several: Column, max_paths: int) -> Colu
 def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) -> DataFrame:
     """Up to ``max_paths`` shortest name paths from the root to every node of each run.
 
+    Many runs of few keys are dealt by run and walked whole, each in one task, by the same rules. Larger runs are walked
+    together, level by level.
+    """
+    keyed = cut_lineage(nodes.filter(F.col("key") != "").select("run_id", "key", "name"))
+    sizes = keyed.groupBy("run_id").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("run_id").isNotNull())
+    few = F.col("keys") <= RUN_KEYS
+    if sizes.filter(few).limit(RUNS_FROM).count() < RUNS_FROM:
+        return _paths_by_level(keyed, nodes, edges, max_paths)
+    sizes = cut_lineage(sizes)
+    small, large = sizes.filter(few).select("run_id"), sizes.filter(~few).select("run_id")
+    within = lambda df, runs: df.join(runs, "run_id", "left_semi")
+    whole = _paths_by_run(within(keyed, small), within(nodes, small), within(edges, small), max_paths)
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(_paths_by_level(cut_lineage(within(keyed, large)), within(nodes, large), within(edges, large), max_paths))
+
+
+def _paths_by_run(keyed: DataFrame, nodes: DataFrame, edges: DataFrame, max_paths: int) -> DataFrame:
+    """Runs dealt by hash, each walked whole in one task."""
+    links = edges.filter("parent_key is not null").select("run_id", "parent_key", F.col("child_key").alias("key"), "ord").join(keyed, ["run_id", "key"])
+    roots = nodes.filter(F.col("key") == "").select("run_id", F.lit(None).cast("string").alias("parent_key"), "key", "name", F.lit(None).cast("bigint").alias("ord")).distinct()
+    rows = links.select("run_id", "parent_key", "key", "name", F.col("ord").cast("bigint").alias("ord")).unionByName(roots)
+    return spread(rows, "run_id").sortWithinPartitions("run_id").mapInArrow(lambda batches: walk_runs(batches, max_paths), COLUMNS)
+
+
+def _paths_by_level(keyed: DataFrame, nodes: DataFrame, edges: DataFrame, max_paths: int) -> DataFrame:
+    """All runs together, one level after the other.
+
     Level-synchronous search until no node is left; a graph may have any depth. A path never holds a name twice. A key is
     visited on one level only, so of the names on a path only those matter that can be met again below its end: the path
     carries that set, and of the paths to a key only those stay that can still be among the first somewhere below. Where
@@ -74,7 +105,6 @@ def provenance_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 3) ->
 
     Edges into visited keys are dropped once they are many, so no later level makes paths along them.
     """
-    keyed = cut_lineage(nodes.filter(F.col("key") != "").select("run_id", "key", "name"))
     links = edges.select("run_id", "parent_key", F.col("child_key").alias("key"), "ord").join(keyed, ["run_id", "key"])
     repeated = cut_lineage(_repeated_names(keyed))
     blocks = not repeated.isEmpty()

@@ -266,3 +266,41 @@ def test_paths_with_edges_into_visited_keys_dropped(spark, monkeypatch):
         assert all(found.get(key, []) == shortest(names, children, key) for key in names if key)
         assert links == sorted(links, reverse=True)
     assert links == [37, 30, 0]
+
+
+def test_many_small_runs_are_walked_whole(spark, monkeypatch):
+    """No table is written a level; results are those of the plain search, and those of runs that are too large stay."""
+    tables, original = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: tables.append(df.columns) or original(df))
+    graphs = {f"g{i}": (build(i), nested(i), nested(i, size=14, kinds=4), layered(2 + i % 4, deeper=i % 2 == 0))[i % 4] for i in range(48)}
+    nodes, edges = frames(spark, graphs)
+
+    def check(found):
+        paths = {}
+        for r in sorted(found.collect(), key=lambda r: r.place):
+            assert len(r.trail) == r.depth == len(r.path) - 1
+            paths.setdefault((r.run_id, r.key), []).append(list(r.path))
+        for run, (names, children) in graphs.items():
+            assert all(paths.get((run, key), []) == shortest(names, children, key) for key in names if key), run
+
+    check(G.provenance_paths(nodes, edges))
+    assert len(tables) == 2
+    monkeypatch.setattr(G, "RUN_KEYS", 30)
+    check(G.provenance_paths(nodes.coalesce(1), edges.coalesce(1)))
+    assert ["run_id", "key", "path", "trail", "held", "place"] in tables
+
+
+def test_runs_walked_whole_and_by_level_agree_on_odd_rows(spark, monkeypatch):
+    """Rows that come twice, no root, no name, no place, no parent, a way back to the root."""
+    odd = {"g": nested(3, size=16, kinds=5)}
+    nodes, edges = frames(spark, odd)
+    more = spark.createDataFrame([("g", "z", None), ("h", "a", "a"), ("h", "b", "b"), (None, "a", "a"), ("e", "", "")], NODES)
+    wild = spark.createDataFrame([("g", "", "z", None), ("g", "z", "k9", 7), ("g", "k0", "z", 1), ("g", None, "k1", 0), ("g", "k1", "", 0), ("h", "", "a", 0), ("h", "", "b", 0), ("h", "a", "b", 0), (None, "", "a", 0)], EDGES)
+    nodes, edges = nodes.unionByName(nodes).unionByName(more).coalesce(1), edges.unionByName(edges.filter("ord = 0")).unionByName(wild).coalesce(1)
+
+    def collected():
+        return sorted((tuple(map(str, r)) for r in G.provenance_paths(nodes, edges).collect()))
+
+    by_level = collected()
+    monkeypatch.setattr(G, "RUNS_FROM", 1)
+    assert collected() == by_level and len(by_level) > 20
