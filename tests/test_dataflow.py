@@ -41,3 +41,10 @@ def found(spark):
 def test_flow(found, index):
     facts = found.get(f"f{index}.js", [])
     assert set(facts) == list(CASES.values())[index] and len(facts) == len(set(facts))
+
+
+def test_files_do_not_share_names(spark):
+    """Two versions of a file have the same path and place in their archives, but each its own names."""
+    rows = [("p", "1", "a.js", "const e = process.env;", 0), ("p", "2", "a.js", "const e = other; e.TOKEN", 0)]
+    frame = spark.createDataFrame(rows, "name string, version string, path string, text string, ord long")
+    assert javascript_facts(frame).filter("cap = 'env'").count() == 0
